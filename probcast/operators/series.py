@@ -246,7 +246,7 @@ def changed_series(new: DataFrame, stored: DataFrame, key: Sequence[str] = KEY)
 # --- lookups and windows -------------------------------------------------------------------
 
 def value_as_of(series: DataFrame, requests: DataFrame, until: date | None = None,
-                key: Sequence[str] = KEY) -> DataFrame:
+                key: Sequence[str] = KEY, payload: Sequence[str] = ("value",)) -> DataFrame:
     """Row-level filled value at each requested (key, date), without filling the calendar.
 
     Requests are reduced to distinct (key, date) and merged into the series; one window carries
@@ -255,17 +255,17 @@ def value_as_of(series: DataFrame, requests: DataFrame, until: date | None = Non
     asked = requests.select(*key, "date").distinct()
     if until is not None:
         asked = asked.filter(F.col("date") <= F.lit(until))
-    merged = series.select(
-        *key, "date", F.struct("value").alias("_row"), F.lit(False).alias("_asked")
-    ).unionByName(asked.select(
-        *key, "date", F.lit(None).cast("struct<value: double>").alias("_row"),
+    held_rows = series.select(*key, "date", F.struct(*payload).alias("_row"),
+                              F.lit(False).alias("_asked"))
+    merged = held_rows.unionByName(asked.select(
+        *key, "date", F.lit(None).cast(held_rows.schema["_row"].dataType).alias("_row"),
         F.lit(True).alias("_asked")))
     running = Window.partitionBy(*key).orderBy("date", "_asked").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (
         merged.withColumn("_held", F.last("_row", ignorenulls=True).over(running))
         .filter("_asked")
-        .select(*key, "date", F.col("_held.value").alias("value"),
+        .select(*key, "date", *[F.col(f"_held.{name}").alias(name) for name in payload],
                 F.col("_held").isNotNull().alias("found"))
     )
 
