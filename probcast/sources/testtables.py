@@ -93,7 +93,7 @@ DEFINITIONS: dict[str, str] = {
                    AS close_date,
                o_orderstatus = 'F' AS resolved, o_orderkey % 20 <> 0 AS valid_question
         FROM {orders}""",
-    # conversations -> free response text
+    # lineitem -> free response text
     "responses": """
         SELECT l_orderkey, l_linenumber, l_partkey,
                CASE l_linenumber % 4
@@ -101,6 +101,25 @@ DEFINITIONS: dict[str, str] = {
                  WHEN 1 THEN concat(' 0.', lpad(CAST(CAST(l_quantity AS INT) AS STRING), 2, '0'))
                  WHEN 2 THEN 'no number' ELSE '' END AS response
         FROM {lineitem}""",
+    # models: five of the benchmark's own, six LLM entries, one external team
+    "model_dim": """
+        SELECT concat('m', CAST(n AS STRING)) AS model_no, n AS model_rank,
+               CASE WHEN n = 11 THEN 'Team' ELSE 'Benchmark' END AS organization,
+               CASE WHEN n < 5 THEN 'Benchmark' WHEN n = 11 THEN 'Team'
+                    ELSE concat('Lab', CAST(n % 3 AS STRING)) END AS model_organization,
+               CASE n WHEN 0 THEN 'Always 0.5' WHEN 1 THEN 'Naive Forecaster'
+                    WHEN 2 THEN 'Imputed Forecaster' WHEN 3 THEN 'Superforecaster median forecast'
+                    WHEN 4 THEN 'Public median forecast'
+                    ELSE concat('model-', CAST(n AS STRING)) END AS model,
+               CASE WHEN n BETWEEN 5 AND 10 THEN concat('run-', CAST(n AS STRING)) END
+                    AS model_run_key,
+               CASE WHEN n BETWEEN 5 AND 10 THEN CASE WHEN n % 2 = 0 THEN 'zero-shot'
+                    ELSE 'zero-shot-with-freeze-values' END END AS forecast_variant_key,
+               n = 10 AS uses_tools,
+               CASE WHEN n BETWEEN 5 AND 10 THEN
+                    date_add(CAST('2023-01-15' AS DATE), CAST((n - 5) * 60 AS INT)) END
+                    AS release_date
+        FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS t(n)""",
 }
 
 RAW_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
