@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from probcast.operators import resolve, series as series_ops
+from probcast.session import materialise
 from probcast.sources import testtables as T
 
 AS_OF, TRADES_AS_OF, ORG = T.AS_OF, T.TRADES_AS_OF, T.BENCHMARK_ORG
@@ -245,7 +246,23 @@ MARKET_FORECASTS = f"""(
     FROM {T.sql('market_forecasts')})"""
 
 
+_STAGES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stage(name: str, spark: SparkSession, sf: str, build) -> DataFrame:
+    """A stage table written once per application and input folder, like the processed forecasts
+    that the scoring jobs share; later queries read it back from the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, name, sf)
+    if key not in _STAGES:
+        _STAGES[key] = materialise(build(spark, sf))
+    return _STAGES[key]
+
+
 def processed(spark: SparkSession, sf: str) -> DataFrame:
+    return stage("processed", spark, sf, build_processed)
+
+
+def build_processed(spark: SparkSession, sf: str) -> DataFrame:
     """Matched and imputed forecasts on all resolved questions, with model columns."""
     dataset = resolve.drop_unresolved(resolved_dataset(spark, sf))
     market = resolve.drop_unresolved(resolved_market(spark, sf)[0])

@@ -121,7 +121,7 @@ def sample_strata(rows: DataFrame, quotas: DataFrame, strata: list[str], seed: i
     """``quota`` rows of each stratum in hash order: two-round top-n, so a hot stratum is split."""
     wanted = rows.join(quotas.select(*strata, "quota"), strata)
     return keep_first_n(wanted, strata, [sample_order(F.col(key), seed), F.col(key)],
-                        F.col("quota")).drop("quota", "_rank")
+                        F.col("quota"), (key,)).drop("quota", "_rank")
 
 
 def sample_simple(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:

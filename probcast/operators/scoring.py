@@ -87,7 +87,7 @@ def with_first_due_date(scored: DataFrame) -> DataFrame:
     """First due date of each model on its rows (aggregate and salted join, no hot window)."""
     first = scored.groupBy("model_pk").agg(
         F.min("forecast_due_date").alias("first_forecast_due_date"))
-    return salted_join(scored, first, ["model_pk"], "left")
+    return salted_join(scored, first, ["model_pk"], ["question_pk"], "left")
 
 
 def question_type() -> Column:
@@ -103,7 +103,7 @@ def brier_score(df: DataFrame) -> DataFrame:
 def peer_score(df: DataFrame) -> DataFrame:
     """Mean Brier of the question minus the forecast's own (positive is better)."""
     scored = df if "brier_score" in df.columns else brier_score(df)
-    return group_mean(scored, ["question_pk"], "brier_score", "_mean").withColumn(
+    return group_mean(scored, ["question_pk"], "brier_score", "_mean", ["model_pk"]).withColumn(
         "peer_score", F.col("_mean") - F.col("brier_score")).drop("_mean")
 
 
@@ -122,7 +122,7 @@ def brier_skill_score(df: DataFrame, benchmark_org: str, check: bool = True) ->
         require_no_rows(
             scored.select("question_pk").distinct().join(reference, "question_pk", "left_anti"),
             "reference model lacks question")
-    return salted_join(scored, reference, ["question_pk"], "inner").withColumn(
+    return salted_join(scored, reference, ["question_pk"], ["model_pk"], "inner").withColumn(
         "brier_skill_score", F.col("_reference") - F.col("brier_score")).drop("_reference")
 
 
@@ -179,27 +179,28 @@ def score_models(df: DataFrame,
 
 def join_boards(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer join of two small boards in which null keys match."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
     rest_left = [c for c in left.columns if c not in keys]
     rest_right = [c for c in right.columns if c not in keys]
-    return left.join(right, condition, "full").select(
-        *[F.coalesce(left[k], right[k]).alias(k) for k in keys],
-        *[left[c] for c in rest_left], *[right[c] for c in rest_right])
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *rest_right)
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
+    return left.join(renamed, condition, "full").select(
+        *[F.coalesce(F.col(k), F.col(f"_r_{k}")).alias(k) for k in keys],
+        *rest_left, *rest_right)
 
 
 def rescale(board: DataFrame, score: str, benchmark_org: str) -> DataFrame:
     """Shift each score so that the always-one-half model has 0.25.
 
-    The shift is one row of a board with one row per model; it comes in as a scalar subquery.
+    The window spans the board, which has one row per model.
     """
-    reference = board.filter((F.col("organization") == benchmark_org)
-                             & (F.col("model") == C.ALWAYS_HALF))
+    anchor = (F.col("organization") == benchmark_org) & (F.col("model") == C.ALWAYS_HALF)
     kinds = [k for k in ("dataset", "market", "overall") if f"{score}_{k}" in board.columns]
-    shifts = {kind: reference.agg(F.max(f"{score}_{kind}").alias("s")).scalar() for kind in kinds}
+    whole_board = Window.partitionBy()
     return board.withColumns({
-        f"{score}_{kind}": F.col(f"{score}_{kind}") + (F.lit(0.25) - shifts[kind])
+        f"{score}_{kind}": F.col(f"{score}_{kind}") + (
+            F.lit(0.25) - F.max(F.when(anchor, F.col(f"{score}_{kind}"))).over(whole_board))
         for kind in kinds})
 
 

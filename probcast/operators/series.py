@@ -189,13 +189,15 @@ def close_intervals(history: DataFrame, as_of: date, key: Sequence[str] = KEY) -
 
 
 def mark_dropouts(items: DataFrame, pages: DataFrame, page: str = "page",
-                  item: str = "item") -> DataFrame:
+                  item: str = "item", storage_start: date | None = None) -> DataFrame:
     """Add explicit null rows on page dates where an item is absent.
 
     An item is marked on the page dates between its first date and the page date after its last
     one. ``items``: (page, item, date, value); ``pages``: distinct (page, date). An item's own
     dates arrive as one array per item (bounded by the number of page dates).
     """
+    if storage_start is not None:
+        pages = pages.filter(F.col("date") >= F.lit(storage_start))
     calendar = pages.groupBy(page).agg(F.array_sort(F.collect_set("date")).alias("_dates"))
     spans = items.groupBy(page, item).agg(
         F.min("date").alias("_first"), F.max("date").alias("_last"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 FIXED_DIM_LIMIT = 10_000
-SALTS = 32
+SALTS = 8
 
 
 def fixed_dim(spark: SparkSession, rows: Sequence[tuple], schema: str | StructType) -> DataFrame:
@@ -18,29 +18,31 @@ def fixed_dim(spark: SparkSession, rows: Sequence[tuple], schema: str | StructTy
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-                salts: int = SALTS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salt_on: Sequence[str],
+                how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Equi-join of a large left side, whose keys may be hot, with a right side unique per key.
 
-    Left rows get a random-free salt from their content, right rows are repeated once per salt,
-    so a key holding a third of the rows spreads over ``salts`` tasks. Inner, left and semi only:
-    a right row without partner would otherwise appear once per salt.
+    Left rows get a salt from the ``salt_on`` columns (which vary within a key), right rows are
+    repeated once per salt, so a key holding a third of the rows spreads over ``salts`` tasks and
+    AQE can split those further. Named columns keep column pruning intact. Inner, left, semi and
+    anti only: a right row without partner would otherwise appear once per salt.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"salted_join does not support {how}")
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def keep_first_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: Column,
-                 rank_name: str = "_rank", salts: int = SALTS) -> DataFrame:
+                 salt_on: Sequence[str] = ("id",), rank_name: str = "_rank",
+                 salts: int = SALTS) -> DataFrame:
     """First ``n`` rows of each group (``n`` may differ by group) in two rounds.
 
     Round one ranks inside (group, salt) and drops what cannot survive, round two ranks the few
     survivors of a group: at most salts * n rows, whatever the group size was.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
     local = Window.partitionBy(*group, "_salt").orderBy(*order)
     final = Window.partitionBy(*group).orderBy(*order)
     return (
@@ -50,13 +52,14 @@ def keep_first_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n
     )
 
 
-def group_mean(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
+def group_mean(df: DataFrame, group: Sequence[str], value: str, name: str,
+               salt_on: Sequence[str]) -> DataFrame:
     """Group mean on every row: map-side aggregation, then a salted join back.
 
     Unlike a window over the group, no task ever holds a whole group.
     """
     means = df.groupBy(*group).agg(F.avg(value).alias(name))
-    return salted_join(df, means, group, "left")
+    return salted_join(df, means, group, salt_on, "left")
 
 
 def require_no_rows(bad: DataFrame, message: str) -> None:

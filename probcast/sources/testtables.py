@@ -67,7 +67,7 @@ DEFINITIONS: dict[str, str] = {
     "market_forecasts": f"""
         SELECT concat('m', CAST(event_id % {MODEL_COUNT} AS STRING)) AS model_no,
                {_MARKET} AS source, concat('u', CAST(user_id AS STRING)) AS id,
-               date_add(CAST('2024-01-08' AS DATE), CAST((event_id % 2) * 7 AS INT))
+               date_add(CAST('2024-01-08' AS DATE), CAST((CAST(floor(event_id / 12) AS BIGINT) % 2) * 7 AS INT))
                    AS forecast_due_date,
                min((CAST(round(value * 10) AS BIGINT) % 101) / CAST(100 AS DOUBLE)) AS forecast
         FROM {{events}} GROUP BY 1, 2, 3, 4""",
@@ -117,7 +117,7 @@ DEFINITIONS: dict[str, str] = {
                     ELSE 'zero-shot-with-freeze-values' END END AS forecast_variant_key,
                n = 10 AS uses_tools,
                CASE WHEN n BETWEEN 5 AND 10 THEN
-                    date_add(CAST('2023-01-15' AS DATE), CAST((n - 5) * 60 AS INT)) END
+                    date_add(CAST('2023-04-01' AS DATE), CAST((n - 5) * 50 AS INT)) END
                     AS release_date
         FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS t(n)""",
 }
