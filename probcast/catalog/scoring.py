@@ -565,14 +565,14 @@ def trend_crossing(spark, sf):
     fit AS (SELECT question_type, replicate, regr_slope(brier_index, months) AS slope,
                    regr_intercept(brier_index, months) AS intercept, origin
             FROM x GROUP BY question_type, replicate, origin),
-    c AS (SELECT f.*, (r.brier_index - intercept) / slope AS at FROM fit f
+    c AS (SELECT f.*, (r.brier_index - intercept) / nullif(slope, 0) AS hit FROM fit f
           JOIN {SIM} r ON r.question_type = f.question_type AND r.replicate = f.replicate
            AND r.model_pk = '{SUPER_PK}')
     SELECT question_type, replicate, {n('slope', 'slope_per_month', 6)},
-           CASE WHEN slope > 0 AND round(at * 30) BETWEEN -100000 AND 100000
-                 AND origin + CAST(round(at * 30) AS INT) > DATE '2024-03-25'
-                 AND origin + CAST(round(at * 30) AS INT) < DATE '2044-03-25'
-                THEN CAST(origin + CAST(round(at * 30) AS INT) AS DATE) END AS crossing_date
+           CASE WHEN slope > 0 AND round(hit * 30) BETWEEN -100000 AND 100000
+                 AND origin + CAST(round(hit * 30) AS INT) > DATE '2024-03-25'
+                 AND origin + CAST(round(hit * 30) AS INT) < DATE '2044-03-25'
+                THEN CAST(origin + CAST(round(hit * 30) AS INT) AS DATE) END AS crossing_date
     FROM c""")
 def trend_months(spark, sf):
     marks = trend.state_of_the_art(

@@ -20,7 +20,7 @@ def ensemble(forecasts: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
     odds = F.avg(F.when(p < 1, F.ln(p / (F.lit(1.0) - p))))
     geometric = F.exp(F.avg(F.ln(p)))
     log_odds = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
-    trimmed = (F.sum(p) - F.min(p) - F.max(p)) / (n - 2)
+    trimmed = F.try_divide(F.sum(p) - F.min(p) - F.max(p), n - 2)
     return forecasts.groupBy(*key).agg(
         n.alias("n"),
         F.median(p).alias("median"),

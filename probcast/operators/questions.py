@@ -222,8 +222,9 @@ def infer_questions(payload: DataFrame) -> DataFrame:
     known_close = F.when(close != NOT_AVAILABLE, close)
     resolved = F.coalesce("resolved", F.lit(False))
     answers = F.col("answers")
-    yes = F.when(F.lower(answers[0]["name"]) == "yes", answers[0]["probability"]).otherwise(
-        F.try_element_at(answers, F.lit(2))["probability"])
+    first, second = (F.try_element_at(answers, F.lit(k)) for k in (1, 2))
+    yes = F.when(F.lower(first["name"]) == "yes", first["probability"]).otherwise(
+        second["probability"])
     return payload.select(
         F.col("id").cast("string").alias("id"), F.col("name").alias("question"),
         F.coalesce(iso("scoring_start_time"), F.lit(NOT_AVAILABLE)).alias(

@@ -54,7 +54,7 @@ def main() -> int:
             df = query.run(spark, args.d)
             got = [tuple(r) for r in df.collect()]
         except Exception as error:
-            print(f"FAIL {name}: SPARK {str(error)[:1500]}", flush=True)
+            print(f"FAIL {name}: SPARK {repr(error)[:1500]}", flush=True)
             bad += 1
             continue
         took = time.time() - start
