@@ -34,7 +34,7 @@ def register(name: str, sql: str | None = None):
 def load() -> dict[str, Query]:
     """All registered queries (imports the modules that register them)."""
     from probcast.catalog import (  # noqa: F401
-        resolution, sampling, scoring, series,
+        forecasters, questions, reports, resolution, sampling, scoring, series, tables,
     )
 
     return REGISTRY

@@ -240,8 +240,7 @@ def screen_metaculus(listing: DataFrame, as_of: date) -> DataFrame:
 
 
 def screen_polymarket(listing: DataFrame) -> DataFrame:
-    outcomes = F.array_sort(F.transform(
-        F.from_json("outcomes", "array<string>"), lambda o: F.lower(o)))
+    outcomes = F.sort_array(F.from_json(F.lower("outcomes"), "array<string>"))
     binary = outcomes == F.array(F.lit("no"), F.lit("yes"))
     return listing.filter(
         binary & (F.col("liquidityNum") > 25000) & ~F.col("slug").contains("other"))

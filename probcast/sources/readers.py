@@ -246,6 +246,11 @@ def read_forecasts(spark: SparkSession, folder: str, processed: bool = False) ->
         .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder)
         .filter(~F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).startswith("TEST."))
     )
+    return forecast_rows(files, processed)
+
+
+def forecast_rows(files: DataFrame, processed: bool = False) -> DataFrame:
+    """Rows of parsed forecast documents (see read_forecasts)."""
     for name in REQUIRED_ENVELOPE:
         files = files.filter(F.col(name).isNotNull())
     named = F.try_to_date(F.regexp_extract("question_set", DATE_IN_NAME, 1))

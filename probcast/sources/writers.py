@@ -157,22 +157,24 @@ def write_board_csv(published: DataFrame, path: str, trend: bool = False) -> Non
 def parity_document(parity: DataFrame, board: str) -> DataFrame:
     """One JSON text: question type -> board -> dates (three rows in)."""
     dates = F.when(F.col("lower").isNotNull(), F.struct("lower", "upper", "intersection"))
-    return parity.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-        F.col("question_type"), F.create_map(F.lit(board), dates).alias("v")))))).alias("value"))
+    return parity.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
+        F.col("question_type"), F.create_map(F.lit(board), dates).alias("v"))))).alias("value"))
 
 
 def write_parity_dates(parity: DataFrame, board: str, path: str) -> None:
     parity_document(parity, board).write.mode("overwrite").text(path)
 
 
-def hash_mapping_document(mapping: DataFrame, remaps: DataFrame) -> DataFrame:
-    """Id -> attributes as one JSON object, without the ids that were replaced."""
+def hash_mapping_documents(mapping: DataFrame, remaps: DataFrame) -> DataFrame:
+    """Id -> attributes as JSON objects without the replaced ids, sharded by id hash.
+
+    The mapping grows with the bank, so no single document holds all of it; the reader accepts
+    any number of documents.
+    """
     kept = new_rows(mapping, remaps.select(F.col("old_id").alias("id")), ["id"])
-    return kept.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("id", "attrs"))))).alias("value"))
+    return kept.groupBy(F.substring(F.md5("id"), 1, 2).alias("shard")).agg(F.to_json(
+        F.map_from_entries(F.collect_list(F.struct("id", "attrs")))).alias("value"))
 
 
 def write_hash_mapping(mapping: DataFrame, remaps: DataFrame, path: str) -> None:
-    """JSON-lines of (id, attrs): the mapping grows with the bank, so it is not one document."""
-    new_rows(mapping, remaps.select(F.col("old_id").alias("id")), ["id"]).orderBy(
-        "id").write.mode("overwrite").json(path)
+    hash_mapping_documents(mapping, remaps).write.mode("overwrite").partitionBy("shard").text(path)
