@@ -22,7 +22,7 @@ DATE_IN_NAME = r"(\d{4}-\d{2}-\d{2})"
 REQUIRED_ENVELOPE = ["organization", "model", "model_organization", "question_set", "forecasts"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     filesystem = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     matches = filesystem.globStatus(jvm_path)
@@ -98,14 +98,14 @@ def read_conflict_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return S.empty(spark, S.METADATA)
     return spark.read.schema(S.METADATA).json(path)
 
 
 def read_hash_mapping(spark: SparkSession, path: str) -> DataFrame:
     """(id, attrs MAP) from one JSON object; a missing file gives an empty frame."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return S.empty(spark, "id STRING, attrs MAP<STRING,STRING>")
     text = spark.read.option("wholetext", "true").text(path)
     parsed = F.from_json("value", "map<string,map<string,string>>")
@@ -124,7 +124,7 @@ def load_source(spark: SparkSession, folder: str, source: str, *, questions: boo
         if not use:
             continue
         path = f"{folder}/{source}_{name}.jsonl"
-        out[name] = (spark.read.schema(schema).json(path) if _exists(spark, path)
+        out[name] = (spark.read.schema(schema).json(path) if path_exists(spark, path)
                      else S.empty(spark, schema))
     return out
 
@@ -193,7 +193,7 @@ def read_question_set(spark: SparkSession, folder: str, name: str, check: bool =
 def latest_question_set(spark: SparkSession, folder: str, kind: str = "llm") -> str:
     """File name of the newest set: the pointer file when it names one, else the greatest date."""
     pointer = f"{folder}/latest-{kind}.json"
-    if _exists(spark, pointer):
+    if path_exists(spark, pointer):
         text = spark.read.option("wholetext", "true").text(pointer).first().value.strip()
         if text.endswith(".json") and "{" not in text:
             return check_relative(text)

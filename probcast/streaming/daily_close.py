@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from probcast.sources.readers import path_exists
+
 WATERMARK = "1 day"
 
 
@@ -43,24 +45,19 @@ def write_daily_close(trades: DataFrame, folder: str, checkpoint: str,
     """
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            days = [row.date for row in batch.select("date").distinct().collect()]
-            if not days:
-                return
-            merged = batch
-            try:
-                stored = spark.read.parquet(folder).filter(F.col("date").isin(days))
-                # Written to a side folder first: Spark cannot overwrite what it is reading.
-                upsert_days(stored, batch).write.mode("overwrite").parquet(f"{folder}__next")
-                merged = spark.read.parquet(f"{folder}__next")
-            except Exception as error:  # first batch: nothing stored yet
-                if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
-                    raise
-            merged.write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic").partitionBy("date").parquet(folder)
-        finally:
-            batch.unpersist()
+        # Written once: the aggregate of a micro-batch is then read several times from files.
+        batch.write.mode("overwrite").parquet(f"{folder}__batch")
+        fresh = spark.read.parquet(f"{folder}__batch")
+        days = [row.date for row in fresh.select("date").distinct().collect()]
+        if not days:
+            return
+        if path_exists(spark, folder):
+            stored = spark.read.parquet(folder).filter(F.col("date").isin(days))
+            # A side folder again, since Spark cannot overwrite what it is reading.
+            upsert_days(stored, fresh).write.mode("overwrite").parquet(f"{folder}__next")
+            fresh = spark.read.parquet(f"{folder}__next")
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "date").parquet(folder)
 
     return streaming_daily_last(trades, watermark).writeStream.outputMode("update").option(
         "checkpointLocation", checkpoint).foreachBatch(merge)
