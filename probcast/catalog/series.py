@@ -108,27 +108,27 @@ def trailing_sums(spark, sf):
     return S.trailing_sums(S.conflict_daily(events), asked, [30, 360], ["country", "metric"])
 
 
-# Interval history: each trade holds until the next one; the last one stays open.
+# Interval history: each trade holds for some hours; every fiftieth one is still open.
 def history(spark, sf):
-    from pyspark.sql import Window
-
-    ordered = Window.partitionBy("id").orderBy("ts", "seq")
+    hours = (F.col("seq") % 60).cast("int")
+    end = F.col("ts") + F.make_dt_interval(F.lit(0), hours)
     return I.filled_trades(spark, sf).select(
-        "id", F.col("ts").alias("start_ts"), F.lead("ts").over(ordered).alias("end_ts"), "value")
+        "id", F.col("ts").alias("start_ts"), F.when(F.col("seq") % 50 != 0, end).alias("end_ts"),
+        "value")
 
 
 @register("close_intervals_t8", f"""
     WITH h AS (
-        SELECT id, ts AS start_ts, value,
-               coalesce(lead(ts) OVER (PARTITION BY id ORDER BY ts, seq),
-                        CAST({d(TRADES_AS_OF)} AS TIMESTAMP)) AS end_ts
+        SELECT id, ts AS start_ts, value, CASE WHEN seq % 50 <> 0
+                    THEN ts + to_hours(CAST(seq % 60 AS INT))
+                    ELSE CAST({d(TRADES_AS_OF)} AS TIMESTAMP) END AS end_ts
         FROM {T.sql('trades')} WHERE is_filled),
     kept AS (
         SELECT *, CASE WHEN strftime(end_ts, '%H:%M:%S.%f') = '23:59:59.999999'
                        THEN CAST(end_ts AS DATE) ELSE CAST(end_ts AS DATE) - 1 END AS date
         FROM h WHERE CAST(start_ts AS DATE) <> CAST(end_ts AS DATE)
                   OR strftime(end_ts, '%H:%M:%S.%f') = '23:59:59.999999'),
-    daily AS (SELECT id, CAST(date AS DATE) AS date, arg_max(value, end_ts) AS value FROM kept
+    daily AS (SELECT id, CAST(date AS DATE) AS date, arg_max(value, (end_ts, start_ts)) AS value FROM kept
               GROUP BY 1, 2),
     span AS (SELECT id, CAST(min(CAST(start_ts AS DATE)) AS DATE) AS a,
                     CAST(max(date) AS DATE) AS b FROM kept GROUP BY id),

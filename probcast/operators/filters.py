@@ -247,7 +247,7 @@ def screen_polymarket(listing: DataFrame) -> DataFrame:
 
 
 def screen_infer(listing: DataFrame) -> DataFrame:
-    predictions = F.try_element_at("answers", F.lit(1))["predictions_count"]
+    predictions = F.get("answers", F.lit(0))["predictions_count"]
     return listing.filter(
         (F.col("state") == "active") & (F.col("type") == "Forecast::YesNoQuestion")
         & (predictions > 0))

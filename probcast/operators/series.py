@@ -178,7 +178,7 @@ def close_intervals(history: DataFrame, as_of: date, key: Sequence[str] = KEY) -
         .withColumn("date", F.when(at_day_end, end_day).otherwise(F.date_sub(end_day, 1)))
     )
     daily = kept.groupBy(*key, "date").agg(
-        F.max_by(F.struct("value"), "_end").alias("_last"),
+        F.max_by(F.struct("value"), F.struct("_end", "start_ts")).alias("_last"),
         F.min("start_ts").alias("_start"),
     )
     first = F.min(F.col("_start").cast("date")).over(Window.partitionBy(*key))

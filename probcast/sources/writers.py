@@ -1,8 +1,7 @@
 """Writers of the published and stored file formats. Parquet is the internal format.
 
-The published JSON files hold one document per due date or submission. Such a document is built by
-collecting the rows of one document, which is bounded by the size of a question set (hundreds of
-questions times directions and horizons); many documents are written in parallel.
+The published JSON files hold one document per due date or submission; documents are built by
+collecting their rows, at most a fixed number per document, and are written in parallel.
 """
 
 from __future__ import annotations
@@ -40,19 +39,33 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
         "source").parquet(path)
 
 
+ROWS_PER_DOCUMENT = 50_000
+
+
 def documents(rows: DataFrame, envelope: Sequence[str], body: Sequence[Column], name: str,
-              order: Sequence[str]) -> DataFrame:
-    """One JSON text per envelope, its rows as an ordered array under ``name``."""
+              order: Sequence[str], limit: int = ROWS_PER_DOCUMENT) -> DataFrame:
+    """JSON texts per envelope (columns: envelope, part, document), rows ordered under ``name``.
+
+    A document normally holds one envelope. Envelopes of more than ``limit`` rows are split into
+    parts by a hash of the row, so that no group grows without bound; readers take any number of
+    documents with the same envelope.
+    """
+    sizes = rows.groupBy(*envelope).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("_parts"))
+    part = F.pmod(F.xxhash64(*order), F.col("_parts")).cast("int")
     entry = F.struct(*order, F.struct(*body).alias("_body"))
-    listed = rows.select(*envelope, entry.alias("_entry")).groupBy(*envelope).agg(
+    listed = rows.join(sizes, list(envelope)).select(
+        *envelope, part.alias("part"), entry.alias("_entry")).groupBy(*envelope, "part").agg(
         F.array_sort(F.collect_list("_entry")).alias("_entries"))
     packed = F.struct(*envelope, F.transform("_entries", lambda e: e["_body"]).alias(name))
-    return listed.select(*envelope, F.to_json(packed, KEEP_NULLS).alias("document"))
+    return listed.select(*envelope, "part", F.to_json(packed, KEEP_NULLS).alias("document"))
 
 
-def _save_documents(docs: DataFrame, file_name: Column, path: str) -> None:
-    docs.select(file_name.alias("file_name"), F.col("document").alias("value")).write.mode(
-        "overwrite").partitionBy("file_name").text(path)
+def _save_documents(docs: DataFrame, stem: Column, path: str) -> None:
+    """One folder per document, named as the published file (later parts get a number)."""
+    suffix = F.when(F.col("part") > 0, F.concat(F.lit(".part"), F.col("part").cast("string"),
+                                                F.lit(".json"))).otherwise(".json")
+    docs.select(F.concat(stem, suffix).alias("file_name"), F.col("document").alias("value")
+                ).write.mode("overwrite").partitionBy("file_name").text(path)
 
 
 def id_value(ids: Column) -> Column:
@@ -73,7 +86,7 @@ def resolution_set_documents(resolved: DataFrame) -> DataFrame:
 
 def write_resolution_set(resolved: DataFrame, path: str) -> None:
     _save_documents(resolution_set_documents(resolved), F.concat(
-        F.col("forecast_due_date").cast("string"), F.lit("_resolution_set.json")), path)
+        F.col("forecast_due_date").cast("string"), F.lit("_resolution_set")), path)
 
 
 PROCESSED_ENVELOPE = ["organization", "model_organization", "model", "forecast_due_date"]
@@ -113,8 +126,7 @@ def question_set_documents(questions: DataFrame) -> DataFrame:
 
 def write_question_set(questions: DataFrame, path: str) -> None:
     _save_documents(question_set_documents(questions), F.concat_ws(
-        "-", F.col("forecast_due_date").cast("string"),
-        F.concat("question_set", F.lit(".json"))), path)
+        "-", F.col("forecast_due_date").cast("string"), "question_set"), path)
 
 
 def forecast_documents(forecasts: DataFrame, envelope: Sequence[str]) -> DataFrame:
@@ -126,7 +138,9 @@ def forecast_documents(forecasts: DataFrame, envelope: Sequence[str]) -> DataFra
 
 def write_forecasts(forecasts: DataFrame, envelope: Sequence[str], file_name: Column, path: str
                     ) -> None:
-    _save_documents(forecast_documents(forecasts, envelope), file_name, path)
+    """``file_name``: the published name (see functions.text); its ending is added here."""
+    _save_documents(forecast_documents(forecasts, envelope),
+                    F.regexp_replace(file_name, r"\.json$", ""), path)
 
 
 def question_effect_rows(dataset: DataFrame, market: DataFrame, board: str) -> DataFrame:
