@@ -48,20 +48,19 @@ def conflict_questions(spark, sf):
         "id", "question", num("freeze_value"))
 
 
+# Stored and new sides of the updates: parts, and customers under shifted numbers, overlap in part.
 @register("update_conflict_questions_u4", """
     SELECT coalesce(s.id, g.id) AS id, coalesce(g.question, s.question) AS question,
            coalesce(s.url, g.url) AS url
-    FROM (SELECT o_orderkey AS id, 'old' AS question, 'kept' AS url FROM orders
-          WHERE o_orderkey % 2 = 0) s
-    FULL JOIN (SELECT o_orderkey AS id, o_orderpriority AS question, 'new' AS url FROM orders
-               WHERE o_orderkey % 3 = 0) g ON g.id = s.id""")
+    FROM (SELECT p_partkey AS id, p_type AS question, 'kept' AS url FROM part) s
+    FULL JOIN (SELECT c_custkey + 1000 AS id, c_mktsegment AS question, 'new' AS url FROM customer) g
+      ON g.id = s.id""")
 def update_conflict(spark, sf):
-    orders = T.raw(spark, sf, "orders")
-    stored = orders.filter("o_orderkey % 2 = 0").select(
-        F.col("o_orderkey").alias("id"), F.lit("old").alias("question"),
+    stored = T.raw(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_type").alias("question"),
         F.lit("kept").alias("url"))
-    fresh = orders.filter("o_orderkey % 3 = 0").select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("question"),
+    fresh = T.raw(spark, sf, "customer").select(
+        (F.col("c_custkey") + 1000).alias("id"), F.col("c_mktsegment").alias("question"),
         F.lit("new").alias("url"))
     return Q.update_conflict_questions(stored, fresh)
 
@@ -157,11 +156,12 @@ def nested(spark, sf):
     return Q.nested_observations(packed).select("id", "date", num(F.col("value"), "value", 2))
 
 
+# All parts are stored or listed; prices come from returned lines; one brand is nullified.
 @register("stock_questions_g6_u8", """
-    WITH p AS (SELECT l_partkey AS id, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber)) AS c
-               FROM lineitem WHERE l_partkey % 13 <> 0 GROUP BY 1),
-    k AS (SELECT p_partkey AS id, p_partkey % 3 <> 0 AS stored, p_partkey % 5 <> 0 AS listed,
-                 p_partkey % 17 = 0 AS dead FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 5 <> 0)
+    WITH p AS (SELECT l_partkey AS id, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS c
+               FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1),
+    k AS (SELECT p_partkey AS id, p_size > 5 AS stored, p_size <= 30 AS listed,
+                 p_brand = 'Brand#7' AS dead FROM part)
     SELECT CAST(k.id AS VARCHAR) AS id,
            stored AND (dead OR (p.c IS NULL AND NOT listed)) AS resolved,
            CASE WHEN NOT (stored AND (dead OR (p.c IS NULL AND NOT listed)))
@@ -171,29 +171,27 @@ def nested(spark, sf):
 def stocks(spark, sf):
     key = F.col("p_partkey").cast("string").alias("id")
     parts = T.raw(spark, sf, "part")
-    closes = T.raw(spark, sf, "lineitem").filter("l_partkey % 13 <> 0").groupBy(
-        F.col("l_partkey").cast("string").alias("id")).agg(F.max_by(
-            "l_extendedprice", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias(
-            "value")).withColumn("date", F.lit(date(2024, 1, 1)))
-    dead = parts.filter("p_partkey % 17 = 0")
-    nothing = parts.filter("p_partkey < 0").select(key.alias("old_id"), key.alias("new_id"))
+    closes = T.raw(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40").groupBy(
+        F.col("l_partkey").cast("string").alias("id")).agg(F.max_by("l_extendedprice", F.struct(
+            "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).alias("value")).withColumn(
+        "date", F.lit(date(2024, 1, 1)))
+    dead = parts.filter("p_brand = 'Brand#7'")
+    renames = parts.select(key.alias("old_id"), key.alias("new_id")).limit(0)
     return Q.stock_questions(
-        parts.filter("p_partkey % 3 <> 0").select(key), closes,
-        parts.filter("p_partkey % 5 <> 0").select(key),
-        dead.select(F.lit("yfinance").alias("source"), key), nothing).select(
+        parts.filter("p_size > 5").select(key), closes,
+        parts.filter("p_size <= 30").select(key),
+        dead.select(F.lit("yfinance").alias("source"), key), renames).select(
         "id", "resolved", num(F.col("freeze_value"), "freeze_value", 2))
 
 
 @register("wanted_ids_u8", """
-    SELECT id FROM ((SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 0)
-        UNION (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7))
-    WHERE id % 5 <> 0 AND id % 7 <> 0""")
+    (SELECT p_partkey AS id FROM part UNION SELECT c_custkey + 1000 FROM customer)
+    EXCEPT SELECT s_suppkey FROM supplier EXCEPT SELECT user_id FROM events""")
 def wanted(spark, sf):
-    part = T.raw(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    line = T.raw(spark, sf, "lineitem").filter("l_linenumber = 7").select(
-        F.col("l_partkey").alias("id"))
-    return U.wanted_ids(part.filter("id % 2 = 0"), line, part.filter("id % 5 = 0"),
-                        part.filter("id % 7 = 0"))
+    ids = lambda name, column: T.raw(spark, sf, name).select(column.cast("bigint").alias("id"))
+    return U.wanted_ids(ids("part", F.col("p_partkey")), ids("customer", F.col("c_custkey") + 1000),
+                        ids("supplier", F.col("s_suppkey")),
+                        ids("events", F.col("user_id")).distinct())
 
 
 @register("renamed_series_g7_j13", f"""
@@ -403,18 +401,19 @@ def validity(spark, sf):
 # --- upserts -------------------------------------------------------------------------------------
 
 def _stored_new(spark, sf):
-    orders = T.raw(spark, sf, "orders")
-    pick = lambda step, label: orders.filter(f"o_orderkey % {step} = 0").select(
-        F.col("o_orderkey").alias("id"), F.lit(label).alias("side"),
-        F.when(F.col("o_custkey") % step == 1, F.lit(None)).otherwise(
-            F.col("o_custkey")).cast("bigint").alias("value"))
-    return pick(2, "stored"), pick(3, "new")
+    stored = T.raw(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.lit("stored").alias("side"),
+        F.when(F.col("p_size") <= 40, F.col("p_size")).cast("bigint").alias("value"))
+    new = T.raw(spark, sf, "customer").select(
+        (F.col("c_custkey") + 1000).alias("id"), F.lit("new").alias("side"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).cast("bigint").alias("value"))
+    return stored, new
 
 
-_STORED = """(SELECT o_orderkey AS id, 'stored' AS side,
-    CASE WHEN o_custkey % 2 = 1 THEN NULL ELSE o_custkey END AS value FROM orders WHERE o_orderkey % 2 = 0)"""
-_NEW = """(SELECT o_orderkey AS id, 'new' AS side,
-    CASE WHEN o_custkey % 3 = 1 THEN NULL ELSE o_custkey END AS value FROM orders WHERE o_orderkey % 3 = 0)"""
+_STORED = """(SELECT p_partkey AS id, 'stored' AS side,
+    CAST(CASE WHEN p_size <= 40 THEN p_size END AS BIGINT) AS value FROM part)"""
+_NEW = """(SELECT c_custkey + 1000 AS id, 'new' AS side,
+    CAST(CASE WHEN c_acctbal >= 0 THEN c_nationkey END AS BIGINT) AS value FROM customer)"""
 
 
 @register("keyed_upsert_u3", f"""
@@ -464,27 +463,25 @@ def known_rows(spark, sf):
 
 
 @register("capped_append_u6", f"""
-    WITH room AS (SELECT greatest(0, 6000 - (SELECT count(*) FROM {_STORED}
-                  WHERE value IS NULL OR value % 4 <> 0)) AS k),
+    WITH room AS (SELECT greatest(0, 2000 - (SELECT count(*) FROM {_STORED}
+                  WHERE value IS NULL OR value > 3)) AS k),
     c AS (SELECT x.*, row_number() OVER (ORDER BY x.id) AS place FROM {_NEW} x
           ANTI JOIN {_STORED} s ON s.id = x.id)
     SELECT id, side FROM {_STORED} UNION ALL
     SELECT id, side FROM c WHERE place <= (SELECT k FROM room)""")
 def capped_append(spark, sf):
     stored, new = _stored_new(spark, sf)
-    return U.append_capped(stored, new, ["id"], 6000,
-                           "value is null or value % 4 <> 0").select("id", "side")
+    return U.append_capped(stored, new, ["id"], 2000,
+                           "value is null or value > 3").select("id", "side")
 
 
 @register("replaced_source_u7", """
-    SELECT o_orderstatus AS source, o_orderkey AS id, 'old' AS label FROM orders
-    WHERE o_orderstatus <> 'F'
-    UNION ALL SELECT o_orderstatus, o_orderkey, 'new' FROM orders
-    WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0""")
+    SELECT o_orderstatus AS source, o_orderkey AS id,
+           CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END AS label FROM orders""")
 def replaced_source(spark, sf):
     rows = T.raw(spark, sf, "orders").select(
         F.col("o_orderstatus").alias("source"), F.col("o_orderkey").alias("id"))
-    new = rows.filter("source = 'F' and id % 2 = 0").withColumn("label", F.lit("new"))
+    new = rows.filter("source = 'F'").withColumn("label", F.lit("new"))
     return U.replace_source(rows.withColumn("label", F.lit("old")), new)
 
 
