@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,26 @@ def build_session(
         builder = builder.config(key, value)
     for key, value in settings.items():
         builder = builder.config(key.replace("_", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_probcast_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="probcast-"), "probcast.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._probcast_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
