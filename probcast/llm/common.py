@@ -39,6 +39,25 @@ def held_out(key: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % folds == 0, F.lit(False))
 
 
+def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, limits: dict[int, int],
+                    key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """A bounded sample to learn from, and the number of usable labels of each class.
+
+    Labels of the held-out fold, null labels and null keys are left out. Each class gives the rows
+    whose key hashes lowest, about ``limits[class]`` of them, so the sample is repeatable; their keys
+    are few by these limits and travel to the texts as a broadcast. The result has ``text``, ``y``.
+    """
+    usable = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).select(
+        F.col(key).alias("_key"), (F.col(label) != 0).cast("int").alias("y"), F.xxhash64(key).alias("_o"))
+    sizes = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    chosen = None
+    for y, limit in limits.items():
+        part = usable.filter(F.col("y") == y).orderBy("_o").limit(limit)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return source.join(F.broadcast(chosen.drop("_o")), "_key").select("text", "y"), sizes
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text",
                 limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that one slice has about ``limit`` bytes of text, or a single row."""

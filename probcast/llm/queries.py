@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probcast.llm import quality_rules, toxicity
+from probcast.llm import quality_rules, shingle_join, toxicity
 from probcast.llm.common import held_out, read_table, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,17 +34,18 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed", "kept", "rule")
 
 
-def learnable(spark: SparkSession, folder: str, label: str) -> DataFrame:
-    """Text and label of the labelled documents outside the held-out fold."""
-    labels = read_table(spark, folder, "labels").select("doc_id", label)
-    docs = read_table(spark, folder, "documents").select("doc_id", "text")
-    return docs.join(labels, "doc_id").filter(~held_out(F.col("doc_id"))).select("text", label)
-
-
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
-    model = toxicity.fit_toxicity(learnable(spark, folder, "toxic"))
-    scored = toxicity.score_toxicity(read_table(spark, folder, "documents"), model, ["doc_id"])
+    docs = read_table(spark, folder, "documents")
+    model = toxicity.fit_toxicity(docs, read_table(spark, folder, "labels"))
+    scored = toxicity.score_toxicity(docs, model, ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_shingle_jaccard_join")
+def op7_shingle_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under 4-word shingle similarity of 0.85 or more."""
+    found = shingle_join.jaccard_components(read_table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from probcast.llm.common import split_words, stored, text_slices
+from probcast.llm.common import sample_labelled, split_words, stored, text_slices
 
 SPAN = 7
 DECAY = 0.5
@@ -348,31 +348,18 @@ def _units(rows, name: str = "unit") -> list[str]:
     return [bytes(r[name]).decode("utf-8", "replace").lower() for r in rows]
 
 
-def fit_toxicity(labelled: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
-    """Learn from rows with ``text`` and ``toxic``: at most ``toxic_rows`` + ``other_rows`` of them.
-
-    Rows are taken in hash order of their text, so the sample is repeatable.
-    """
-    rows = labelled.filter(F.col("toxic").isNotNull()).select(
-        F.coalesce(F.col("text"), F.lit("")).alias("text"), (F.col("toxic") != 0).cast("int").alias("y"))
-    rows = rows.withColumn("_o", F.xxhash64("text"))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = sizes.get(1, 0) / max(sum(sizes.values()), 1)
-    none = np.zeros(0, np.int64), np.zeros(0), 0.0
-    if min(sizes.get(0, 0), sizes.get(1, 0)) == 0:
-        share = min(max(share, 1e-4), 1 - 1e-4)
-        return ToxicityModel(*none, (float(np.log(share / (1 - share))), *[0.0] * len(EVIDENCE)))
-    limit = {0: options.other_rows, 1: options.toxic_rows}
-    parts = []
-    for y in (0, 1):
-        mine = rows.filter(F.col("y") == y)
-        if sizes[y] > limit[y]:
-            bound = mine.select("_o").orderBy("_o").limit(limit[y]).agg(F.max("_o")).first()[0]
-            mine = mine.filter(F.col("_o") <= bound)
-        parts.append(mine)
-    sample = stored(parts[0].unionByName(parts[1]).select("text", "y"))
-    counts = stored(_unit_counts(sample))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id",
+                 options: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
+    """Learn from a bounded sample of labelled texts (``toxic_rows`` and ``other_rows``)."""
+    sample, sizes = sample_labelled(docs, labels, label, {0: options.other_rows, 1: options.toxic_rows}, key)
+    sample = stored(sample)
+    share = min(max(sizes.get(1, 0) / max(sum(sizes.values()), 1), 1e-4), 1 - 1e-4)
     taken = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    no_model = ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 0.0,
+                             (float(np.log(share / (1 - share))), *[0.0] * len(EVIDENCE)))
+    if len(taken) < 2:
+        return no_model
+    counts = stored(_unit_counts(sample))
     odds = taken[1] / taken[0]
     counts = counts.withColumn("lift", F.col("pos") / (odds * (F.col("neg") + 0.5)))
     surprise = (F.col("pos") - odds * F.col("neg")) / F.sqrt(F.col("pos") + odds * F.col("neg"))
@@ -383,7 +370,7 @@ def fit_toxicity(labelled: DataFrame, options: ToxicityOptions = ToxicityOptions
     positive, support = _units(only), np.array([r["pos"] for r in only], float)
     negative = _units(plain)
     if not positive or not negative:
-        return ToxicityModel(*none, (float(np.log(share / (1 - share))), *[0.0] * len(EVIDENCE)))
+        return no_model
     fitted = _fit_units(positive, support, negative, options)
     hard: list[str] = []
     for _ in range(options.rounds):
@@ -397,7 +384,7 @@ def fit_toxicity(labelled: DataFrame, options: ToxicityOptions = ToxicityOptions
     margins = text_margins(sample, *fitted, keep=["y"]).collect()
     x = np.array([(1.0, *(r[f"_{n}"] for n in EVIDENCE)) for r in margins])
     y = np.array([r["y"] for r in margins], float)
-    weight = np.where(y > 0, sizes[1] / max(y.sum(), 1), sizes[0] / max((1 - y).sum(), 1))
+    weight = np.where(y > 0, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1))
     return ToxicityModel(*fitted, tuple(_logistic(x, y, weight / weight.mean())))
 
 
