@@ -30,7 +30,8 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from probcast.llm.common import mix, split_words, stored, text_slices
 from probcast.llm.components import connected_components
@@ -304,30 +305,60 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, test
              .withColumn("i", F.explode(F.sequence(F.lit(0), parts("out") - 1))).withColumn("side", F.lit(1)))
     columns = ["bucket", "i", "j", "side", "id", "n", "label"]
     cells = left.select(*columns).unionByName(right.select(*columns)).join(classes.select("id", "sketch"), "id")
-    id_type = members.schema["id"].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        out_a, out_b = [], []
-        size = min(map(len, frame["sketch"]))
-        fold = lambda part: np.stack([fold_sketch(np.frombuffer(s, np.uint8), size) for s in part["sketch"]])
-        if len(left) and len(right):
-            there = fold(right)
-            ids, ns, labels = right["id"].to_numpy(), right["n"].to_numpy(), right["label"].to_numpy()
-            for sketch, i, n, label in zip(fold(left), left["id"], left["n"], left["label"]):
-                least = -(-percent * (n + ns) // (100 + percent))
-                ok = (labels != label) & (least <= np.minimum(ns, n))
-                at = np.flatnonzero(ok)
-                apart = np.bitwise_count(there[at] ^ sketch).sum(axis=1, dtype=np.int64)
-                at = at[apart <= n + ns[at] - 2 * least[at]]
-                out_a.append(np.minimum(i, ids[at]))
-                out_b.append(np.maximum(i, ids[at]))
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": a, "b": b})
-
-    found = cells.groupBy("bucket", "i", "j").applyInPandas(run, f"a {id_type}, b {id_type}").distinct()
-    return found.join(tested, ["a", "b"], "left_anti")
+    cells = cells.select(*columns, "sketch").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+
+    def run(batches):
+        carry = None
+        for batch in batches:
+            frame = batch.to_pandas()
+            if carry is not None:
+                frame = pd.concat([carry, frame], ignore_index=True)
+            keys = frame[["bucket", "i", "j"]].to_numpy()
+            last = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            carry = frame.iloc[cut:]
+            if cut:
+                yield _compare_cells(frame.iloc[:cut], keys[:cut], percent, pairs_schema)
+        if carry is not None:
+            yield _compare_cells(carry, carry[["bucket", "i", "j"]].to_numpy(), percent, pairs_schema)
+
+    id_type = members.schema["id"].dataType
+    spark_schema = StructType([StructField("a", id_type), StructField("b", id_type)])
+    pairs_schema = to_arrow_schema(spark_schema)
+    return cells.mapInArrow(run, spark_schema).distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def _compare_cells(frame: pd.DataFrame, keys: np.ndarray, percent: int, schema: pa.Schema) -> pa.RecordBatch:
+    """Pairs (outsider, member) of each cell whose components differ and whose sketches allow a link."""
+    out_a: list = []
+    out_b: list = []
+    edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
+    side, ids, ns = frame["side"].to_numpy(), frame["id"].to_numpy(), frame["n"].to_numpy()
+    labels, sketches = frame["label"].to_numpy(), frame["sketch"].to_numpy()
+    for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        middle = start + int(np.searchsorted(side[start:stop], 1))
+        if middle == start or middle == stop:
+            continue
+        large = (middle - start) * (stop - middle) > 64
+        if large:
+            size = min(map(len, sketches[start:stop]))
+            there = np.stack([fold_sketch(np.frombuffer(x, np.uint8), size) for x in sketches[middle:stop]])
+        for x in range(start, middle):
+            n, m = int(ns[x]), ns[middle:stop]
+            least = -(-percent * (n + m) // (100 + percent))
+            at = np.flatnonzero((labels[middle:stop] != labels[x]) & (least <= np.minimum(n, m)))
+            if large:
+                own = fold_sketch(np.frombuffer(sketches[x], np.uint8), size)
+                apart = np.bitwise_count(there[at] ^ own).sum(axis=1, dtype=np.int64)
+                at = at[apart <= n + m[at] - 2 * least[at]]
+            else:
+                at = [k for k in at.tolist()
+                      if _sketches_allow(sketches[x], sketches[middle + k], n, int(m[k]), percent)]
+            for k in at:
+                y = ids[middle + k]
+                out_a.append(min(ids[x], y))
+                out_b.append(max(ids[x], y))
+    return pa.RecordBatch.from_pydict({"a": out_a, "b": out_b}, schema=schema)
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
