@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probcast.llm import quality_rules, shingle_join, toxicity
+from probcast.llm import packing, quality_rules, shingle_join, toxicity
 from probcast.llm.common import held_out, read_table, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,12 @@ def op7_shingle_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under 4-word shingle similarity of 0.85 or more."""
     found = shingle_join.jaccard_components(read_table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("op6_minimum_bin_slack_packing")
+def op6_minimum_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces with their places in sequences of 1024 tokens."""
+    packed = packing.pack_texts(read_table(spark, folder, "documents"),
+                                public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32",
+                         "sequence_id", "offset")
