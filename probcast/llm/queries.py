@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probcast.llm import packing, quality_rules, shingle_join, toxicity
+from probcast.llm import packing, quality_rules, rans, shingle_join, toxicity
 from probcast.llm.common import held_out, read_table, stored
+from probcast.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +61,12 @@ def op6_minimum_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame
                                 public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32",
                          "sequence_id", "offset")
+
+
+@query("op9_rans_token_files")
+def op9_rans_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as they read back from coded token files."""
+    files = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
+    rans.write_token_files(read_table(spark, folder, "documents"), files,
+                           public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return rans.read_token_files(spark, files, keep_tokens=False).withColumnRenamed("id", "doc_id")
