@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probcast.llm import packing, quality_rules, rans, shingle_join, toxicity
+from probcast.llm import packing, quality_model, quality_rules, rans, shingle_join, toxicity
 from probcast.llm.common import held_out, read_table, stored
 from probcast.session import ensure_checkpoint_dir
 
@@ -70,3 +70,13 @@ def op9_rans_token_files(spark: SparkSession, folder: str) -> DataFrame:
     rans.write_token_files(read_table(spark, folder, "documents"), files,
                            public_tokenizers.path("word_bpe_49k.json"), end=1)
     return rans.read_token_files(spark, files, keep_tokens=False).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_ngram_quality")
+def op4_ngram_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read_table(spark, folder, "documents")
+    model = quality_model.fit_quality(docs, read_table(spark, folder, "labels"))
+    scored = quality_model.score_quality(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
