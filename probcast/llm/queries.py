@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probcast.llm import packing, quality_model, quality_rules, rans, shingle_join, toxicity
+from probcast.llm import html_text, packing, quality_model, quality_rules, rans, shingle_join, toxicity
 from probcast.llm.common import held_out, read_table, stored
 from probcast.session import ensure_checkpoint_dir
 
@@ -80,3 +80,9 @@ def op4_ngram_quality(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality_model.score_quality(docs, model, ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_html_text")
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_text(read_table(spark, folder, "pages"))
