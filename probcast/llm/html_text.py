@@ -99,6 +99,9 @@ EXAMPLES = [
     (60, 0.8, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (7, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0),
     (3, 0.3, 80, 0.0, 0, 0.0, 0, 0, 0, 0), (8, 0.6, 100, 0.0, 4, 1.0, 0, 0, 0, 0),
     (5, 0.0, 1, 1.0, 4, 0.9, 1, 0, 0, 0), (3, 0.0, 3, 0.0, 2, 1.0, 1, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0, 0), (12, 0.9, 1, 1.0, 90, 0.0, 0, 0, 0, 0),
+    (4, 1.0, 0, 0.0, 100, 0.0, 0, 0, 0, 0), (30, 0.8, 2, 1.0, 40, 0.0, 0, 0, 0, 0),
+    (6, 0.8, 60, 0.0, 70, 0.0, 0, 0, 0, 0), (3, 1.0, 80, 0.0, 60, 0.0, 0, 0, 0, 0),
     (2, 1.0, 60, 0.0, 3, 1.0, 1, 0, 0, 0), (4, 0.0, 30, 0.0, 1, 1.0, 0, 0, 0, 0),
 ]
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probcast.llm import html_text, packing, quality_model, quality_rules, rans, shingle_join, toxicity
+from probcast.llm import fixity, html_text, packing, quality_model, quality_rules, rans, shingle_join, toxicity
 from probcast.llm.common import held_out, read_table, stored
 from probcast.session import ensure_checkpoint_dir
 
@@ -86,3 +86,38 @@ def op4_ngram_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract_text(read_table(spark, folder, "pages"))
+
+
+FILE_PAGES = 512  # pages per WARC file
+DAMAGE = {"changed": "00", "missing": "01"}  # first hex digits of a page number's MD5
+
+OP1_SQL = f"""
+WITH record AS (
+  SELECT page_id, page_id // {FILE_PAGES} AS file,
+         strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: '
+           || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+           || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS length
+  FROM pages),
+placed AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset"
+  FROM record)
+SELECT page_id, file, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
+       CASE substr(md5(CAST(page_id AS VARCHAR)), 1, 2) WHEN '00' THEN 'changed' ELSE 'missing' END AS kind
+FROM placed WHERE substr(md5(CAST(page_id AS VARCHAR)), 1, 2) IN ('00', '01')
+"""
+
+
+@query("op1_merkle_fixity", OP1_SQL)
+def op1_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as WARC records against a replica in which known records are changed or missing."""
+    pages = read_table(spark, folder, "pages")
+    mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+    file = F.floor(F.col("page_id") / FILE_PAGES)
+    damaged = F.when((mark == DAMAGE["changed"]) & (F.length("html") > 0),
+                     F.overlay("html", F.lit("?"), F.lit(1), F.lit(1))).otherwise(F.col("html"))
+    original = stored(fixity.lay_out(pages, file, ["page_id"], fixity.warc_record(F.col("url"), F.col("html"))))
+    replica = stored(fixity.lay_out(pages, file, ["page_id"], fixity.warc_record(F.col("url"), damaged))
+                     .filter(F.substring(F.md5(F.col("_o0").cast("string")), 1, 2) != DAMAGE["missing"]))
+    found = fixity.audit(original, replica)
+    return found.join(original.select(F.col("_o0").alias("page_id"), "file", "offset"), ["file", "offset"]).select(
+        "page_id", "file", "offset", "length", "kind")
