@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probcast.llm import fixity, html_text, packing, quality_model, quality_rules, rans, shingle_join, toxicity
+from probcast.llm import fixity, html_text, packing, piece_sampling, quality_model, quality_rules, rans, shingle_join, toxicity
 from probcast.llm.common import held_out, read_table, stored
 from probcast.session import ensure_checkpoint_dir
 
@@ -121,3 +121,11 @@ def op1_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
     found = fixity.audit(original, replica)
     return found.join(original.select(F.col("_o0").alias("page_id"), "file", "offset"), ["file", "offset"]).select(
         "page_id", "file", "offset", "length", "kind")
+
+
+@query("op8_sampled_pieces")
+def op8_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """One sampled segmentation of every document, with the outcome of decoding it."""
+    sampled = piece_sampling.sample_segmentations(
+        read_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+    return sampled.withColumnRenamed("id", "doc_id")
