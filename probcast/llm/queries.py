@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probcast.llm import fixity, html_text, packing, piece_sampling, quality_model, quality_rules, rans, shingle_join, toxicity
+from probcast.llm import bm25_search, fixity, html_text, packing, piece_sampling, quality_model, quality_rules, rans, shingle_join, toxicity
 from probcast.llm.common import held_out, read_table, stored
 from probcast.session import ensure_checkpoint_dir
 
@@ -129,3 +129,18 @@ def op8_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
     sampled = piece_sampling.sample_segmentations(
         read_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
     return sampled.withColumnRenamed("id", "doc_id")
+
+
+@query("op5_block_max_search")
+def op5_block_max_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten best turns of all conversations for every turn of the conversations divisible by 20."""
+    turns = read_table(spark, folder, "conversations")
+    turns = turns.withColumn("key", F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 12, "0"),
+                                                F.lpad(F.col("turn").cast("string"), 6, "0")))
+    found = bm25_search.top_k(turns, F.col("conv_id") % 20 == 0, "key")
+
+    def part(name: str, i: int):
+        return F.split(name, ":")[i].cast("long")
+
+    return found.select(part("query", 0).alias("query_conv_id"), part("query", 1).alias("query_turn"), "rank",
+                        part("key", 0).alias("conv_id"), part("key", 1).alias("turn"), F.round("score", 9).alias("score"))
