@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -44,7 +44,9 @@ class JoinOptions:
     sample_one_in: int = 16
     frequent_in_sample: int = 4
     frequent_limit: int = 100_000  # of the order's hot shingles; the rest keeps hash order
-    block: int = 1024
+    block: int = 1024  # members of a large bucket that one task compares with as many others
+    small_bucket: int = 16
+    pairs_per_task: int = 2048
     largest_light: int = 13
 
 
@@ -241,11 +243,15 @@ def sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame, options: Jo
     return chosen.mapInArrow(run, schema)
 
 
+def _by_size(a: str, b: str, percent: int) -> Column:
+    """Whether the sizes allow a link."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def _sketch_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a``, ``b`` whose sketches allow a link."""
     own = classes.select("id", "n", "sketch")
-    joined = (pairs.join(own.toDF("a", "na", "ka"), "a").join(own.toDF("b", "nb", "kb"), "b")
-              .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    joined = pairs.select("a", "b").join(own.toDF("a", "na", "ka"), "a").join(own.toDF("b", "nb", "kb"), "b")
 
     def run(batches):
         for batch in batches:
@@ -253,41 +259,71 @@ def _sketch_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
             ok = pa.array([_sketches_allow(k, l, m, n, percent) for m, k, n, l in zip(*columns)], pa.bool_())
             yield batch.select(["a", "b"]).filter(ok)
 
-    return joined.select("a", "b", "na", "ka", "nb", "kb").mapInArrow(run, pairs.schema)
+    return joined.select("a", "b", "na", "ka", "nb", "kb").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets reach the threshold exactly."""
-    joined = (pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b").select("a", "b", "ea", "eb"))
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, options: JoinOptions) -> DataFrame:
+    """Pairs whose sets reach the threshold exactly.
+
+    Pairs around the same smallest partner go to one task in groups of bounded size, so that a set
+    travels once per group and not once per pair.
+    """
+    percent, block = options.percent, options.pairs_per_task
+    least = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("r"))
+    rooted = pairs.join(least, "a", "left").withColumn("r", F.coalesce("r", "a"))
+    sizes = rooted.groupBy("r").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    placed = stored(rooted.join(sizes, "r").select(
+        F.xxhash64("r", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("g"), "a", "b"))
+    need = placed.select("g", F.col("a").alias("id")).union(placed.select("g", F.col("b").alias("id"))).distinct()
+    sets = stored(sets_of(docs, key, text, need, options))
+    id_type = pairs.schema["a"].dataType
+    rows = need.join(sets, "id").select(
+        "g", F.lit(0).alias("side"), F.col("id").alias("a"), F.lit(None).cast(id_type).alias("b"), "elements").unionByName(
+        placed.select("g", F.lit(1).alias("side"), "a", "b", F.lit(None).cast("binary").alias("elements")))
+    rows = rows.repartition("g").sortWithinPartitions("g", "side")
 
     def run(batches):
+        group, sets = None, {}
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("ea"), batch.column("eb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for g, side, a, b, raw in zip(*(batch.column(c).to_pylist() for c in ("g", "side", "a", "b")),
+                                          batch.column("elements")):
+                if g != group:
+                    group, sets = g, {}
+                if side == 0:
+                    own = np.frombuffer(raw.as_py(), np.uint64)
+                    sets[a] = own if a not in sets else np.union1d(sets[a], own)
+                    ok.append(False)
+                    continue
+                x, y = sets[a], sets[b]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.mapInArrow(run, pairs.schema)
+    return rows.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _near_pairs(members: DataFrame) -> DataFrame:
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Each member with its predecessor in size order and with the first member of its bucket."""
     order = Window.partitionBy("bucket").orderBy("n", "id")
     first = members.groupBy("bucket").agg(F.min(F.struct("n", "id")).alias("f"))
-    before = members.select("id", F.lag("id").over(order).alias("other"))
-    pivot = members.join(first, "bucket").select("id", F.col("f.id").alias("other"))
-    return (before.union(pivot).filter("other IS NOT NULL AND other <> id")
-            .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    before = members.select("id", "n", F.lag("id").over(order).alias("x"), F.lag("n").over(order).alias("m"))
+    pivot = members.join(first, "bucket").select("id", "n", F.col("f.id").alias("x"), F.col("f.n").alias("m"))
+    return (before.union(pivot).filter("x IS NOT NULL AND x <> id").filter(_by_size("n", "m", percent))
+            .select(*_ordered("id", "x")).distinct())
 
 
 def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, tested: DataFrame,
                  options: JoinOptions) -> DataFrame:
     """Untested pairs of different components that share a bucket and whose sketches allow a link.
 
-    In each bucket only members outside its largest component ("outsiders") meet the others, block
-    by block: a task holds at most two blocks of sketches.
+    In each bucket only members outside its largest component ("outsiders") meet the others: in
+    buckets of at most ``small_bucket`` members by a join, in larger ones block by block, where a task
+    holds at most two blocks of sketches.
     """
     percent, block = options.percent, options.block
     labelled = members.join(labels.toDF("id", "label"), "id", "left").withColumn(
@@ -297,6 +333,12 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, test
         F.max(F.struct("c", "label")).alias("x"), F.count("*").alias("k"), F.sum("c").alias("m")).filter("k > 1").select(
         "bucket", F.col("x.label").alias("main"), "m", (F.col("m") - F.col("x.c")).alias("out"))
     rows = labelled.select("bucket", "id", "n", "label").join(main, "bucket")
+    few = rows.filter(F.col("m") <= options.small_bucket)
+    direct = (few.filter("label <> main").select("bucket", "id", "n", "label")
+              .join(few.select("bucket", F.col("id").alias("x"), F.col("n").alias("k"), F.col("label").alias("l")), "bucket")
+              .filter("label <> l").filter(_by_size("n", "k", percent)).select(*_ordered("id", "x")).distinct())
+    direct = _sketch_filter(direct.join(tested, ["a", "b"], "left_anti"), classes, percent)
+    rows = rows.filter(F.col("m") > options.small_bucket)
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     parts = lambda size: F.greatest(F.lit(1), F.ceil(F.col(size) / block)).cast("int")
     left = (rows.filter("label <> main").withColumn("i", (spread % parts("out")).cast("int"))
@@ -325,7 +367,8 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, test
     id_type = members.schema["id"].dataType
     spark_schema = StructType([StructField("a", id_type), StructField("b", id_type)])
     pairs_schema = to_arrow_schema(spark_schema)
-    return cells.mapInArrow(run, spark_schema).distinct().join(tested, ["a", "b"], "left_anti")
+    blocked = cells.mapInArrow(run, spark_schema).distinct().join(tested, ["a", "b"], "left_anti")
+    return direct.union(blocked).distinct()
 
 
 def _compare_cells(frame: pd.DataFrame, keys: np.ndarray, percent: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -377,11 +420,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     light = sets_of(docs, key, text, small, options).join(small, "id").filter(
         F.length("elements") == 8 * F.col("n")).select("id", "n", "elements")
     members = stored(bucket_members(classes.select("id", "n", "prefix"), light, boundary, options))
-    near = stored(_sketch_filter(_near_pairs(members), classes, options.percent))
-    links = stored(verified(near, _pair_sets(docs, key, text, near, options), options.percent))
+    paired = stored(classes.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi"))
+    near = stored(_sketch_filter(_near_pairs(members, options.percent), paired, options.percent))
+    links = stored(verified(near, docs, key, text, options))
     labels = connected_components(links)
-    cross = stored(_cross_pairs(members, labels, classes, near, options))
-    more = verified(cross, _pair_sets(docs, key, text, cross, options), options.percent)
+    cross = stored(_cross_pairs(members, labels, paired, near, options))
+    more = verified(cross, docs, key, text, options)
     copies = known.filter("n > 0").join(
         classes.select("s1", "s2", F.col("n"), F.col("id").alias("rep")), ["s1", "s2", "n"])
     final = connected_components(links.union(more).union(
@@ -391,8 +435,3 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return described.join(classes_of, ["s1", "s2", "n"], "left").select(
         "id", F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
-
-
-def _pair_sets(docs: DataFrame, key: str, text: str, pairs: DataFrame, options: JoinOptions) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    return stored(sets_of(docs, key, text, ids, options))
