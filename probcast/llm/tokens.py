@@ -1,43 +1,78 @@
 """Token ids of whole texts by the tokenizers library, with each distinct chunk encoded once.
 
-Both vocabularies cut a text before every change from non-space to space, whatever stands around it,
-so the ids of a text are the ids of its chunks in order. A task looks distinct chunks up in a
+Both vocabularies cut a text before every change from non-space to space and between a letter and a
+mark, whatever stands around, so the ids of a text are the ids of its chunks in order. A task looks distinct chunks up in a
 bounded cache, encodes the new ones in one batch and gathers ids with numpy.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from probcast.llm.common import _SPACE, gather_ranges, split_runs, text_bytes
+from probcast.llm.common import _LOWER, _SPACE, gather_ranges, text_bytes
 
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 600_000
 
 # Last bytes that a white space character of several bytes can have.
 _LATE_SPACE = np.zeros(256, dtype=bool)
 _LATE_SPACE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+def _mark_cuts(data: np.ndarray) -> np.ndarray:
+    """Places of an ASCII mark right after a letter (ASCII or from the Latin-1 block)."""
+    cut = np.zeros(len(data), dtype=bool)
+    if len(data):
+        letter = _LETTER[data[:-1]]
+        latin = (data[1:-1] >= 0x80) & (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+        letter[1:] |= latin
+        cut[1:] = _MARK[data[1:]] & letter
+    return cut
+
+
+def _as_runs(data: np.ndarray, first: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    offsets = np.append(first, len(data)).astype(np.int32)
+    chunks = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets),
+                                                             pa.py_buffer(np.ascontiguousarray(data))])
+    return chunks, np.searchsorted(first, bounds)
+
+
 def spaced_chunks(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Chunks "white space, then non-space": cuts stand before a space or line end that follows a
-    byte which surely ends a non-space character. Fewer cuts only make longer chunks."""
+    """Chunks that keep the white space before them.
+
+    Cuts stand before a space or line end that follows a byte which surely ends a non-space character,
+    and between a letter and a mark. Fewer cuts only make longer chunks.
+    """
     n = len(data)
-    cut = np.zeros(n, dtype=bool)
+    cut = _mark_cuts(data)
     if n:
         before = data[:-1]
         plain = (before > 0x20) & (before < 0x7F)
         late = (before >= 0x80) & ~_LATE_SPACE[before]
         late[1:] |= (before[1:] >= 0x80) & (before[:-1] == 0xC3)
-        cut[1:] = ((data[1:] == 0x20) | (data[1:] == 0x0A)) & (plain | late)
+        cut[1:] |= ((data[1:] == 0x20) | (data[1:] == 0x0A)) & (plain | late)
         cut[bounds[:-1][bounds[:-1] < n]] = True
-    first = np.flatnonzero(cut)
-    offsets = np.append(first, n).astype(np.int32)
-    chunks = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets),
-                                                             pa.py_buffer(np.ascontiguousarray(data))])
-    return chunks, np.searchsorted(first, bounds)
+    return _as_runs(data, np.flatnonzero(cut), bounds)
+
+
+def bare_chunks(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Chunks without white space, in ASCII lower case (the vocabulary lowers all letters anyway)."""
+    keep = ~_SPACE[data]
+    cut = _mark_cuts(data)
+    if len(data):
+        cut[1:] |= ~keep[:-1]
+        cut[bounds[:-1][bounds[:-1] < len(data)]] = True
+    place = np.concatenate([[0], np.cumsum(keep)])
+    return _as_runs(_LOWER[data[keep]], place[np.flatnonzero(cut & keep)], place[bounds])
 
 
 class TextEncoder:
@@ -56,29 +91,51 @@ class TextEncoder:
         self.place: dict[bytes, int] = {}
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
+    def _shrink(self) -> None:
+        """Keep chunks that came back, at most half of the cache, those used most."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > CACHE_CHUNKS // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:CACHE_CHUNKS // 2]])
+        number = np.full(len(self.uses), -1, np.int64)
+        number[kept] = np.arange(len(kept))
+        number = number.tolist()
+        self.place = {k: number[i] for k, i in self.place.items() if number[i] >= 0}
+        sizes = self.lengths[kept]
+        self.pool = self.pool[gather_ranges(self.starts[kept], sizes)]
+        self.starts, self.lengths, self.uses = np.cumsum(sizes) - sizes, sizes, np.ones(len(kept), np.int32)
+
     def _lookup(self, chunks: pa.Array) -> np.ndarray:
-        keys = chunks.to_pylist()
-        if len(self.place) + len(keys) > CACHE_CHUNKS:
-            self._reset()
-        place = self.place
+        if len(self.place) + len(chunks) > CACHE_CHUNKS:
+            self._shrink()
+        keys, place = chunks.to_pylist(), self.place
         new = [k for k in keys if k not in place]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(
-                [k.decode("utf-8", "replace") for k in new], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+            sizes, flat = self._encode_new(new)
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
             self.lengths = np.concatenate([self.lengths, sizes])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
             self.pool = np.concatenate([self.pool, flat])
             place.update(zip(new, range(len(place), len(place) + len(new))))
-        return np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))
+        at = np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))
+        self.uses[at] += 1
+        return at
+
+    def _encode_new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, flat = [], []
+        for start in range(0, len(chunks), 4096):
+            texts = [k.decode("utf-8", "replace") for k in chunks[start:start + 4096]]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(flat)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in one array, and the row bounds in it; null counts as empty."""
         data, bounds = text_bytes(texts)
-        runs, rows = spaced_chunks(data, bounds) if self.keep_spaces else split_runs(data, bounds, _SPACE)
+        runs, rows = spaced_chunks(data, bounds) if self.keep_spaces else bare_chunks(data, bounds)
         encoded = runs.dictionary_encode()
         entry = self._lookup(encoded.dictionary)[np.asarray(encoded.indices)]
         sizes = self.lengths[entry]
