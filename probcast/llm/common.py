@@ -19,18 +19,25 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """End Arrow batches by their bytes: rows with long texts or sets must not pile up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a stage once to the shared folder and read it back.
 
     Unlike ``checkpoint`` the stage is computed once, columns can be pruned later, and the files
     outlive any executor.
     """
+    bounded_batches(df.sparkSession)
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -23,7 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from probcast.llm.common import text_slices
+from probcast.llm.common import bounded_batches, text_slices
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -253,6 +253,7 @@ def main_text(page: str | None, tree: Node) -> str:
 def extract_text(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), source: str = "html",
                  examples: Sequence[tuple] = EXAMPLES) -> DataFrame:
     """The ``keep`` columns with ``text`` and ``n_chars`` (its code points) of every page."""
+    bounded_batches(pages.sparkSession)
     schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
     tree = grow_tree(examples)
 

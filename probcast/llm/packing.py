@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from probcast.llm.common import stored, text_slices
+from probcast.llm.common import bounded_batches, stored, text_slices
 from probcast.llm.tokens import TextEncoder, with_end
 
 ROWS_PER_SALT = 20_000
@@ -35,6 +35,7 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
 def token_pieces(docs: DataFrame, path: str, end: int, capacity: int = 1024, key: str = "doc_id",
                  text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces of every text: id, piece, start, length, ids_crc32 and, on request, the ids as bytes."""
+    bounded_batches(docs.sparkSession)
     schema = docs.select(F.col(key).alias("id")).schema
     for name, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")):
         schema = schema.add(name, kind)

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from probcast.llm.common import gather_ranges, mix, text_bytes, text_slices
+from probcast.llm.common import bounded_batches, gather_ranges, mix, text_bytes, text_slices
 
 MARK = 0x2581  # stands for a space in pieces
 NO_CHAR = 0x110000
@@ -254,6 +254,7 @@ def sample_ids(texts: pa.Array, keys: list, vocabulary: PieceVocabulary,
 def sample_segmentations(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                          options: SamplingOptions = SamplingOptions(), keep_ids: bool = True) -> DataFrame:
     """``id``, ``n_tokens``, ``ids_crc32``, ``lossless`` (the ids decode to the text) and ``ids``."""
+    bounded_batches(docs.sparkSession)
     schema = docs.select(F.col(key).alias("id")).schema
     for name, kind in (("n_tokens", "long"), ("ids_crc32", "long"), ("lossless", "boolean")):
         schema = schema.add(name, kind)
@@ -262,7 +263,7 @@ def sample_segmentations(docs: DataFrame, path: str, key: str = "doc_id", text:
 
     def run(batches):
         vocabulary = PieceVocabulary(path, options)
-        for part in text_slices(batches, "_text"):
+        for part in text_slices(batches, "_text", 2 << 20):
             ids, bounds = sample_ids(part.column("_text"), part.column("id").to_pylist(), vocabulary, options)
             data, edges = text_bytes(part.column("_text"))
             back, places = vocabulary.decode(ids, bounds)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from probcast.llm.common import mix, sample_labelled, text_bytes, text_slices
+from probcast.llm.common import bounded_batches, mix, sample_labelled, text_bytes, text_slices
 
 CLASSES = ("mark", "number", "plain", "first capital", "capitals", "echo")
 
@@ -166,6 +166,7 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id",
                 options: QualityOptions = QualityOptions()) -> QualityModel:
     """Learn from a bounded sample of labelled texts; their feature rows are made by Spark tasks."""
+    bounded_batches(docs.sparkSession)
     sample, sizes = sample_labelled(docs, labels, label, {0: options.low_rows, 1: options.high_rows}, key)
 
     def run(batches):
@@ -189,6 +190,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", key:
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: list[str], text: str = "text") -> DataFrame:
     """The ``keep`` columns with ``score`` (0 to 1) of every whole text."""
+    bounded_batches(docs.sparkSession)
     schema = docs.select(*keep).schema.add("score", "double")
 
     def run(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from probcast.llm.common import text_slices
+from probcast.llm.common import bounded_batches, text_slices
 from probcast.llm.tokens import TextEncoder, with_end
 from probcast.session import ensure_checkpoint_dir
 
@@ -236,6 +236,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int, key: st
                       options: CodecOptions = CodecOptions()) -> None:
     """Tokenise whole texts in key order and write them to ``folder`` as a file set."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     plain = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
     staged = _token_segments(docs, path, end, key, text, keep_spaces, options.segment_tokens)
     staged.write.parquet(plain)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from probcast.llm.common import mix, split_words, stored, text_slices
+from probcast.llm.common import bounded_batches, mix, split_words, stored, text_slices
 from probcast.llm.components import connected_components
 
 
@@ -46,7 +46,7 @@ class JoinOptions:
     frequent_limit: int = 100_000  # of the order's hot shingles; the rest keeps hash order
     block: int = 1024  # members of a large bucket that one task compares with as many others
     small_bucket: int = 16
-    pairs_per_task: int = 2048
+    pairs_per_task: int = 1024
     largest_light: int = 13
 
 
@@ -407,6 +407,7 @@ def _compare_cells(frame: pd.DataFrame, keys: np.ndarray, percent: int, schema:
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                        options: JoinOptions = JoinOptions()) -> DataFrame:
     """One row per input row: ``id``, ``n_shingles``, ``component`` (smallest id reachable)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(key, text)
     frequent = frequent_shingles(docs, key, text, options)
     described = stored(describe_sets(docs, key, text, options, frequent))

@@ -28,13 +28,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from probcast.llm.common import sample_labelled, split_words, stored, text_slices
+from probcast.llm.common import bounded_batches, sample_labelled, split_words, stored, text_slices
 
 SPAN = 7
 DECAY = 0.5
 ALPHABET_BITS = 7
 PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
-CACHE_UNITS = 400_000
+CACHE_UNITS = 300_000
 
 
 @dataclass(frozen=True)
@@ -297,6 +297,7 @@ EVIDENCE = ("m1", "m2", "m3", "hits", "units")
 def text_margins(docs: DataFrame, codes: np.ndarray, weights: np.ndarray, bias: float,
                  keep: list[str], text: str = "text") -> DataFrame:
     """The ``keep`` columns with the evidence (see ``text_evidence``) of each whole text."""
+    bounded_batches(docs.sparkSession)
     schema = docs.select(*keep).schema
     for name in EVIDENCE:
         schema = schema.add(f"_{name}", "double")
