@@ -125,14 +125,6 @@ def market_dates(spark, sf):
             F.col("market_info_resolution_datetime")).alias("resolved_on"))
 
 
-def _agree(k: int) -> str:
-    return (f"(r{k} AND coalesce((s{k} = 1 AND v{k} = 1) OR (s{k} = -1 AND v{k} = 0), FALSE))")
-
-
-def _differ(k: int) -> str:
-    return (f"(r{k} AND coalesce((s{k} = 1 AND v{k} = 0) OR (s{k} = -1 AND v{k} = 1), FALSE))")
-
-
 @register("resolve_market_combinations_r5_r6", f"""
     WITH legs AS (
         SELECT a.source, a.forecast_due_date, concat(a.id, '|', b.id) AS ids, g.s0, g.s1,
@@ -144,16 +136,14 @@ def _differ(k: int) -> str:
          AND b.user_no = a.user_no + 4
         CROSS JOIN {SIGNS}),
     decided AS (
-        SELECT *, CASE
-            WHEN NOT r0 AND NOT r1 THEN NULL
-            WHEN v0 IS NULL AND v1 IS NULL THEN least(d0, d1)
-            WHEN v0 IS NULL THEN CASE WHEN {_differ(1)} THEN least(d0, d1) ELSE d0 END
-            WHEN v1 IS NULL THEN CASE WHEN {_differ(0)} THEN least(d0, d1) ELSE d1 END
-            WHEN {_agree(0)} AND {_agree(1)} THEN greatest(d0, d1)
-            WHEN {_differ(0)} AND {_differ(1)} THEN least(d0, d1)
-            WHEN {_agree(0)} AND {_differ(1)} THEN d1
-            WHEN {_agree(1)} AND {_differ(0)} THEN d0
-            WHEN {_differ(0)} THEN d0 WHEN {_differ(1)} THEN d1 END AS decided_on
+        SELECT *, (
+            SELECT CASE WHEN bool_or(done) THEN coalesce(
+                min(day) FILTER (WHERE value IS NULL OR (done AND value <> CAST(sign = 1 AS INT)
+                                 AND value IN (0, 1))),
+                CASE WHEN count(*) FILTER (WHERE done AND value = CAST(sign = 1 AS INT)) = 2
+                     THEN max(day) END) END
+            FROM (VALUES (r0, s0, v0, d0), (r1, s1, v1, d1)) AS leg(done, sign, value, day)
+            ) AS decided_on
         FROM legs)
     SELECT source, ids, concat(s0, '|', s1) AS direction, forecast_due_date,
            coalesce(decided_on, {d(I.TRADES_YESTERDAY)}) AS resolution_date,

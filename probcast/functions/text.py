@@ -21,45 +21,47 @@ def check_template(template: str, fields: set[str]) -> None:
         raise ValueError(f"template fields {sorted(named)} differ from values {sorted(fields)}")
 
 
+# Parts of a displayed model name.
+PROMPTS = ("scratchpad", "zero shot", "superforecaster")
+NEWS, FREEZE = "news", "freeze values"
+NO_LABEL = "--"
+
+
+def _sentence(text: Column) -> Column:
+    """First letter in upper case, or the mark for no label."""
+    return F.when(text == "", NO_LABEL).otherwise(
+        F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1000)))
+
+
+def _first_of(names: tuple[str, ...], text: Column) -> Column:
+    """First of the names that the text contains, null without one."""
+    return F.get(F.filter(F.array(*map(F.lit, names)), lambda name: F.contains(text, name)), F.lit(0))
+
+
+def _smallest(text: Column, pattern: str, group: int) -> Column:
+    return F.coalesce(F.array_min(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))), F.lit(""))
+
+
 def information_provided(model: Column) -> Column:
-    name = F.lower(model)
-    return (
-        F.when(name.contains("news") & name.contains("freeze values"), "News with freeze values")
-        .when(name.contains("news"), "News")
-        .when(name.contains("freeze values"), "Freeze values")
-        .otherwise("--")
-    )
+    given = [F.when(F.contains(F.lower(model), F.lit(name)), name) for name in (NEWS, FREEZE)]
+    return _sentence(F.concat_ws(" with ", *given))
 
 
 def prompt_type(model: Column) -> Column:
+    """Label of the prompt; superforecaster prompts stand in brackets and carry their number."""
     name = F.lower(model)
-    number = (
-        F.when(name.contains("1"), "1").when(name.contains("2"), "2")
-        .when(name.contains("3"), "3").otherwise("")
-    )
-    return (
-        F.when(name.contains("scratchpad"), "Scratchpad")
-        .when(name.contains("zero shot"), "Zero shot")
-        .when(name.contains("(superforecaster"), F.concat(F.lit("Superforecaster "), number))
-        .otherwise("--")
-    )
+    bracketed = F.when(F.contains(name, F.lit("(" + PROMPTS[2])), F.concat(
+        F.lit(PROMPTS[2] + " "), _smallest(name, "[123]", 0)))
+    return _sentence(F.coalesce(_first_of(PROMPTS[:2], name), bracketed, F.lit("")))
 
 
 def model_facets(model: Column) -> Column:
     """STRUCT<prompt, freeze_values, news, base_model> of a displayed model name."""
-    news = model.contains("news")
-    base = (
-        F.when(model.contains("scratchpad"), "scratchpad")
-        .when(model.contains("zero shot"), "zero shot")
-        .when(model.contains("superforecaster"), "superforecaster")
-        .otherwise("?")
-    )
-    numbered = F.when(model.contains("news 1"), " 1").when(model.contains("news 2"), " 2").when(
-        model.contains("news 3"), " 3").otherwise("")
-    prompt = F.when(news & (base == "superforecaster"), F.concat(base, numbered)).otherwise(base)
+    prompt, news = F.coalesce(_first_of(PROMPTS, model), F.lit("?")), F.contains(model, F.lit(NEWS))
+    number = F.rtrim(F.concat(F.lit(" "), _smallest(model, NEWS + " ([123])", 1)))
     return F.struct(
-        prompt.alias("prompt"),
-        model.contains("freeze values").alias("freeze_values"),
+        F.concat(prompt, F.when(prompt == PROMPTS[2], number).otherwise("")).alias("prompt"),
+        F.contains(model, F.lit(FREEZE)).alias("freeze_values"),
         news.alias("news"),
         F.regexp_replace(model, r" \(.*?\)", "").alias("base_model"),
     )

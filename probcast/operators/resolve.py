@@ -191,35 +191,22 @@ def resolve_market(exploded: DataFrame, questions: DataFrame, series: DataFrame,
 
 
 def combination_date() -> Column:
-    """Day on which a two-leg market combination is decided; null while it is open."""
-    d0, d1 = F.col("resolution_date_0"), F.col("resolution_date_1")
-    v0, v1 = F.col("resolved_to_0"), F.col("resolved_to_1")
-    r0, r1 = F.col("resolved_0"), F.col("resolved_1")
-    s0, s1 = F.element_at("direction", 1), F.element_at("direction", 2)
-
-    def agrees(done: Column, sign: Column, value: Column) -> Column:
-        hit = ((sign == 1) & (value == 1)) | ((sign == -1) & (value == 0))
-        return done & F.coalesce(hit, F.lit(False))
-
-    def differs(done: Column, sign: Column, value: Column) -> Column:
-        hit = ((sign == 1) & (value == 0)) | ((sign == -1) & (value == 1))
-        return done & F.coalesce(hit, F.lit(False))
-
-    same0, same1 = agrees(r0, s0, v0), agrees(r1, s1, v1)
-    diff0, diff1 = differs(r0, s0, v0), differs(r1, s1, v1)
-    earlier, later = F.least(d0, d1), F.greatest(d0, d1)
-    return (
-        F.when(~r0 & ~r1, F.lit(None).cast("date"))
-        .when(v0.isNull() & v1.isNull(), earlier)
-        .when(v0.isNull(), F.when(diff1, earlier).otherwise(d0))
-        .when(v1.isNull(), F.when(diff0, earlier).otherwise(d1))
-        .when(same0 & same1, later)
-        .when(diff0 & diff1, earlier)
-        .when(same0 & diff1, d1)
-        .when(same1 & diff0, d0)
-        .when(diff0, d0)
-        .when(diff1, d1)
-    )
+    """Day on which a two-leg market combination is decided; null while it is open.
+
+    A leg ends the pair when it has no value or its outcome contradicts its sign; the first such day
+    decides. Without one, the pair is decided on the last day once both outcomes match their signs.
+    """
+    legs = F.array(*[F.struct(
+        F.col(f"resolution_date_{k}").alias("day"), F.col(f"resolved_{k}").alias("done"),
+        F.col(f"resolved_to_{k}").alias("value"),
+        ((1 + F.element_at("direction", k + 1)) / 2).alias("wanted")) for k in (0, 1)])
+    ending = F.filter(legs, lambda leg: leg["value"].isNull()
+                      | (leg["done"] & (leg["value"] == 1 - leg["wanted"])))
+    fulfilled = F.forall(legs, lambda leg: leg["done"] & F.coalesce(
+        leg["value"] == leg["wanted"], F.lit(False)))
+    days = lambda rows: F.transform(rows, lambda leg: leg["day"])
+    return F.when(F.exists(legs, lambda leg: leg["done"]), F.coalesce(
+        F.array_min(days(ending)), F.when(fulfilled, F.array_max(days(legs)))))
 
 
 # --- leg-wise sources ----------------------------------------------------------------------

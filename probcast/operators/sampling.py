@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Mapping
 from datetime import date, timedelta
 
@@ -144,23 +145,15 @@ def sample_market(questions: DataFrame, n: int | Column, due: date, seed: int,
 def allocate_evenly(available: Mapping[str, int], n: int) -> dict[str, int]:
     """Split n over keys as evenly as their counts allow; raises when the total is below n.
 
-    Each key first gets an equal floor share, then rounds hand out what remains in key order.
+    All keys are filled to the highest common level that n covers (a key with less gives all it
+    has); what is left goes one each to the first keys that have more.
     """
     if sum(available.values()) < n:
         raise ValueError(f"cannot allocate {n} from {sum(available.values())}")
-    if sum(available.values()) == n:
-        return dict(available)
-    share = n // len(available)
-    given = {key: min(share, count) for key, count in available.items()}
-    left = n - sum(given.values())
-    while left > 0:
-        open_keys = [key for key, count in available.items() if given[key] < count]
-        step = max(left // len(open_keys), 1)
-        for key in open_keys:
-            extra = min(step, available[key] - given[key], left)
-            given[key] += extra
-            left -= extra
-    return given
+    filled = lambda level: sum(min(level, count) for count in available.values())
+    level = bisect_right(range(max(available.values(), default=0) + 1), n, key=filled) - 1
+    above = [key for key, count in available.items() if count > level][:n - filled(level)]
+    return {key: min(level, count) + (key in above) for key, count in available.items()}
 
 
 def allocate_counts(rows: DataFrame, key: str, n: int, order: list[str] | None = None

@@ -116,33 +116,32 @@ def test_market_open_and_resolved(spark):
 
 
 D0, D1 = day("2024-01-12"), day("2024-01-20")
-TRUTH = [  # r0, r1, s0, s1, v0, v1, expected
-    (False, False, 1, 1, 0.4, 0.6, None),
-    (True, True, 1, 1, None, None, D0),
-    (True, True, 1, 1, None, 1.0, D0),
-    (True, True, 1, 1, None, 0.0, D0),
-    (True, True, 1, 1, 1.0, None, D1),
-    (True, True, 1, 1, 0.0, None, D0),
-    (True, True, 1, 1, 1.0, 1.0, D1),
-    (True, True, 1, 1, 0.0, 0.0, D0),
-    (True, True, 1, 1, 1.0, 0.0, D1),
-    (True, True, 1, 1, 0.0, 1.0, D0),
-    (True, True, -1, 1, 1.0, 1.0, D0),
-    (True, False, 1, 1, 0.0, 0.4, D0),
-    (False, True, 1, 1, 0.4, 0.0, D1),
-    (True, False, 1, 1, 1.0, 0.4, None),
-    (False, True, 1, -1, 0.4, 0.0, None),
-]
-
-
-def test_combination_truth_table(spark):
-    data = [(i, [s0, s1], r0, r1, v0, v1, D0, D1)
-            for i, (r0, r1, s0, s1, v0, v1, _) in enumerate(TRUTH)]
+STATES = [(done, sign, value) for done in (True, False) for sign in (1, -1)
+          for value in (None, 0.0, 0.4, 1.0)]
+
+
+def decided_on(legs):
+    """The rule in words: see ``combination_date``."""
+    if not any(done for done, _, _, _ in legs):
+        return None
+    wanted = {1: 1.0, -1: 0.0}
+    ending = [on for done, sign, value, on in legs
+              if value is None or (done and value == 1 - wanted[sign])]
+    if ending:
+        return min(ending)
+    return max(leg[3] for leg in legs) if all(
+        done and value == wanted[sign] for done, sign, value, _ in legs) else None
+
+
+@pytest.mark.parametrize("days", [(D0, D1), (D1, D0)])
+def test_combination_date_in_all_states(spark, days):
+    pairs = [(a, b) for a in STATES for b in STATES]
+    data = [(i, [a[1], b[1]], a[0], b[0], a[2], b[2], *days) for i, (a, b) in enumerate(pairs)]
     df = spark.createDataFrame(data, "n INT, direction ARRAY<INT>, resolved_0 BOOLEAN, "
                                "resolved_1 BOOLEAN, resolved_to_0 DOUBLE, resolved_to_1 DOUBLE, "
                                "resolution_date_0 DATE, resolution_date_1 DATE")
     got = {r.n: r.on for r in df.select("n", R.combination_date().alias("on")).collect()}
-    assert got == {i: case[-1] for i, case in enumerate(TRUTH)}
+    assert got == {i: decided_on([(*a, days[0]), (*b, days[1])]) for i, (a, b) in enumerate(pairs)}
 
 
 def test_market_combination_without_leg(spark):
