@@ -79,27 +79,32 @@ def test_fit_sample_excludes_old_and_external(spark):
 
 # --- bootstrap -------------------------------------------------------------------------------
 
-def test_tree_draws_sum_to_the_stratum():
-    """Blocks of one stratum draw exactly n questions in every replicate."""
-    sizes = [5, 0, 7, 12]
-    total = sum(sizes)
-    node = {(0, 0): total, (1, 0): 5, (1, 1): 19, (2, 0): 5, (2, 2): 7, (2, 3): 12}
-    drawn = np.zeros(50, dtype=np.int64)
-    for block, size in enumerate(sizes):
-        if size == 0:
-            continue
-        path = []
-        for level in (1, 2):
-            own = block >> (2 - level)
-            parent = own >> 1
-            path.append({"level": level, "parent": parent,
-                         "parent_size": node[(level - 1, parent)],
-                         "left_size": node.get((level, 2 * parent), 0), "is_left": own % 2 == 0})
-        draws = B.block_draws(3, 99, total, path, 50, 0)
-        weights = B.block_weights(B.Plan(50, 3, 1, 50, False), 99, total, path, block, size, 0, 50)
-        assert (weights.sum(axis=1) == draws).all()
-        drawn += draws
-    assert (drawn == total).all()
+def _weights(spark, questions, plan, block_questions):
+    """Weight of every question per replicate, drawn block by block."""
+    placed = B.with_blocks(questions, block_questions).collect()
+    blocks, weight = {}, {}
+    for r in placed:
+        blocks.setdefault((r.stratum, r.block), []).append(r)
+    for (stratum, _), members in blocks.items():
+        w = B.block_weights(plan, stratum, members[0].stratum_size,
+                            [p.asDict() for p in members[0].path], [m.hash for m in members])
+        for k, r in enumerate(members):
+            weight[r.question_pk] = w[:, k]
+    return weight
+
+
+@pytest.mark.parametrize("block_questions", [1, 8, 1024])
+def test_weights_sum_to_the_stratum_and_ignore_blocks(spark, block_questions):
+    questions = spark.createDataFrame(
+        [(f"q{i}", i % 2) for i in range(150)], "question_pk STRING, stratum BIGINT")
+    plan = B.Plan(120, 3, 1)
+    weight = _weights(spark, questions, plan, block_questions)
+    for s in (0, 1):
+        drawn = np.stack([weight[f"q{i}"] for i in range(150) if i % 2 == s])
+        assert (drawn.sum(axis=0) == 75).all()
+        assert 0.8 < drawn.var() < 1.2 and abs(drawn.mean(axis=1) - 1).max() < 0.4
+    whole = _weights(spark, questions, plan, 100_000)
+    assert all((weight[q] == whole[q]).all() for q in whole)
 
 
 def test_bootstrap_weights_are_exact_and_replicates_match_explicit_fit(spark):
@@ -112,19 +117,7 @@ def test_bootstrap_weights_are_exact_and_replicates_match_explicit_fit(spark):
     scores = B.replicate_scores(df, "B", False, replicates, seed=11, block_questions=8)
     got = {(r.replicate, r.model_pk): r.score for r in scores.collect()}
     index = spark.createDataFrame([(f"m{i}", i) for i in range(6)], "model_pk STRING, idx INT")
-    placed = B.with_blocks(B.question_rows(df, index, "B", False), 8).orderBy(
-        "stratum", "block", "question_pk").collect()
-    plan = B.Plan(replicates, 11, 6, replicates, False)
-    blocks = {}
-    for r in placed:
-        blocks.setdefault((r.stratum, r.block), []).append(r)
-    weight = {}
-    for (stratum, block), members in blocks.items():
-        w = B.block_weights(plan, stratum, members[0].stratum_size,
-                            [p.asDict() for p in members[0].path], block, len(members), 0,
-                            replicates)
-        for k, r in enumerate(members):
-            weight[r.question_pk] = w[:, k]
+    weight = _weights(spark, B.question_rows(df, index, "B", False), B.Plan(replicates, 11, 6), 8)
     total = sum(weight[q] for q in questions)
     assert (total == len(questions)).all()
     for k in range(replicates):
@@ -141,14 +134,19 @@ def test_bootstrap_weights_are_exact_and_replicates_match_explicit_fit(spark):
                 explicit[m] - explicit["m0"], abs=1e-9)
 
 
-def test_pattern_and_matrix_forms_agree(spark):
-    df = spark.createDataFrame(panel(5, 30, seed=9), COLUMNS)
-    one = B.replicate_scores(df, "B", False, 10, seed=2)
-    two = B.replicate_scores(df, "B", False, 10, seed=2, pattern_cells=1)
-    a = {(r.replicate, r.model_pk): r.score for r in one.collect()}
-    b = {(r.replicate, r.model_pk): r.score for r in two.collect()}
-    assert a.keys() == b.keys()
-    assert max(abs(a[k] - b[k]) for k in a) < 1e-9
+def test_scores_ignore_blocks_partitions_and_groups(spark):
+    """More replicates than a group holds; some questions have no row in the fit sample."""
+    rows = panel(6, 50, seed=9)
+    rows += [(f"u{q}", "m0", 0.2 + q / 100, C.ALWAYS_HALF, "B", "B", False, 10, day("2024-01-10"), "fred")
+             for q in range(5)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    one = B.replicate_scores(df, "B", False, 130, seed=2)
+    two = B.replicate_scores(df.repartition(5), "B", False, 130, seed=2, block_questions=4,
+                             patterns_per_group=3)
+    key = ["replicate", "question_type", "model_pk"]
+    both = one.join(two.withColumnRenamed("score", "other"), key, "full_outer").collect()
+    assert len(both) == 130 * 6
+    assert max(abs(r.score - r.other) for r in both) < 1e-9
 
 
 def test_simulated_boards_anchor(spark):
