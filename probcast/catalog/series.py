@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from probcast.catalog import inputs as I, register
 from probcast.catalog.inputs import TRADES_AS_OF, TRADES_YESTERDAY, d, n, num
 from probcast.catalog.resolution import CONFLICT_DAILY
 from probcast.operators import series as S
+from probcast.session import fresh_folder
 from probcast.sources import testtables as T
 from probcast.streaming.daily_close import write_daily_close
 
@@ -300,9 +299,7 @@ def conflict_daily(spark, sf):
 @register("streamed_daily_close_st1", f"SELECT id, date, {n('value')} FROM {I.DAILY_CLOSE}")
 def streamed_daily_close(spark, sf):
     """The event file as a stream, closed per day by the streaming job, read back from its sink."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-        prefix="spark-stream-", dir="/tmp")
-    run = f"{base}/daily-close-{uuid.uuid4().hex}"
+    run = fresh_folder(spark, "daily-close")
     raw = spark.readStream.schema(T.raw(spark, sf, "events").schema).option(
         "pathGlobFilter", "events.parquet").parquet(sf)
     trades = raw.filter("event_type <> 'error'").select(

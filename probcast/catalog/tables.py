@@ -2,33 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from probcast import schemas as S
+from probcast import constants as C, schemas as S
 from probcast.catalog import inputs as I, register
 from probcast.catalog.inputs import joined, n, num
 from probcast.catalog.sampling import QUESTIONS, metadata, questions
 from probcast.catalog.scoring import BOARD, SCORED, board_from_lineitem, scored
 from probcast.operators import reports
 from probcast.operators.resolve import drop_unresolved
+from probcast.session import fresh_folder
 from probcast.sources import readers, testtables as T, writers
 
 
 def folder(spark, name: str) -> str:
-    """A fresh folder for one run, in the cluster's shared folder when it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-        prefix="spark-files-", dir="/tmp")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for one run, in the shared folder."""
+    return fresh_folder(spark, name)
 
 
 def stored_questions(spark, sf):
-    """Questions of one source in the file form."""
+    """Questions of all sources in the file form."""
     text = lambda name: F.lit("N/A").alias(name)
-    return questions(spark, sf).filter("source = 'fred'").select(
-        "id", F.concat(F.lit("Will "), "id", F.lit(" rise?")).alias("question"),
+    return questions(spark, sf).select(
+        "source", "id", F.concat(F.lit("Will "), "id", F.lit(" rise?")).alias("question"),
         text("background"), "url", "resolved",
         F.when(F.col("forecast_horizons").isNotNull(), F.to_json("forecast_horizons")).otherwise(
             "N/A").alias("forecast_horizons"), "freeze_datetime_value",
@@ -38,29 +34,30 @@ def stored_questions(spark, sf):
 
 
 @register("question_file_round_trip_io1_io10_io26", f"""
-    SELECT id, resolved, CAST(CASE WHEN has_horizon THEN 2 END AS INT) AS n_horizons,
-           freeze_datetime_value FROM {QUESTIONS} WHERE source = 'fred'""")
+    SELECT source, id, resolved, CAST(CASE WHEN has_horizon AND NOT is_market THEN 2 END AS INT) AS n_horizons,
+           freeze_datetime_value FROM {QUESTIONS}""")
 def question_file(spark, sf):
-    path = folder(spark, "questions")
-    writers.write_questions(stored_questions(spark, sf), path)
+    """One file per source, as fetched and as stored, each read back."""
+    path, stored, back = folder(spark, "questions"), stored_questions(spark, sf), None
     size = F.when(F.col("forecast_horizons").isNotNull(), F.size("forecast_horizons"))
-    return readers.read_questions(spark, path, "fred").select(
-        "id", "resolved", size.alias("n_horizons"), "freeze_datetime_value")
+    for source in C.ALL_SOURCES:
+        writers.write_fetch(stored.filter(F.col("source") == source), f"{path}/{source}_fetch.jsonl")
+        fetched = spark.read.schema(stored.schema).json(f"{path}/{source}_fetch.jsonl")
+        writers.write_questions(fetched.drop("source"), f"{path}/{source}_questions.jsonl")
+        rows = readers.read_questions(spark, f"{path}/{source}_questions.jsonl", source, check=False)
+        back = rows if back is None else back.unionByName(rows)
+    return back.select("source", "id", "resolved", size.alias("n_horizons"), "freeze_datetime_value")
 
 
 @register("series_files_round_trip_io2_io11", f"""
     SELECT source, id, date, {n('value', decimals=2)} FROM {T.sql('series')}""")
 def series_files(spark, sf):
+    """JSON lines by source, read back as resolutions, then the internal form."""
     path = folder(spark, "series")
-    rows = T.table(spark, sf, "series").select(
-        "source", "id", F.col("date").cast("string").alias("date"), "value")
-    rows.write.mode("overwrite").partitionBy("source").json(f"{path}/raw")
-    # The stored name pattern is *.jsonl; Spark names its parts *.json, so they are read by folder.
-    back = spark.read.schema("id STRING, date STRING, value STRING, source STRING").json(
-        f"{path}/raw")
-    parsed = back.select("source", "id", F.to_date("date").alias("date"),
-                         F.col("value").try_cast("double").alias("value"))
-    writers.write_series(parsed, f"{path}/internal")
+    writers.write_series(T.table(spark, sf, "series").select("source", "id", "date", "value"),
+                         f"{path}/raw", "json")
+    rows, _ = readers.read_resolutions(spark, f"{path}/raw")
+    writers.write_series(rows.select("source", "id", "date", "value"), f"{path}/internal")
     return spark.read.parquet(f"{path}/internal").select(
         "source", "id", "date", num(F.col("value"), "value", 2))
 
@@ -83,14 +80,20 @@ def conflict_file(spark, sf):
     SELECT forecast_due_date, source, id, CAST(5 AS INT) AS n_dates
     FROM {T.sql('dataset_questions')}""")
 def question_set_file(spark, sf):
+    """Every set by its published name; the newest one is found by the folder's listing."""
     path = folder(spark, "question_set")
     rows = T.table(spark, sf, "dataset_questions").select(
         "forecast_due_date", F.lit("llm").alias("question_set"), "source", "id",
         F.array(*[F.lit(h) for h in I.HORIZONS]).alias("forecast_horizons"))
     writers.write_question_set(rows, path)
-    return readers.read_question_set(spark, f"{path}/*", "*.txt").select(
-        "forecast_due_date", "source", joined().alias("id"),
-        F.size("resolution_dates").alias("n_dates"))
+    newest, back = readers.latest_question_set(spark, path), None
+    for due in sorted(str(r[0]) for r in rows.select("forecast_due_date").distinct().collect()):
+        one = readers.read_question_set(spark, path, f"{due}-llm.json")
+        back = one if back is None else back.unionByName(one)
+    if newest != f"{due}-llm.json":
+        raise ValueError(f"{newest} is not the newest set")
+    return back.select("forecast_due_date", "source", joined().alias("id"),
+                       F.size("resolution_dates").alias("n_dates"))
 
 
 @register("forecast_files_round_trip_io7_io15", f"""
@@ -102,10 +105,13 @@ def forecast_files(spark, sf):
                 "forecast_due_date"]
     rows = I.dataset_forecasts(spark, sf).withColumn("question_set", F.concat(
         F.col("forecast_due_date").cast("string"), F.lit("-llm.json")))
-    writers.forecast_documents(rows, envelope).select(F.col("document").alias("value")).repartition(
-        8).write.mode("overwrite").text(path)
-    back = (spark.read.schema(readers._FORECAST_FILE).json(path))
-    return readers.forecast_rows(back).select(
+    name = F.concat(F.col("forecast_due_date").cast("string"), F.lit("."), "model_organization",
+                    F.lit("."), F.regexp_replace("model", r"[^A-Za-z0-9]+", "-"), F.lit(".json"))
+    writers.write_forecasts(rows, envelope, name, path)
+    listed = readers.list_forecast_files(spark, path)
+    if listed.count() != rows.select(*envelope).distinct().count():
+        raise ValueError("a submission has no file of its own")
+    return readers.read_forecasts(spark, path).select(
         "model", "forecast_due_date", "source", joined().alias("id"),
         F.to_date("resolution_date").alias("resolution_date"), num("forecast"))
 
@@ -128,10 +134,14 @@ def processed_files(spark, sf):
            CAST(sum(resolved_to) AS DOUBLE) AS total
     FROM {I.RESOLVED_DATASET} WHERE resolved_to IS NOT NULL GROUP BY 1""")
 def resolution_set(spark, sf):
-    docs = writers.resolution_set_documents(drop_unresolved(I.resolved_dataset(spark, sf)))
-    entries = F.from_json("document", "resolutions ARRAY<STRUCT<id: STRING, source: STRING, "
-                          "resolved_to: DOUBLE>>")["resolutions"]
-    return docs.select("forecast_due_date", F.explode(entries).alias("r")).groupBy(
+    """Resolution sets read back from their files as JSON documents."""
+    path = folder(spark, "resolution_sets")
+    writers.write_resolution_set(drop_unresolved(I.resolved_dataset(spark, sf)), path)
+    sets = spark.read.schema(
+        "forecast_due_date DATE, resolutions ARRAY<STRUCT<id: STRING, source: STRING, "
+        "resolved_to: DOUBLE>>").option("multiLine", "true").option(
+        "pathGlobFilter", "*_resolution_set.json").json(path)
+    return sets.select("forecast_due_date", F.explode("resolutions").alias("r")).groupBy(
         "forecast_due_date").agg(F.count(F.lit(1)).alias("n_rows"),
                                  F.sum("r.resolved_to").alias("total"))
 

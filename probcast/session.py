@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,18 +56,34 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by ``spark.checkpoint.dir``; a scratch one only when unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a single-machine session gets a scratch folder; a cluster must name one, since
+    its machines do not share their own folders.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = configured or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-    context.setCheckpointDir(folder)
-    return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and cuts the lineage of a reused stage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A reused stage as a table in the shared folder: computed once, lineage cut, columns prunable.
+
+    The files survive the loss of executors.
+    """
+    path = fresh_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

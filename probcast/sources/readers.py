@@ -63,7 +63,8 @@ def read_questions(spark: SparkSession, path: str, source: str, check: bool = Tr
 
 def read_resolutions(spark: SparkSession, folder: str, check: bool = True
                      ) -> tuple[DataFrame, DataFrame]:
-    """Series files under ``<folder>/<source>/``: (rows, skipped files).
+    """Series files under ``<folder>/<source>/`` or ``<folder>/source=<source>/``, with one question
+    or several: (rows, skipped files).
 
     A file with any unreadable row, or a row without id or date, is skipped as a whole; when no
     file is left the read is an error.
@@ -71,7 +72,7 @@ def read_resolutions(spark: SparkSession, folder: str, check: bool = True
     raw = (
         spark.read.schema(f"id STRING, date STRING, value STRING, {CORRUPT} STRING")
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", SERIES_FILES)
         .json(folder)
         .select("*", F.col("_metadata.file_path").alias("file"))
     )
@@ -81,7 +82,7 @@ def read_resolutions(spark: SparkSession, folder: str, check: bool = True
         "file")
     text = S.null_text_to_null(F.col("value"))
     rows = parsed.join(skipped, "file", "left_anti").select(
-        F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1).alias("source"), "id",
+        _series_source(F.col("file")).alias("source"), "id",
         F.col("day").alias("date"), text.try_cast("double").alias("value"),
         text.alias("value_str"))
     if check and rows.isEmpty():
@@ -129,11 +130,23 @@ def load_source(spark: SparkSession, folder: str, source: str, *, questions: boo
     return out
 
 
+# Series are ``<id>.jsonl`` or parts that this library wrote; other JSON files are not series.
+SERIES_FILES = "{*.jsonl,part-*.json}"
+
+
+def _series_source(file: Column) -> Column:
+    """Source of a series file: its folder, or the partition folder that names it."""
+    return F.regexp_extract(F.regexp_replace(file, r"/question=[^/]*/", "/"), r"/(?:source=)?([^/]+)/[^/]+$", 1)
+
+
 def existing_series_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids that have a series file, even an empty one."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option(
+    """Ids that have a series file of their own, even an empty one."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", SERIES_FILES).option(
         "recursiveFileLookup", "true").load(folder)
-    return listed.select(F.regexp_extract("path", r"/([^/]+)\.jsonl$", 1).alias("id")).distinct()
+    named = F.regexp_extract("path", r"/question=([^/]+)/[^/]+$", 1)
+    decoded = F.url_decode(F.replace(named, F.lit("+"), F.lit("%2B")))
+    name = F.when(named != "", decoded).otherwise(F.regexp_extract("path", r"/([^/]+)\.jsonl$", 1))
+    return listed.select(name.alias("id")).filter("id <> ''").distinct()
 
 
 def series_for(series: DataFrame, ids: DataFrame) -> DataFrame:

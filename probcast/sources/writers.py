@@ -1,14 +1,14 @@
 """Writers of the published and stored file formats. Parquet is the internal format.
 
-The published JSON files hold one document per due date or submission; documents are built by
-collecting their rows, at most a fixed number per document, and are written in parallel.
+The published JSON files hold one document per due date or submission. A document is written as a
+sorted stream of lines, one per row, so no task holds a document, and gets its published name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from probcast.functions.dates import resolution_dates
 from probcast.operators.filters import is_market
@@ -29,8 +29,16 @@ def write_fetch(fetched: DataFrame, path: str) -> None:
 def write_series(series: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Series by source, rows of an id together and in date order within a file."""
     series.repartition("source", "id").sortWithinPartitions("source", "id", "date").write.mode(
-        "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").format(
-        fmt).save(path)
+        "overwrite").option("partitionOverwriteMode", "dynamic").option(
+        "ignoreNullFields", "false").partitionBy("source").format(fmt).save(path)
+
+
+def write_series_per_question(series: DataFrame, path: str) -> None:
+    """JSON-lines files of one question each, below ``source=<source>/question=<id>``."""
+    rows = series.withColumn("question", F.col("id"))
+    rows.repartition("source", "question").sortWithinPartitions("source", "question", "date").write.mode(
+        "overwrite").option("partitionOverwriteMode", "dynamic").option(
+        "ignoreNullFields", "false").partitionBy("source", "question").json(path)
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
@@ -39,33 +47,54 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
         "source").parquet(path)
 
 
-ROWS_PER_DOCUMENT = 50_000
-
-
-def documents(rows: DataFrame, envelope: Sequence[str], body: Sequence[Column], name: str,
-              order: Sequence[str], limit: int = ROWS_PER_DOCUMENT) -> DataFrame:
-    """JSON texts per envelope (columns: envelope, part, document), rows ordered under ``name``.
+def document_lines(rows: DataFrame, stem: Column, envelope: Sequence[str], body: Sequence[Column],
+                   name: str, order: Sequence[str]) -> DataFrame:
+    """``file_name``, ``place``, ``value``: the lines of one JSON document per envelope.
 
-    A document normally holds one envelope. Envelopes of more than ``limit`` rows are split into
-    parts by a hash of the row, so that no group grows without bound; readers take any number of
-    documents with the same envelope.
+    The first line holds the envelope and opens the list ``name``; then comes one line per row in
+    ``order``; the last line closes both.
     """
-    sizes = rows.groupBy(*envelope).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("_parts"))
-    part = F.pmod(F.xxhash64(*order), F.col("_parts")).cast("int")
-    entry = F.struct(*order, F.struct(*body).alias("_body"))
-    listed = rows.join(sizes, list(envelope)).select(
-        *envelope, part.alias("part"), entry.alias("_entry")).groupBy(*envelope, "part").agg(
-        F.array_sort(F.collect_list("_entry")).alias("_entries"))
-    packed = F.struct(*envelope, F.transform("_entries", lambda e: e["_body"]).alias(name))
-    return listed.select(*envelope, "part", F.to_json(packed, KEEP_NULLS).alias("document"))
-
-
-def _save_documents(docs: DataFrame, stem: Column, path: str) -> None:
-    """One folder per document, named as the published file (later parts get a number)."""
-    suffix = F.when(F.col("part") > 0, F.concat(F.lit(".part"), F.col("part").cast("string"),
-                                                F.lit(".json"))).otherwise(".json")
-    docs.select(F.concat(stem, suffix).alias("file_name"), F.col("document").alias("value")
-                ).write.mode("overwrite").partitionBy("file_name").text(path)
+    file_name = F.concat(stem, F.lit(".json")).alias("file_name")
+    entries = rows.select(file_name, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+                          F.to_json(F.struct(*body), KEEP_NULLS).alias("_text"))
+    first = Window.partitionBy("file_name").orderBy(*[f"_o{i}" for i in range(len(order))], "_text")
+    place = F.row_number().over(first)
+    lines = entries.select("file_name", place.cast("long").alias("place"), F.concat(
+        F.when(place > 1, ",").otherwise(""), "_text").alias("value"))
+    head = F.regexp_replace(F.to_json(F.struct(*envelope), KEEP_NULLS), r"\}$", "")
+    heads = rows.select(file_name, F.concat(head, F.lit(f',"{name}":[')).alias("value")).distinct()
+    return lines.unionByName(heads.withColumn("place", F.lit(0).cast("long"))).unionByName(
+        heads.select("file_name", F.lit(END).alias("place"), F.lit("]}").alias("value")))
+
+
+END = (1 << 63) - 1
+
+
+def save_documents(lines: DataFrame, path: str) -> None:
+    """One file per ``file_name`` (which may contain folders) below ``path``."""
+    lines.repartition("file_name").sortWithinPartitions("file_name", "place").select(
+        "file_name", "value").write.mode("overwrite").partitionBy("file_name").text(path)
+    publish_names(lines.sparkSession, path)
+
+
+def publish_names(spark: SparkSession, path: str) -> None:
+    """Give each written file its published name; documents are as many as due dates or submissions."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(root):
+        folder = status.getPath()
+        if not folder.getName().startswith("file_name="):
+            continue
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(
+            folder.getName()[len("file_name="):])
+        target = jvm.org.apache.hadoop.fs.Path(root, name)
+        files.mkdirs(target.getParent())
+        for part in files.listStatus(folder):
+            if part.getPath().getName().startswith("part-"):
+                files.delete(target, False)
+                files.rename(part.getPath(), target)
+        files.delete(folder, True)
 
 
 def id_value(ids: Column) -> Column:
@@ -73,11 +102,12 @@ def id_value(ids: Column) -> Column:
     return F.when(F.size(ids) == 1, F.element_at(ids, 1)).otherwise(F.to_json(ids))
 
 
-def resolution_set_documents(resolved: DataFrame) -> DataFrame:
+def resolution_set_lines(resolved: DataFrame) -> DataFrame:
     direction = F.when(F.size("direction") > 0, F.col("direction"))
     rows = resolved.withColumn("_ids", F.to_json("ids"))
-    return documents(
-        rows, ["forecast_due_date"],
+    return document_lines(
+        rows, F.concat(F.col("forecast_due_date").cast("string"), F.lit("_resolution_set")),
+        ["forecast_due_date"],
         [id_value(F.col("ids")).alias("id"), F.col("source"), direction.alias("direction"),
          F.date_format("resolution_date", "yyyy-MM-dd").alias("resolution_date"),
          F.col("resolved_to"), F.col("resolved")],
@@ -85,8 +115,7 @@ def resolution_set_documents(resolved: DataFrame) -> DataFrame:
 
 
 def write_resolution_set(resolved: DataFrame, path: str) -> None:
-    _save_documents(resolution_set_documents(resolved), F.concat(
-        F.col("forecast_due_date").cast("string"), F.lit("_resolution_set")), path)
+    save_documents(resolution_set_lines(resolved), path)
 
 
 PROCESSED_ENVELOPE = ["organization", "model_organization", "model", "forecast_due_date"]
@@ -99,12 +128,21 @@ def write_processed_forecasts(processed: DataFrame, path: str) -> None:
         "forecast_due_date").parquet(path)
 
 
-def processed_documents(processed: DataFrame) -> DataFrame:
+def write_processed_documents(processed: DataFrame, file_name: Column, path: str) -> None:
+    """Published form of processed forecasts: ``<due date>/<file name>``."""
     body = [id_value(F.col("ids")).alias("id"), F.col("source"), F.col("direction"),
             F.col("resolution_date"), F.col("forecast"), F.col("resolved"),
             F.col("resolved_to"), F.col("imputed")]
-    return documents(processed.withColumn("_ids", F.to_json("ids")), PROCESSED_ENVELOPE, body,
-                     "forecasts", ["source", "_ids", "resolution_date", "direction"])
+    envelope = [*PROCESSED_ENVELOPE, *(c for c in ("question_set",) if c in processed.columns)]
+    save_documents(document_lines(
+        processed.withColumn("_ids", F.to_json("ids")), _in_date_folder(file_name), envelope, body,
+        "forecasts", ["source", "_ids", "resolution_date", "direction"]), path)
+
+
+def _in_date_folder(file_name: Column) -> Column:
+    """Submissions lie in a folder of their due date; the name's ending is added later."""
+    return F.concat(F.col("forecast_due_date").cast("string"), F.lit("/"),
+                    F.regexp_replace(file_name, r"\.json$", ""))
 
 
 def with_resolution_dates(questions: DataFrame) -> DataFrame:
@@ -114,33 +152,32 @@ def with_resolution_dates(questions: DataFrame) -> DataFrame:
         "forecast_horizons")
 
 
-def question_set_documents(questions: DataFrame) -> DataFrame:
-    """Question set per (due date, name): ``questions`` has forecast_due_date and question_set."""
+def question_set_lines(questions: DataFrame) -> DataFrame:
+    """Question set per (due date, kind): ``questions`` has forecast_due_date and question_set, the
+    kind; the document names itself by its file name."""
     dated = with_resolution_dates(questions)
     first = ["id", "source", "question", "resolution_criteria", "background"]
     columns = [c for c in first if c in dated.columns] + [
         c for c in dated.columns if c not in (*first, "forecast_due_date", "question_set")]
-    return documents(dated, ["forecast_due_date", "question_set"], [F.col(c) for c in columns],
-                     "questions", ["source", "id"])
+    stem = F.concat_ws("-", F.col("forecast_due_date").cast("string"), "question_set")
+    named = dated.withColumn("question_set", F.concat(stem, F.lit(".json")))
+    return document_lines(
+        named, F.regexp_replace("question_set", r"\.json$", ""), ["forecast_due_date", "question_set"],
+        [F.col(c) for c in columns], "questions", ["source", "id"])
 
 
 def write_question_set(questions: DataFrame, path: str) -> None:
-    _save_documents(question_set_documents(questions), F.concat_ws(
-        "-", F.col("forecast_due_date").cast("string"), "question_set"), path)
-
-
-def forecast_documents(forecasts: DataFrame, envelope: Sequence[str]) -> DataFrame:
-    body = [id_value(F.col("ids")).alias("id"), F.col("source"), F.col("forecast"),
-            F.col("resolution_date")]
-    return documents(forecasts.withColumn("_ids", F.to_json("ids")), envelope, body, "forecasts",
-                     ["source", "_ids", "resolution_date"])
+    save_documents(question_set_lines(questions), path)
 
 
 def write_forecasts(forecasts: DataFrame, envelope: Sequence[str], file_name: Column, path: str
                     ) -> None:
-    """``file_name``: the published name (see functions.text); its ending is added here."""
-    _save_documents(forecast_documents(forecasts, envelope),
-                    F.regexp_replace(file_name, r"\.json$", ""), path)
+    """``<due date>/<file name>``; ``file_name`` is the published name (see functions.text)."""
+    body = [id_value(F.col("ids")).alias("id"), F.col("source"), F.col("forecast"),
+            F.col("resolution_date")]
+    save_documents(document_lines(
+        forecasts.withColumn("_ids", F.to_json("ids")), _in_date_folder(file_name), envelope, body,
+        "forecasts", ["source", "_ids", "resolution_date"]), path)
 
 
 def question_effect_rows(dataset: DataFrame, market: DataFrame, board: str) -> DataFrame:

@@ -121,13 +121,16 @@ def test_legacy_board(spark, tmp_path):
         (0.1, 0.15, 0.1, 0.2, "<0.001"), (0.1, 0.15, 0.1, 0.2, "0.250")]
 
 
-def test_resolution_set_document(spark):
+def test_resolution_set_document(spark, tmp_path):
     df = spark.createDataFrame(
         [("fred", ["a"], [], day("2024-07-21"), day("2024-07-28"), True, 1.0),
          ("fred", ["a", "b"], [1, -1], day("2024-07-21"), day("2024-07-28"), True, 0.0)],
         "source STRING, ids ARRAY<STRING>, direction ARRAY<INT>, forecast_due_date DATE, "
         "resolution_date DATE, resolved BOOLEAN, resolved_to DOUBLE")
-    doc = json.loads(W.resolution_set_documents(df).first().document)
+    W.write_resolution_set(df, str(tmp_path / "sets"))
+    with open(tmp_path / "sets" / "2024-07-21_resolution_set.json") as handle:
+        doc = json.load(handle)
+    assert doc["forecast_due_date"] == "2024-07-21"
     assert [(r["id"], r["direction"], r["resolution_date"]) for r in doc["resolutions"]] == [
         ('["a","b"]', [1, -1], "2024-07-28"), ("a", None, "2024-07-28")]
 
@@ -151,3 +154,42 @@ def test_series_files_replace_only_their_sources(spark, tmp_path):
     W.write_series(rows.filter("source = 'a'").withColumn("value", F.lit(9.0)), path)
     got = {r.source: r.value for r in spark.read.parquet(path).collect()}
     assert got == {"a": 9.0, "b": 2.0}
+
+
+def test_written_files_read_back(spark, tmp_path):
+    base = str(tmp_path)
+    questions = spark.createDataFrame(
+        [(day(d), "llm", "fred", f"q{i}", [7, 30]) for d in ("2024-07-21", "2024-08-04") for i in range(30)],
+        "forecast_due_date DATE, question_set STRING, source STRING, id STRING, forecast_horizons ARRAY<INT>")
+    W.write_question_set(questions, f"{base}/sets")
+    assert R.latest_question_set(spark, f"{base}/sets") == "2024-08-04-llm.json"
+    back = R.read_question_set(spark, f"{base}/sets", "2024-07-21-llm.json").collect()
+    assert sorted(r.ids[0] for r in back) == sorted(f"q{i}" for i in range(30))
+    assert all(r.resolution_dates == [day("2024-07-28"), day("2024-08-20")] for r in back)
+    assert {r.question_set for r in back} == {"2024-07-21-llm.json"}
+    forecasts = spark.createDataFrame(
+        [("o", "m o", f"model {k}", "2024-07-21-llm.json", day("2024-07-21"), "fred", [f"q{i}"], 0.5, "2024-07-28")
+         for k in range(3) for i in range(20)],
+        "organization STRING, model_organization STRING, model STRING, question_set STRING, forecast_due_date DATE, "
+        "source STRING, ids ARRAY<STRING>, forecast DOUBLE, resolution_date STRING")
+    W.write_forecasts(forecasts, ["organization", "model_organization", "model", "question_set", "forecast_due_date"],
+                      F.concat(F.lit("a%b "), "model", F.lit(".json")), f"{base}/forecasts")
+    names = [x for x in os.listdir(f"{base}/forecasts/2024-07-21") if not x.startswith(".")]
+    assert sorted(names) == [f"a%b model {k}.json" for k in range(3)]
+    assert R.read_forecasts(spark, f"{base}/forecasts").count() == 60
+    assert R.list_forecast_files(spark, f"{base}/forecasts", day("2024-07-21")).count() == 3
+
+
+def test_series_read_back_in_both_forms(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(s, i, day("2024-01-01"), v) for s in ("fred", "acled") for i, v in (("a/b +c", 1.5), ("d", None))],
+        "source STRING, id STRING, date DATE, value DOUBLE")
+    want = sorted(((r.source, r.id, r.date, r.value) for r in rows.collect()), key=repr)
+    for name, write in (("by_source", lambda p: W.write_series(rows, p, "json")),
+                        ("by_question", lambda p: W.write_series_per_question(rows, p))):
+        path = str(tmp_path / name)
+        write(path)
+        got, skipped = R.read_resolutions(spark, path)
+        assert sorted(((r.source, r.id, r.date, r.value) for r in got.collect()), key=repr) == want
+        assert skipped.isEmpty()
+    assert {r.id for r in R.existing_series_ids(spark, str(tmp_path / "by_question")).collect()} == {"a/b +c", "d"}
