@@ -16,7 +16,7 @@ from probcast.plans import leaderboard as L
 from probcast.session import materialise
 from probcast.sources import testtables as T
 
-REPLICATES = 200     # of the registered bootstrap; the board job defaults to 1999
+REPLICATES = C.BOOTSTRAP_REPLICATES
 
 
 def scored(spark, sf):
@@ -431,9 +431,11 @@ def percentile_intervals(spark, sf):
         "question_type", "model_pk", num("ci_lower"), num("ci_upper"))
 
 
+_TOTAL = f"""(SELECT CAST(count(DISTINCT replicate) AS DOUBLE) FROM {SIM}
+               WHERE question_type = 'overall')"""
 _P = f"""(
     SELECT a.model_pk, CASE WHEN a.model_pk = '{SUPER_PK}' THEN CAST(-1 AS DOUBLE)
-               ELSE avg(CAST(a.brier_index >= b.brier_index AS INT)) END AS p_value
+               ELSE count(*) FILTER (WHERE a.brier_index >= b.brier_index) / {_TOTAL} END AS p_value
     FROM {SIM} a JOIN {SIM} b ON b.replicate = a.replicate AND b.question_type = 'overall'
      AND b.model_pk = '{SUPER_PK}' WHERE a.question_type = 'overall' GROUP BY 1)"""
 
@@ -457,7 +459,7 @@ def public_p(spark, sf):
                                  WHERE model_pk = '{SUPER_PK}') - brier_index_overall AS gap
                FROM {BOARD})
     SELECT a.model_pk, {n(f'''CASE WHEN a.model_pk = '{SUPER_PK}' THEN -1 ELSE
-        avg(CAST(b.brier_index - a.brier_index - t.gap >= t.gap AS INT)) END''', 'p_value')}
+        count(*) FILTER (WHERE b.brier_index - a.brier_index - t.gap >= t.gap) / {_TOTAL} END''', 'p_value')}
     FROM {SIM} a JOIN {SIM} b ON b.replicate = a.replicate AND b.question_type = 'overall'
      AND b.model_pk = '{SUPER_PK}' JOIN t ON t.model_pk = a.model_pk
     WHERE a.question_type = 'overall' GROUP BY a.model_pk""")
@@ -605,7 +607,7 @@ def first_to_reach(spark, sf):
 def external_regression(spark, sf):
     board = board_from_lineitem(spark, sf).withColumn(
         "external", F.col("brier_index_market") * 40 + 200)
-    return trend.external_regression(board, "external", "brier_index_overall", 25.0, 200)
+    return trend.external_regression(board, "external", "brier_index_overall", 25.0, 1000)
 
 
 @register("external_fit_s19_j18", f"""
@@ -619,7 +621,7 @@ def external_regression(spark, sf):
 def external_fit(spark, sf):
     board = board_from_lineitem(spark, sf).withColumn(
         "external", F.col("brier_index_market") * 40 + 200)
-    return trend.external_regression(board, "external", "brier_index_overall", 25.0, 20).select(
+    return trend.external_regression(board, "external", "brier_index_overall", 25.0, 1000).select(
         "form", num(F.col("slope"), "slope", 6), num(F.col("correlation"), "correlation", 6))
 
 

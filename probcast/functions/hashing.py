@@ -9,10 +9,6 @@ SHORT_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"
                  "\b": "\\b", "\f": "\\f"}
 
 
-def _u_escape(code: Column) -> Column:
-    return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
-
-
 def json_string(text: Column) -> Column:
     """JSON string literal, ASCII only (others as ``\\uXXXX``, pairs above the basic plane)."""
 

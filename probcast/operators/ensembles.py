@@ -49,7 +49,3 @@ def success_counts(forecasts: DataFrame, questions: DataFrame) -> DataFrame:
         F.sum("_e").alias("e")).scalar()
     return forecasts.groupBy("variant").agg(
         F.count("forecast").alias("got")).withColumn("expected", expected.cast("bigint"))
-
-
-def logit(p: Column) -> Column:
-    return F.ln(p / (F.lit(1.0) - p))

@@ -310,7 +310,3 @@ def clean_diseases(df: DataFrame, name: str = "Common name", vaccine: str = "Vac
 def until_last_data_day(df: DataFrame, due: date, day: str = "date") -> DataFrame:
     """Forecasters see nothing from the due date on."""
     return df.filter(F.col(day) < F.lit(due))
-
-
-def parsed_day(df: DataFrame, column: str = "date") -> DataFrame:
-    return df.withColumn(column, mixed_date(F.col(column)))

@@ -27,10 +27,6 @@ def _horizons(values: Sequence[int] = tuple(C.HORIZONS_DAYS)) -> Column:
     return F.array(*[F.lit(h) for h in values])
 
 
-def _no_market_info() -> dict[str, Column]:
-    return {name: F.lit(NOT_AVAILABLE) for name in MARKET_FIELDS}
-
-
 # --- conflict events -------------------------------------------------------------------------
 
 def conflict_questions(events: DataFrame, event_types: Sequence[str], as_of: date,
