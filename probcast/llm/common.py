@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -65,9 +66,25 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, limits: dict
     return source.join(F.broadcast(chosen.drop("_o")), "_key").select("text", "y"), sizes
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system: idle Python workers share the executor's room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its memory
+        pass
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text",
-                limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+                limit: int = SLICE_BYTES // 2) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that one slice has about ``limit`` bytes of text, or a single row."""
+    try:
+        yield from _slices(batches, column, limit)
+    finally:
+        give_back_memory()
+
+
+def _slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         array = batch.column(column)
         if len(batch) == 0:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from probcast.llm.common import bounded_batches, mix, split_words, stored, text_slices
+from probcast.llm.common import bounded_batches, give_back_memory, mix, split_words, stored, text_slices
 from probcast.llm.components import connected_components
 
 
@@ -46,7 +46,7 @@ class JoinOptions:
     frequent_limit: int = 100_000  # of the order's hot shingles; the rest keeps hash order
     block: int = 1024  # members of a large bucket that one task compares with as many others
     small_bucket: int = 16
-    pairs_per_task: int = 1024
+    pairs_per_task: int = 512
     largest_light: int = 13
 
 
@@ -129,7 +129,7 @@ def frequent_shingles(docs: DataFrame, key: str, text: str, options: JoinOptions
     words = options.words
 
     def run(batches):
-        for part in text_slices(batches, "_text"):
+        for part in text_slices(batches, "_text", 2 << 20):
             flat, _ = shingle_sets(part.column("_text"), words)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["h"])
 
@@ -149,7 +149,7 @@ def describe_sets(docs: DataFrame, key: str, text: str, options: JoinOptions,
         schema = schema.add(name, kind)
 
     def run(batches):
-        for part in text_slices(batches, "_text"):
+        for part in text_slices(batches, "_text", 2 << 20):
             flat, bounds = shingle_sets(part.column("_text"), words)
             hot = np.zeros(len(flat), bool)
             if len(frequent) and len(flat):
@@ -234,7 +234,7 @@ def sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame, options: Jo
     chosen = source.join(wanted.select("id").distinct(), "id", "left_semi")
 
     def run(batches):
-        for part in text_slices(batches, "_text"):
+        for part in text_slices(batches, "_text", 2 << 20):
             flat, bounds = shingle_sets(part.column("_text"), words)
             sets = [flat[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "elements"])
@@ -299,6 +299,8 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, options: Jo
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        sets.clear()
+        give_back_memory()
 
     return rows.mapInArrow(run, pairs.select("a", "b").schema)
 
