@@ -210,7 +210,21 @@ def simple(spark, sf):
     return sampling.sample_simple(questions(spark, sf), 200, SEED).select("id")
 
 
-@register("category_even_sample_p7_p6")
+# Even splits as round robins: the k-th question of every source, then of every category in order.
+_CATEGORY_PLACE = f"list_position([{', '.join(repr(c) for c in C.CATEGORIES)}], category)"
+
+
+@register("category_even_sample_p7_p6", f"""
+    WITH pool AS (SELECT * FROM {QUESTIONS} WHERE NOT is_market AND NOT resolved),
+    turn AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY id) AS k FROM pool),
+    share AS (SELECT source, count(*) AS quota FROM (
+        SELECT source, row_number() OVER (ORDER BY k, source) AS place FROM turn)
+        WHERE place <= 60 GROUP BY 1),
+    inside AS (SELECT source, category, id, row_number() OVER (
+        PARTITION BY source, category ORDER BY md5(concat(id, '#{SEED}')), id) AS k FROM pool),
+    placed AS (SELECT *, row_number() OVER (
+        PARTITION BY source ORDER BY k, {_CATEGORY_PLACE}) AS place FROM inside)
+    SELECT source, category, id FROM placed JOIN share USING (source) WHERE place <= quota""")
 def category_even(spark, sf):
     pool = questions(spark, sf).filter(filters.is_dataset() & ~F.col("resolved"))
     plan = sampling.allocate_counts(pool, "source", 60, C.DATASET_SOURCES)
@@ -233,7 +247,7 @@ def even_allocation(spark, sf):
 def create_sets(spark, sf):
     base = questions(spark, sf).drop("category", "valid_question")
     llm_set, human_set = question_set.create_question_sets(
-        base, metadata(spark, sf), FREEZE, SEED, question_set.SetSizes(100, 40))
+        base, metadata(spark, sf), FREEZE, SEED, question_set.SetSizes())
     return llm_set.unionByName(human_set).select("question_set", "source", "category", "id")
 
 
