@@ -48,6 +48,7 @@ class JoinOptions:
     small_bucket: int = 16
     pairs_per_task: int = 512
     largest_light: int = 13
+    bitmap_log2: int = 23  # bits of the filter on wanted ids; a full filter costs time, not results
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -227,20 +228,45 @@ def bucket_members(classes: DataFrame, light: DataFrame, boundary: int, options:
     return members.join(shared, "bucket")
 
 
+def _id_hash(column: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << bits))
+
+
+def id_bitmap(wanted: DataFrame, bits: int) -> np.ndarray:
+    """One bit per hash of the wanted ids: ``2 ** bits`` bits, however many ids there are."""
+    place = _id_hash("id", bits)
+    rows = wanted.select(place.alias("h")).groupBy(F.shiftright("h", 15).alias("w")).agg(
+        F.bitmap_construct_agg(F.col("h") % 32768).alias("m")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:
+        out[r["w"] * 4096:(r["w"] + 1) * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out
+
+
 def sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame, options: JoinOptions) -> DataFrame:
-    """``id``, ``elements`` (sorted shingle hashes as bytes) of the wanted ids, one row per id."""
-    words = options.words
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("_text"))
-    chosen = source.join(wanted.select("id").distinct(), "id", "left_semi")
+    """``id``, ``elements`` (sorted shingle hashes as bytes) of the wanted ids.
+
+    Texts are not shuffled: a bitmap of fixed size drops nearly all unwanted rows where they are read,
+    and an exact semi-join of the few sets made drops the rest.
+    """
+    words, ids = options.words, wanted.select("id").distinct()
+    bitmap = id_bitmap(ids, options.bitmap_log2)
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).filter("id IS NOT NULL").withColumn(
+        "_h", _id_hash("id", options.bitmap_log2))
 
     def run(batches):
-        for part in text_slices(batches, "_text", 2 << 20):
+        def chosen():
+            for batch in batches:
+                h = np.asarray(batch.column("_h").to_numpy(zero_copy_only=False), np.int64)
+                yield batch.filter(pa.array(bitmap[h >> 3] >> (h & 7).astype(np.uint8) & 1 > 0, pa.bool_()))
+
+        for part in text_slices(chosen(), "_text", 2 << 20):
             flat, bounds = shingle_sets(part.column("_text"), words)
             sets = [flat[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "elements"])
 
     schema = source.select("id").schema.add("elements", "binary")
-    return chosen.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).join(ids, "id", "left_semi")
 
 
 def _by_size(a: str, b: str, percent: int) -> Column:
