@@ -194,7 +194,7 @@ def _token_segments(docs: DataFrame, path: str, end: int, key: str, text: str, k
                  pa.array([np.concatenate(ids).astype("<u4").tobytes()], pa.binary())],
                 names=["part", "segment", "ids", "lengths", "tokens"])
 
-        for batch in text_slices(batches, "_text", 2 << 20):
+        for batch in text_slices(batches, "_text"):
             found, bounds = with_end(*encoder.encode(batch.column("_text")), end)
             keys.append(batch.column("id"))
             lengths.append(np.diff(bounds))
