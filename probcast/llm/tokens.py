@@ -1,13 +1,16 @@
 """Token ids of whole texts by the tokenizers library, with each distinct chunk encoded once.
 
 Both vocabularies cut a text before every change from non-space to space and between a letter and a
-mark, whatever stands around, so the ids of a text are the ids of its chunks in order. A task looks distinct chunks up in a
-bounded cache, encodes the new ones in one batch and gathers ids with numpy.
+mark, whatever stands around, so the ids of a text are the ids of its chunks in order. Special strings
+such as ``<|endoftext|>`` that a text quotes get their one id, as from the library, so each is a chunk of
+its own. A task looks distinct chunks up in a bounded cache, encodes the new ones in one batch and
+gathers ids with numpy.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -46,11 +49,28 @@ def _as_runs(data: np.ndarray, first: np.ndarray, bounds: np.ndarray) -> tuple[p
     return chunks, np.searchsorted(first, bounds)
 
 
-def spaced_chunks(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+def special_spans(data: np.ndarray, bounds: np.ndarray, special: re.Pattern | None) -> np.ndarray:
+    """Start and end of each special string, one row each; none goes across the bounds."""
+    found = [m.span() for m in special.finditer(memoryview(np.ascontiguousarray(data)))] if special else []
+    spans = np.array(found, np.int64).reshape(-1, 2)
+    row = np.searchsorted(bounds, spans[:, 0], side="right")
+    return spans[spans[:, 1] <= bounds[np.minimum(row, len(bounds) - 1)]]
+
+
+def _keep_whole(cut: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Cut around special strings and not inside them; returns the places inside."""
+    inside = gather_ranges(spans[:, 0], spans[:, 1] - spans[:, 0])
+    cut[inside] = False
+    cut[spans[:, 0]] = True
+    cut[spans[spans[:, 1] < len(cut), 1]] = True
+    return inside
+
+
+def spaced_chunks(data: np.ndarray, bounds: np.ndarray, special: re.Pattern | None = None) -> tuple[pa.Array, np.ndarray]:
     """Chunks that keep the white space before them.
 
     Cuts stand before a space or line end that follows a byte which surely ends a non-space character,
-    and between a letter and a mark. Fewer cuts only make longer chunks.
+    between a letter and a mark, and around special strings. Fewer cuts only make longer chunks.
     """
     n = len(data)
     cut = _mark_cuts(data)
@@ -60,19 +80,33 @@ def spaced_chunks(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.nd
         late = (before >= 0x80) & ~_LATE_SPACE[before]
         late[1:] |= (before[1:] >= 0x80) & (before[:-1] == 0xC3)
         cut[1:] |= ((data[1:] == 0x20) | (data[1:] == 0x0A)) & (plain | late)
+        _keep_whole(cut, special_spans(data, bounds, special))
         cut[bounds[:-1][bounds[:-1] < n]] = True
     return _as_runs(data, np.flatnonzero(cut), bounds)
 
 
-def bare_chunks(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Chunks without white space, in ASCII lower case (the vocabulary lowers all letters anyway)."""
+def bare_chunks(data: np.ndarray, bounds: np.ndarray, special: re.Pattern | None = None) -> tuple[pa.Array, np.ndarray]:
+    """Chunks without white space, in ASCII lower case (the vocabulary lowers all letters anyway) but
+    for special strings."""
     keep = ~_SPACE[data]
     cut = _mark_cuts(data)
+    lower = _LOWER[data]
     if len(data):
         cut[1:] |= ~keep[:-1]
+        inside = _keep_whole(cut, special_spans(data, bounds, special))
+        keep[inside], lower[inside] = True, data[inside]
         cut[bounds[:-1][bounds[:-1] < len(data)]] = True
     place = np.concatenate([[0], np.cumsum(keep)])
-    return _as_runs(_LOWER[data[keep]], place[np.flatnonzero(cut & keep)], place[bounds])
+    return _as_runs(lower[keep], place[np.flatnonzero(cut & keep)], place[bounds])
+
+
+def special_pattern(tokenizer) -> re.Pattern | None:
+    """The vocabulary's special strings, which the library finds before it does anything else."""
+    added = list(tokenizer.get_added_tokens_decoder().values())
+    if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+        raise ValueError("only special strings that match literally are supported")
+    names = sorted((t.content.encode() for t in added), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, names))) if names else None
 
 
 class TextEncoder:
@@ -83,7 +117,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = special_pattern(self.tokenizer)
         self.keep_spaces = keep_spaces
         self._reset()
 
@@ -135,7 +169,7 @@ class TextEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in one array, and the row bounds in it; null counts as empty."""
         data, bounds = text_bytes(texts)
-        runs, rows = spaced_chunks(data, bounds) if self.keep_spaces else bare_chunks(data, bounds)
+        runs, rows = (spaced_chunks if self.keep_spaces else bare_chunks)(data, bounds, self.special)
         encoded = runs.dictionary_encode()
         entry = self._lookup(encoded.dictionary)[np.asarray(encoded.indices)]
         sizes = self.lengths[entry]

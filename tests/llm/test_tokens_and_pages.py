@@ -37,6 +37,41 @@ def test_chunked_ids_equal_library_ids(path, keep):
             assert ids[bounds[i]:bounds[i + 1]].tolist() == w.ids, repr(part[i])[:80]
 
 
+@pytest.mark.parametrize("path,keep", [(BYTE, True), (WORDS, False)])
+def test_special_strings_equal_untouched_library(path, keep):
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(path), random.Random(11)
+    some = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext |>", "<|endof", "text|>", "<|", "|>", " ", "\n\n",
+            "  ", "a", "It's", "'s", "É", "9", "\u0338", "\u3000", ".", " see"]
+    texts = ["see <|endoftext|> here", "<|endof", "text|>", None, "<|endoftext|>" * 3]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    ids, bounds = TextEncoder(path, keep).encode(pa.array(texts, pa.string()))
+    for i, w in enumerate(library.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == w.ids, repr(texts[i])
+    assert ids[:bounds[1]].tolist() == ([3826, 220, 50256, 994] if keep else [862, 49407, 763])
+
+
+def test_packing_and_token_files_use_untouched_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a b"), (2, "see <|endoftext|> here"), (3, "<|startoftext|>x<|endoftext|>"), (4, "end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def crc(ids):
+        return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+    want = {i: Tokenizer.from_file(BYTE).encode(t, add_special_tokens=False).ids + [2] for i, t in rows}
+    got = {r["id"]: (r["length"], r["ids_crc32"]) for r in packing.pack_texts(df, BYTE, 2).collect()}
+    assert got == {i: (len(ids), crc(ids)) for i, ids in want.items()}
+    rans.write_token_files(df, f"file://{tmp_path}/special", WORDS, 1)
+    at = 0
+    for r in rans.read_token_files(spark, f"file://{tmp_path}/special").orderBy("start").collect():
+        ids = Tokenizer.from_file(WORDS).encode(dict(rows)[r["id"]], add_special_tokens=False).ids + [1]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), crc(ids))
+        at += len(ids)
+
+
 def test_encoder_cache_shrinks(monkeypatch):
     import probcast.llm.tokens as module
 
