@@ -35,6 +35,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from probcast.llm.common import bounded_batches, give_back_memory, mix, split_words, stored, text_slices
 from probcast.llm.components import connected_components
+from probcast.operators.skew import salted_join
 
 
 @dataclass(frozen=True)
@@ -288,18 +289,40 @@ def _sketch_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
     return joined.select("a", "b", "na", "ka", "nb", "kb").mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def pair_groups(pairs: DataFrame, options: JoinOptions) -> DataFrame:
+    """``g``, ``a``, ``b``: pairs in groups of about half of ``pairs_per_task``.
+
+    The end with more pairs is the hub of a pair. A group belongs to one hub, or to that hub's own best
+    hub where it has few pairs, and holds a hashed part of the other ends: a hub's set travels once per
+    part, however many partners it has on either side of its id.
+    """
+    block = options.pairs_per_task
+    degree = pairs.select(F.col("a").alias("x")).union(pairs.select(F.col("b").alias("x"))).groupBy("x").agg(
+        F.count("*").alias("d"))
+    ends = salted_join(pairs.select("a", "b"), degree.toDF("a", "da"), ["a"], ["b"])
+    ends = salted_join(ends, degree.toDF("b", "db"), ["b"], ["a"])
+    first = F.col("da") >= F.col("db")
+    turned = stored(ends.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"),
+                                F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"),
+                                F.greatest("da", "db").alias("d")))
+    best = turned.groupBy(F.col("v").alias("u")).agg(F.min(F.struct(-F.col("d"), "u"))["u"].alias("up"))
+    own = turned.groupBy("u").agg(F.count("*").alias("own"))
+    roots = own.join(best, "u", "left").select("u", F.when(
+        F.col("own") > max(1, block // 8), F.col("u")).otherwise(F.coalesce("up", "u")).alias("r"), "own")
+    parts = roots.groupBy("r").agg(F.ceil(2 * F.sum("own") / block).cast("int").alias("parts"))
+    placed = salted_join(turned, roots.select("u", "r").join(parts, "r"), ["u"], ["v"])
+    other = F.when(F.col("u") == F.col("r"), F.col("v")).otherwise(F.col("u"))
+    return placed.select(F.xxhash64("r", F.pmod(F.xxhash64(other), F.col("parts"))).alias("g"), "a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, options: JoinOptions) -> DataFrame:
     """Pairs whose sets reach the threshold exactly.
 
-    Pairs around the same smallest partner go to one task in groups of bounded size, so that a set
-    travels once per group and not once per pair.
+    Pairs go to tasks in groups of bounded size, so that a set travels once per group and not once per
+    pair.
     """
-    percent, block = options.percent, options.pairs_per_task
-    least = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("r"))
-    rooted = pairs.join(least, "a", "left").withColumn("r", F.coalesce("r", "a"))
-    sizes = rooted.groupBy("r").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    placed = stored(rooted.join(sizes, "r").select(
-        F.xxhash64("r", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("g"), "a", "b"))
+    percent = options.percent
+    placed = stored(pair_groups(pairs, options))
     need = placed.select("g", F.col("a").alias("id")).union(placed.select("g", F.col("b").alias("id"))).distinct()
     sets = stored(sets_of(docs, key, text, need, options))
     id_type = pairs.schema["a"].dataType

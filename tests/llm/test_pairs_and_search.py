@@ -85,6 +85,28 @@ def test_light_sets_equal_brute_force(spark, monkeypatch):
         assert {r["id"]: (r["n_shingles"], r["component"]) for r in found} == want
 
 
+@pytest.mark.parametrize("hub", [0, 1500, 9000])
+def test_groups_of_pairs_are_bounded_around_a_hub(spark, monkeypatch, hub):
+    texts = [(i, " ".join(f"w{k}" for k in range(40)) + f" t{i % 7}") for i in [*range(1, 1400), hub]]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    ends = [(min(i, hub), max(i, hub)) for i, _ in texts if i != hub] + [(i, i + 1) for i in range(1, 1399)]
+    pairs = spark.createDataFrame(ends, "a long, b long")
+    placed, stored = [], shingle_join.stored
+
+    def watch(df):
+        placed.extend([stored(df)] if {"g", "a", "b"} <= set(df.columns) else [])
+        return stored(df)
+
+    monkeypatch.setattr(shingle_join, "stored", watch)
+    options = shingle_join.JoinOptions(pairs_per_task=64)
+    links = shingle_join.verified(pairs, docs, "doc_id", "text", options).collect()
+    assert sorted(map(tuple, links)) == sorted(ends)  # all pairs link: one of 39 shingles differs
+    groups = Counter(r["g"] for r in placed[0].collect())
+    assert sum(groups.values()) == len(ends) and max(groups.values()) <= options.pairs_per_task
+    copies = {r["g"] for r in placed[0].collect() if hub in (r["a"], r["b"])}
+    assert len(copies) <= 4 * len(ends) / options.pairs_per_task
+
+
 def test_join_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert shingle_join.jaccard_components(empty).count() == 0
