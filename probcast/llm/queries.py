@@ -133,6 +133,14 @@ def op8_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_block_max_search")
 def op5_block_max_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten best documents for every document whose id is divisible by 20."""
+    found = bm25_search.top_k(read_table(spark, folder, "documents"), F.col("doc_id") % 20 == 0, "doc_id")
+    return found.select(F.col("query").alias("query_doc_id"), "rank", F.col("key").alias("doc_id"),
+                        F.round("score", 9).alias("score"))
+
+
+@query("op5_turn_search")
+def op5_turn_search(spark: SparkSession, folder: str) -> DataFrame:
     """Ten best turns of all conversations for every turn of the conversations divisible by 20."""
     turns = read_table(spark, folder, "conversations")
     turns = turns.withColumn("key", F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 12, "0"),

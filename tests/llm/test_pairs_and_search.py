@@ -213,3 +213,16 @@ def test_search_edges(spark):
     assert bm25_search.top_k(empty, F.lit(True), "id").count() == 0
     only = spark.createDataFrame([(1, None), (2, "")], "id long, text string")
     assert bm25_search.top_k(only, F.lit(True), "id").count() == 0
+
+
+def test_registered_search_takes_whole_documents(spark):
+    pytest.importorskip("public_tokenizers")
+    from probcast.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = {}
+    for r in QUERIES["op5_block_max_search"](spark, folder).orderBy("query_doc_id", "rank").collect():
+        got.setdefault(r["query_doc_id"], []).append((r["doc_id"], round(r["score"], 6)))
+    want = bm25_by_hand(rows, [i for i, _ in rows if i % 20 == 0], 10)
+    assert got == {q: [(i, round(s, 6)) for i, s in best] for q, best in want.items() if best}
