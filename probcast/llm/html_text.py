@@ -8,8 +8,9 @@ which blocks are main text. Scripts, styles, comments, the head and all markup a
 references are decoded, white space inside a block becomes one space, and blocks are joined by blank
 lines in page order.
 
-Defined cases: a null or empty page and a page without main text give an empty text; unclosed and
-cut-off tags end with the page; repeated rows are extracted each on its own; extra columns are ignored.
+Defined cases: a null or empty page and a page without main text give an empty text; unclosed
+scripts, styles, comments and cut-off tags end with the page; an unclosed head ends where the body begins,
+and of other unclosed dropped elements only the tag goes; repeated rows are extracted each on its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ from pyspark.sql import DataFrame, functions as F
 from probcast.llm.common import bounded_batches, text_slices
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z",
     re.DOTALL | re.IGNORECASE)
+# Elements dropped up to their end tag; where none follows, only the tag itself is dropped.
+DROPPED = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in "noscript template svg iframe object canvas".split()}
+HEAD_TAGS = set("base basefont bgsound link meta title noframes".split()) | set(DROPPED)
 ATTRIBUTES = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp "
              "small span strike strong sub sup time tt u var wbr input".split())
@@ -189,21 +193,42 @@ def page_blocks(page: str) -> list[Block]:
         parts.clear()
         linked.clear()
 
+    head = title = False  # the head ends at its end tag or at the first text or tag that it cannot hold
+    unclosed: set[str] = set()
+
     def outer() -> tuple[bool, bool, bool]:
         return (any(a for _, a, _ in stack), any(f for _, _, f in stack), any(t in HEADINGS for t, _, _ in stack))
 
     at = 0
-    for match in MARKUP.finditer(page):
-        if match.start() > at:
-            piece = page[at:match.start()]
+    while match := MARKUP.search(page, at):
+        piece, at = page[at:match.start()], match.end()
+        head = head and (title or not piece.strip())
+        if piece and not head:
             parts.append(piece)
             if link:
                 linked.append(piece)
-        at = match.end()
         tag = match.group(3)
         if tag is None:
             continue
         tag, closing, attributes = tag.lower(), bool(match.group(2)), match.group(4)
+        if tag in DROPPED:
+            if not closing and tag not in unclosed and not (tag == "svg" and attributes.rstrip().endswith("/")):
+                if end := DROPPED[tag].search(page, at):
+                    at = end.end()
+                else:
+                    unclosed.add(tag)
+            continue
+        if tag == "head":
+            close()
+            head, title = not closing, False
+            continue
+        if head:
+            if tag in HEAD_TAGS:
+                title = tag == "title" and not closing
+                continue
+            if closing and tag not in PAGE_TAGS:
+                continue
+            head = title = False
         if tag == "a":
             link = not closing
             parts.append("")
@@ -231,7 +256,7 @@ def page_blocks(page: str) -> list[Block]:
                     tag == "header" and not any(a for _, a, _ in stack))
                 stack.append((tag, tag in CONTENT_TAGS, own))
                 article, furniture, heading = outer()
-    if at < len(page):
+    if at < len(page) and not (head and title):
         parts.append(page[at:])
     close()
     return blocks

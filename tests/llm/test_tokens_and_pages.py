@@ -242,6 +242,25 @@ def test_page_text():
     assert html_text.main_text(plain, tree) == f"{paragraph.strip()}\n\n{(paragraph * 2).strip()}"
 
 
+ARTICLE = "<article><h1>Head line</h1><p>Some plain words of text.</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><body>{}", "<html><head><title>T</title><meta charset=x>{}", "<head><title>T<body>{}",
+    "<head><style>p{{}}</style><noscript>x<body>{}", "<HEAD><script>var a='<p>';</script><title>T</title></HEAD><body>{}",
+    *[f"<body><{t} class=x>{{}}</body>" for t in "noscript template svg iframe object canvas".split()],
+    *[f"<body><{t}><p>gone</p></{t}>{{}}</body>" for t in "noscript template svg iframe object canvas script style".split()],
+    "<body>{}<script>var a", "<body>{}<style>p", "<body>{}<!-- <p>gone</p>", "<body><svg/>{}"])
+def test_page_text_of_unclosed_elements(page):
+    tree = html_text.grow_tree(html_text.EXAMPLES)
+    assert html_text.main_text(page.format(ARTICLE), tree) == "Head line\n\nSome plain words of text."
+
+
+def test_text_after_an_unclosed_head():
+    assert [b.text for b in html_text.page_blocks("<head><title>T</title> Plain text")] == ["Plain text"]
+    assert html_text.page_blocks("<head><title>T") == []
+
+
 def test_page_text_edges(spark):
     deep = "<div>" * 3000 + "<p>" + "deep words here " * 30 + "</p>"
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<article><p>cut &am"), (4, None, "<article><p>1 < 2 <foo"), (None, "u", deep),
