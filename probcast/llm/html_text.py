@@ -2,8 +2,9 @@
 
 A page is cut into flat blocks at block-level tags. A block has its word count and link density, those
 of the blocks before and after it, whether it is a heading, whether it lies in an element that holds
-an article, and whether it lies in an element named or marked as page furniture (menu, advert,
-notice, form, comments and the like). A decision tree grown on the labelled table ``EXAMPLES`` decides
+an article, and how surely it lies in page furniture (menu, advert, notice, form, comments and the
+like): 1 by an element's tag or because it is hidden, 0.5 by a name or an own form, which long text
+without links overrules and which ends at an article or main element. A decision tree grown on the labelled table ``EXAMPLES`` decides
 which blocks are main text. Scripts, styles, comments, the head and all markup are dropped, character
 references are decoded, white space inside a block becomes one space, and blocks are joined by blank
 lines in page order.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -47,6 +49,10 @@ FURNITURE_NAMES = set(
     "comment comments commentlist reply replies respond discussion disqus breadcrumb breadcrumbs pagination pager "
     "form login search toolbar widget copyright legal disclaimer hidden tags taglist tracking contentinfo "
     "complementary".split())
+# Names that say what a wrapper has or is filed under, and names of what holds text.
+ABOUT_NAMES = set("has with without no not tag category cat".split())
+TEXT_NAMES = set("text editor article post entry story body".split())
+FORM_WORDS = 100  # a form with so many words outside links wraps the page
 PAGE_TAGS = {"html", "body"}
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -107,6 +113,17 @@ EXAMPLES = [
     (4, 1.0, 0, 0.0, 100, 0.0, 0, 0, 0, 0), (30, 0.8, 2, 1.0, 40, 0.0, 0, 0, 0, 0),
     (6, 0.8, 60, 0.0, 70, 0.0, 0, 0, 0, 0), (3, 1.0, 80, 0.0, 60, 0.0, 0, 0, 0, 0),
     (2, 1.0, 60, 0.0, 3, 1.0, 1, 0, 0, 0), (4, 0.0, 30, 0.0, 1, 1.0, 0, 0, 0, 0),
+    # furniture by name: long blocks without links are text, all others are not
+    (120, 0.0, 90, 0.0, 80, 0.0, 0, 0, 0.5, 1), (150, 0.0, 60, 0.0, 9, 0.0, 0, 0, 0.5, 1),
+    (150, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0.5, 1), (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0.5, 1),
+    (300, 0.01, 120, 0.0, 150, 0.0, 0, 1, 0.5, 1), (130, 0.02, 1, 1.0, 90, 0.0, 0, 1, 0.5, 1),
+    (1, 1.0, 1, 1.0, 5, 0.0, 0, 0, 0.5, 0), (5, 0.0, 1, 1.0, 10, 0.0, 0, 0, 0.5, 0),
+    (14, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0.5, 0), (20, 0.1, 90, 0.0, 0, 0.0, 0, 0, 0.5, 0),
+    (40, 0.0, 30, 0.0, 22, 0.0, 0, 0, 0.5, 0), (80, 0.02, 15, 0.0, 12, 0.0, 0, 0, 0.5, 0),
+    (150, 0.8, 3, 1.0, 5, 1.0, 0, 0, 0.5, 0), (130, 0.5, 60, 0.0, 70, 0.0, 0, 1, 0.5, 0),
+    (4, 0.0, 12, 0.0, 20, 0.0, 1, 0, 0.5, 0), (12, 0.0, 60, 0.0, 60, 0.0, 0, 1, 0.5, 0),
+    (30, 0.0, 80, 0.0, 70, 0.0, 0, 1, 0.5, 0), (5, 0.0, 90, 0.0, 20, 0.0, 1, 1, 0.5, 0),
+    (60, 0.0, 6, 0.0, 45, 0.0, 0, 1, 0.5, 0), (80, 0.0, 80, 0.0, 120, 0.0, 0, 1, 0.5, 0),
 ]
 
 
@@ -147,23 +164,32 @@ def grow_tree(rows: Sequence[tuple], depth: int = 6, least: int = 1) -> Node:
     return Node(feature, cut, grow_tree(below, depth - 1, least), grow_tree(above, depth - 1, least))
 
 
+def _furniture_name(name: str) -> bool:
+    """Whether a class or another name is one of furniture, and not of what its element only has or holds."""
+    parts = [p.lower() for p in NAME_PARTS.findall(name)]
+    if len(parts) > 1 and parts[0] in ABOUT_NAMES:
+        return False
+    return bool(found := FURNITURE_NAMES & set(parts)) and not (found == {"widget"} and TEXT_NAMES & set(parts))
+
+
 @lru_cache(maxsize=4096)
-def _marked_furniture(tag: str, attributes: str) -> bool:
-    """Whether an element's own tag or attributes mark it as furniture."""
+def _marked_furniture(tag: str, attributes: str) -> float:
+    """How surely an element's own tag or attributes mark it as furniture: 1, 0.5 by name or form, or 0."""
     if tag in PAGE_TAGS:
-        return False
-    if tag in FURNITURE_TAGS:
-        return True
+        return 0.0
+    if tag in FURNITURE_TAGS and tag != "form":
+        return 1.0
+    mark = 0.5 if tag == "form" else 0.0
     for name, value in ATTRIBUTES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 1.0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
+            return 1.0
         if name in ("class", "id", "role", "aria-label", "itemprop", "data-role"):
-            if any(part.lower() in FURNITURE_NAMES for part in NAME_PARTS.findall(value)):
-                return True
-    return False
+            if any(map(_furniture_name, value.split())):
+                mark = 0.5
+    return mark
 
 
 @dataclass
@@ -173,7 +199,8 @@ class Block:
     linked: int
     heading: bool
     in_article: bool
-    in_furniture: bool
+    in_furniture: float
+    form: int = 0  # number of the form that alone marks the block
 
 
 def page_blocks(page: str) -> list[Block]:
@@ -181,23 +208,27 @@ def page_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, article, furniture
-    article = furniture = heading = False
-    link = False
+    stack: list[tuple[str, bool, float]] = []  # tag, article, furniture
+    article = heading = link = False
+    furniture, form, forms = 0.0, 0, 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             blocks.append(Block(text, len(text.split()), len(html.unescape(" ".join(linked)).split()),
-                                heading, article, furniture))
+                                heading, article, furniture, form))
         parts.clear()
         linked.clear()
 
     head = title = False  # the head ends at its end tag or at the first text or tag that it cannot hold
     unclosed: set[str] = set()
 
-    def outer() -> tuple[bool, bool, bool]:
-        return (any(a for _, a, _ in stack), any(f for _, _, f in stack), any(t in HEADINGS for t, _, _ in stack))
+    def outer() -> tuple[bool, float, int, bool]:
+        inner = max((i for i, (_, a, _) in enumerate(stack) if a), default=0)
+        named = max((f for t, _, f in stack[inner:] if t != "form"), default=0.0)
+        sure = max((f for _, _, f in stack if f == 1.0), default=named)
+        inside = forms if not sure and any(t == "form" for t, _, _ in stack[inner:]) else 0
+        return any(a for _, a, _ in stack), 0.5 if inside else sure, inside, any(t in HEADINGS for t, _, _ in stack)
 
     at = 0
     while match := MARKUP.search(page, at):
@@ -239,7 +270,7 @@ def page_blocks(page: str) -> list[Block]:
                 close()
                 while stack.pop()[0] != tag:
                     pass
-                article, furniture, heading = outer()
+                article, furniture, form, heading = outer()
         else:
             close()
             link = False
@@ -247,18 +278,25 @@ def page_blocks(page: str) -> list[Block]:
                 if any(t == tag for t, _, _ in stack):
                     while stack.pop()[0] != tag:
                         pass
-                    article, furniture, heading = outer()
+                    article, furniture, form, heading = outer()
             elif tag not in VOID and not attributes.rstrip().endswith("/"):
                 if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or tag in HEADINGS:
                     if stack and stack[-1][0] == tag:
                         stack.pop()  # an unclosed one ends here
-                own = _marked_furniture(tag, attributes.strip()) or (
-                    tag == "header" and not any(a for _, a, _ in stack))
+                own = _marked_furniture(tag, attributes.strip()) if (
+                    tag != "header" or any(a for _, a, _ in stack)) else 1.0
+                forms += tag == "form"
                 stack.append((tag, tag in CONTENT_TAGS, own))
-                article, furniture, heading = outer()
+                article, furniture, form, heading = outer()
     if at < len(page) and not (head and title):
         parts.append(page[at:])
     close()
+    words = Counter()
+    for b in blocks:
+        words[b.form] += max(b.words - b.linked, 0)
+    for b in blocks:
+        if b.form and words[b.form] >= FORM_WORDS:
+            b.in_furniture = 0.0
     return blocks
 
 

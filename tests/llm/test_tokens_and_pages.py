@@ -261,6 +261,30 @@ def test_text_after_an_unclosed_head():
     assert html_text.page_blocks("<head><title>T") == []
 
 
+@pytest.mark.parametrize("page", [
+    '<div class="content has-sidebar">{}</div>', '<div class="no-sidebar">{}</div>', '<div class="hasSidebar">{}</div>',
+    '<div class="elementor-widget-text-editor">{}</div>', '<form action="x"><input type=hidden>{}</form>',
+    '<div class="category-legal with-menu">{}</div>'])
+@pytest.mark.parametrize("article", [True, False])
+def test_page_text_in_marked_wrappers(page, article):
+    tree = html_text.grow_tree(html_text.EXAMPLES)
+    some = ["Plain words that fill " + "one more line of a paragraph " * n for n in (9, 12, 8)]
+    body = "".join(f"<p>{t}</p>" for t in some)
+    body = f'<article class="post tag-legal">{body}</article>' if article else body
+    assert html_text.main_text(page.format(body), tree) == "\n\n".join(t.strip() for t in some)
+
+
+def test_page_text_overrules_names_only():
+    tree = html_text.grow_tree(html_text.EXAMPLES)
+    long = "words of a long text without any links " * 20
+    assert html_text.main_text(f'<div class="widget"><p>{long}</p></div>', tree) == long.strip()
+    assert html_text.main_text(f'<div id="related"><main><p>Few words.</p></main></div>', tree) == "Few words."
+    for page in (f"<aside><p>{long}</p></aside>", f"<div hidden><p>{long}</p></div>", "<main><div class=widget>Few words.</div></main>",
+                 "<main><form>Your name <input> and mail</form></main>", f'<div class="widget"><a href=x>{long}</a></div>',
+                 f"<footer><article><p>{long}</p></article></footer>"):
+        assert html_text.main_text(page, tree) == "", page
+
+
 def test_page_text_edges(spark):
     deep = "<div>" * 3000 + "<p>" + "deep words here " * 30 + "</p>"
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<article><p>cut &am"), (4, None, "<article><p>1 < 2 <foo"), (None, "u", deep),
