@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probcast.llm import bm25_search, fixity, html_text, packing, piece_sampling, quality_model, quality_rules, rans, shingle_join, toxicity
+from probcast.llm import bm25_search, fixity, html_text, packing, piece_sampling, quality_model, quality_rules, rans, shingle_join, source_mix, toxicity
 from probcast.llm.common import held_out, read_table, stored
 from probcast.session import ensure_checkpoint_dir
 
@@ -152,3 +152,10 @@ def op5_turn_search(spark: SparkSession, folder: str) -> DataFrame:
 
     return found.select(part("query", 0).alias("query_conv_id"), part("query", 1).alias("query_turn"), "rank",
                         part("key", 0).alias("conv_id"), part("key", 1).alias("turn"), F.round("score", 9).alias("score"))
+
+
+@query("op11_source_mix", source_mix.mix_sql())
+def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix of all sources takes from every document."""
+    mix = source_mix.mix_sources(read_table(spark, folder, "documents"))
+    return mix.taken().withColumnRenamed("key", "doc_id")
