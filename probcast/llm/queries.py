@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probcast.llm import bm25_search, fixity, html_text, packing, piece_sampling, quality_model, quality_rules, rans, shingle_join, source_mix, toxicity
+from probcast.llm import bm25_search, fixity, html_text, packing, piece_sampling, quality_model, quality_rules, rans, shingle_join, source_mix, toxicity, tree_search, vector_codes
 from probcast.llm.common import held_out, read_table, stored
 from probcast.session import ensure_checkpoint_dir
 
@@ -159,3 +159,17 @@ def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix of all sources takes from every document."""
     mix = source_mix.mix_sources(read_table(spark, folder, "documents"))
     return mix.taken().withColumnRenamed("key", "doc_id")
+
+
+@query("op12_vector_codes", vector_codes.codes_sql())
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes and errors of all vectors."""
+    codes = vector_codes.encode_vectors(read_table(spark, folder, "embeddings"))
+    return codes.with_label_error().select(F.col("key").alias("vec_id"), "code", "error", "label_error",
+                                           F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
+@query("op13_tree_search", tree_search.search_sql())
+def op13_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return tree_search.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
