@@ -130,7 +130,7 @@ def _kept(vectors: DataFrame, key: str, vector: str, label: str, options: CodeOp
     table = np.floor(scale * np.array([r["vector"] for r in start], dtype=float).reshape(len(start), width))
     if table.size and np.abs(table).max() > LARGEST:
         raise ValueError("components of 65,536 or more: distances would leave 64 bits")
-    parts = table.astype(np.int64).reshape(len(start), options.parts, -1)
+    parts = table.astype(np.int64).reshape(len(start), options.parts, width // options.parts)
     return rows, np.ascontiguousarray(parts.transpose(1, 0, 2))
 
 
