@@ -8,8 +8,8 @@ with ``m``, so both bound the score of all documents below. For an item, the tre
 first, children of greater bound first; what is bounded below the item's last place so far is cut off,
 and the documents of a leaf are scored exactly. A task carries each item's best documents from tree to
 tree and returns them; places of equal score go to smaller keys, so nodes that only reach the last
-place are still opened. A sample of documents is searched first; the score of its last place is a floor
-for all tasks. Results do not depend on the sample, on tree size or on the tasks.
+place are still opened. A sample of documents is searched first; its last place is a floor for all
+tasks. Results do not depend on the sample, on tree size or on the tasks.
 
 Items are taken in blocks of about ``item_bytes`` of text; vocabulary, weights and items of a block are
 what travels to the tasks and to the driver.
@@ -22,7 +22,6 @@ their own rows; null keys come last among equal scores; empty tables give no row
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -244,21 +243,25 @@ def gain(count: np.ndarray, m: np.ndarray, options: SearchOptions) -> np.ndarray
 
 
 class Places:
-    """The best documents of one item so far: score, null key, key."""
+    """The best documents of one item so far: score, null key, key. A document must reach ``floor``,
+    and at equal score come no later than the document ``last`` that has it."""
 
-    def __init__(self, size: int, floor: int):
-        self.size, self.floor = size, max(1, floor)
+    def __init__(self, size: int, floor: tuple[int, bool, int] = (1, True, 0)):
+        self.size = size
+        self.floor, self.last = floor[0], floor[1:]
         self.score, self.null, self.key = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
 
     def add(self, score: np.ndarray, null: np.ndarray, key: np.ndarray) -> None:
-        good = score >= self.floor
+        level = score == self.floor
+        before = (null < self.last[0]) | (null == self.last[0]) & (key <= self.last[1])
+        good = (score > self.floor) | level & before
         if not good.any():
             return
         score, null, key = (np.concatenate([x, y[good]]) for x, y in ((self.score, score), (self.null, null), (self.key, key)))
         order = np.lexsort((key, null, -score))[:self.size]
         self.score, self.null, self.key = score[order], null[order], key[order]
         if len(order) == self.size:
-            self.floor = max(self.floor, int(self.score[-1]))
+            self.floor, self.last = int(self.score[-1]), (bool(self.null[-1]), int(self.key[-1]))
 
 
 def search_tree(tree: Tree, terms: np.ndarray, weights: np.ndarray, by_rank: np.ndarray, places: Places, options: SearchOptions) -> int:
@@ -278,12 +281,12 @@ def search_tree(tree: Tree, terms: np.ndarray, weights: np.ndarray, by_rank: np.
     return opened
 
 
-def search_paths(paths: DataFrame, queries: list[tuple[int, np.ndarray, np.ndarray]], floors: dict[int, int],
+def search_paths(paths: DataFrame, queries: list[tuple[int, np.ndarray, np.ndarray]], floors: dict[int, tuple],
                  corpus: Corpus, options: SearchOptions) -> DataFrame:
     """The best documents of every task for every item: (item, key, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = [Places(options.best, floors.get(q, 0)) for q, _, _ in queries]
+        places = [Places(options.best, floors.get(q, (1, True, 0))) for q, _, _ in queries]
         by_rank = np.zeros(len(corpus.weight), np.int64)
         held: list[pa.RecordBatch] = []
         size = [0, 0]
@@ -337,11 +340,11 @@ def _search_block(docs: DataFrame, items: list, key: str, text: str, options: Se
         own, repeats = np.unique(ranks[a:b], return_counts=True)
         if len(own):
             queries.append((r["item"], own, corpus.weight[own] * repeats))
-    floors: dict[int, int] = {}
+    floors: dict[int, tuple] = {}
     if corpus.documents > 2 * options.sample:
         some = vectors.filter(F.pmod(F.xxhash64("key", "n"), F.lit(corpus.documents)) < options.sample)
         last = _ranked(search_paths(sorted_paths(some, corpus, options), queries, {}, corpus, options), options)
-        floors = {r["item"]: r["score"] for r in last.filter(F.col("rank") == options.best).collect()}
+        floors = {r["item"]: (r["score"], r["key"] is None, r["key"] or 0) for r in last.filter(F.col("rank") == options.best).collect()}
     return stored(search_paths(sorted_paths(vectors, corpus, options), queries, floors, corpus, options))
 
 
