@@ -97,7 +97,7 @@ def _weights(spark, questions, plan, block_questions):
 def test_weights_sum_to_the_stratum_and_ignore_blocks(spark, block_questions):
     questions = spark.createDataFrame(
         [(f"q{i}", i % 2) for i in range(150)], "question_pk STRING, stratum BIGINT")
-    plan = B.Plan(120, 3, 1)
+    plan = B.Plan(120, 3)
     weight = _weights(spark, questions, plan, block_questions)
     for s in (0, 1):
         drawn = np.stack([weight[f"q{i}"] for i in range(150) if i % 2 == s])
@@ -117,7 +117,7 @@ def test_bootstrap_weights_are_exact_and_replicates_match_explicit_fit(spark):
     scores = B.replicate_scores(df, "B", False, replicates, seed=11, block_questions=8)
     got = {(r.replicate, r.model_pk): r.score for r in scores.collect()}
     index = spark.createDataFrame([(f"m{i}", i) for i in range(6)], "model_pk STRING, idx INT")
-    weight = _weights(spark, B.question_rows(df, index, "B", False), B.Plan(replicates, 11, 6), 8)
+    weight = _weights(spark, B.question_rows(df, index, "B", False), B.Plan(replicates, 11), 8)
     total = sum(weight[q] for q in questions)
     assert (total == len(questions)).all()
     for k in range(replicates):
@@ -142,7 +142,7 @@ def test_scores_ignore_blocks_partitions_and_groups(spark):
     df = spark.createDataFrame(rows, COLUMNS)
     one = B.replicate_scores(df, "B", False, 130, seed=2)
     two = B.replicate_scores(df.repartition(5), "B", False, 130, seed=2, block_questions=4,
-                             patterns_per_group=3)
+                             vector_cells=300)
     key = ["replicate", "question_type", "model_pk"]
     both = one.join(two.withColumnRenamed("score", "other"), key, "full_outer").collect()
     assert len(both) == 130 * 6
