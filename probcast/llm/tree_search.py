@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from probcast.llm.common import gather_ranges, split_runs, stored, text_bytes, text_slices
 from probcast.operators.skew import keep_first_n
 
+SAMPLE_TASKS = 4  # for the documents searched first, whose number is bounded
+
 SEPARATORS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
 
@@ -343,7 +345,8 @@ def _search_block(docs: DataFrame, items: list, key: str, text: str, options: Se
     floors: dict[int, tuple] = {}
     if corpus.documents > 2 * options.sample:
         some = vectors.filter(F.pmod(F.xxhash64("key", "n"), F.lit(corpus.documents)) < options.sample)
-        last = _ranked(search_paths(sorted_paths(some, corpus, options), queries, {}, corpus, options), options)
+        few = sorted_paths(some, corpus, options).coalesce(SAMPLE_TASKS)
+        last = _ranked(search_paths(few, queries, {}, corpus, options), options)
         floors = {r["item"]: (r["score"], r["key"] is None, r["key"] or 0) for r in last.filter(F.col("rank") == options.best).collect()}
     return stored(search_paths(sorted_paths(vectors, corpus, options), queries, floors, corpus, options))
 
