@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from probcast import constants as C
 from probcast.catalog import inputs as I, register
 from probcast.catalog.inputs import d, joined, n, num
+from probcast.catalog.series import page_items
 from probcast.functions import parsing
 from probcast.operators import baselines as B, ensembles, questions as Q, series as S, upsert as U
 from probcast.operators.resolve import conflict_base
@@ -66,50 +67,77 @@ def bounded(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey", num(B.bounded(p), "forecast"))
 
 
-def _asked(spark, sf):
-    dates = F.array(*[F.lit(DUE + timedelta(days=h)) for h in (7, 30)])
-    return T.table(spark, sf, "dataset_questions").select("id").distinct().select(
-        "id", F.explode(dates).alias("date"))
+def _asked(ids, due=DUE):
+    """Every series on each of the eight horizons."""
+    return ids.select("id").distinct().withColumn("date", F.explode(
+        F.array(*[F.lit(due + timedelta(days=h)) for h in C.HORIZONS_DAYS])))
 
 
 @register("naive_series_forecaster_b3")
 def naive_forecaster(spark, sf):
-    """Chance of increase per part series and resolution day by the plain-source models."""
+    """Chance of increase per part series and resolution day by the sources' models."""
     series = T.table(spark, sf, "series")
-    asked = _asked(spark, sf)
     parts = []
     for source in ("dbnomics", "fred", "yfinance"):
         model = B.SOURCE_MODELS[source]
         rows = series.filter(F.col("source") == source).select("id", "date", "value")
-        wanted = asked.join(rows.select("id").distinct(), "id", "left_semi")
-        parts.append(B.increase_probability(
-            B.trend_forecast(rows, wanted, DUE, model), model).select("id", "date", "forecast"))
+        holidays = rows.filter(F.date_format("date", "MM-dd") == "01-15") if model.day_flags else None
+        forecast = B.trend_forecast(rows, _asked(rows), DUE, model, holidays)
+        parts.append(B.increase_probability(forecast, model).select("id", "date", "forecast"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# Without seasons and changes of rate the model is plain least squares.
+@register("straight_series_forecaster_b3", f"""
+    WITH s AS (SELECT id, date, datediff('day', DATE '2024-01-01', date) AS x, value FROM {T.sql('series')}
+               WHERE date < {d(DUE)}),
+    last AS (SELECT id, arg_max(value, date) AS last_value FROM s GROUP BY id),
+    line AS (SELECT id, regr_slope(value, x) AS slope, regr_intercept(value, x) AS level,
+                    avg(value) AS mean, count(DISTINCT x) AS days FROM s GROUP BY id),
+    fitted AS (SELECT id, CASE WHEN days > 1 THEN slope ELSE 0 END AS slope,
+                      CASE WHEN days > 1 THEN level ELSE mean END AS level FROM line),
+    spread AS (SELECT id, greatest(sqrt(avg(pow(value - level - slope * x, 2))), 1e-5 * max(abs(value))) AS noise
+               FROM s JOIN fitted USING (id) GROUP BY id),
+    h AS (SELECT CAST({d(DUE)} + h.days AS DATE) AS date,
+                 datediff('day', DATE '2024-01-01', {d(DUE)}) + h.days AS x
+          FROM (VALUES {", ".join(f"({x})" for x in C.HORIZONS_DAYS)}) AS h(days))
+    SELECT id, date, {n('level + slope * x', 'mean', 0)},
+           {n(f'level + slope * x - {B.SeriesModel().z} * noise', 'lower', 0)},
+           {n(f'level + slope * x + {B.SeriesModel().z} * noise', 'upper', 0)},
+           {n('last_value', decimals=0)}
+    FROM fitted JOIN spread USING (id) JOIN last USING (id) CROSS JOIN h""")
+def straight_forecaster(spark, sf):
+    rows = T.table(spark, sf, "series").select("id", "date", "value")
+    asked = _asked(rows.filter(F.col("date") < F.lit(DUE)))
+    forecast = B.trend_forecast(rows, asked, DUE, B.SeriesModel(yearly=False, changes=0))
+    return forecast.select("id", "date", *[num(c, decimals=0) for c in ("mean", "lower", "upper", "last_value")])
+
+
 @register("page_forecaster_b4_s22")
 def page_forecaster(spark, sf):
-    """Logistic trend with caps per user, daily from a common start."""
-    daily = I.daily_close(spark, sf).select("id", "date", "value")
-    filled = S.fill_rows(B.backfill_to_start(daily, date(2024, 1, 1)), I.TRADES_YESTERDAY)
-    asked = daily.select("id").distinct().withColumn("date", F.lit(date(2024, 2, 6)))
-    forecast = B.trend_forecast(
-        filled, asked, I.TRADES_AS_OF, B.SeriesModel(growth="logistic", yearly=False))
-    return B.page_probability(forecast, C.SAME_OR_MORE, False).select("id", "date", "forecast")
+    """All pages in one job: own limits, comparison and value rule per page, eight horizons."""
+    items = page_items(spark, sf).select(
+        F.concat_ws("|", "page", "item").alias("id"), F.col("page").alias("root"), "date", "value")
+    asked = _asked(items, I.TRADES_AS_OF).join(items.select("id", "root").distinct(), "id")
+    return B.page_forecasts(items, asked, I.PAGE_RULES, I.TRADES_AS_OF, date(2023, 12, 25)).select(
+        "id", "root", "comparison", "date", "forecast")
+
+
+CONFLICT_DUE = I.TRADES_AS_OF + timedelta(days=31)   # its data lag ends where the events do
 
 
 @register("conflict_forecaster_b5")
 def conflict_forecaster(spark, sf):
-    events = T.table(spark, sf, "conflict_events")
-    daily = S.conflict_daily(events)
-    asked = events.select("country").distinct().withColumn("metric", F.lit("fatalities"))
-    base = S.trailing_sums(daily, asked.withColumn("date", F.lit(I.TRADES_AS_OF)), [360],
-                           ["country", "metric"])
-    questions = base.select(
-        F.col("country").alias("id"), "country", "metric",
-        conflict_base(F.lit(C.CONFLICT_KEY_PLAIN), F.col("sum_360") / 12).alias("base"),
-        F.lit(date(2024, 2, 20)).alias("resolution_date"))
-    return B.conflict_forecast(daily, questions, I.TRADES_AS_OF, date(2024, 1, 1)).select(
+    """Every country, metric and question key on each of the eight horizons."""
+    daily = S.conflict_daily(T.table(spark, sf, "conflict_events"))
+    asked = daily.select("country", "metric").distinct()
+    base = S.trailing_sums(daily, asked.withColumn("date", F.lit(I.TRADES_AS_OF)), [360], ["country", "metric"])
+    keys = F.array(F.lit(C.CONFLICT_KEY_PLAIN), F.lit(C.CONFLICT_KEY_TENFOLD))
+    dates = F.array(*[F.lit(CONFLICT_DUE + timedelta(days=h)) for h in C.HORIZONS_DAYS])
+    questions = base.withColumn("key", F.explode(keys)).withColumn("resolution_date", F.explode(dates)).select(
+        F.concat_ws("|", "country", "metric", "key").alias("id"), "country", "metric",
+        conflict_base(F.col("key"), F.col("sum_360") / 12).alias("base"), "resolution_date")
+    return B.conflict_forecast(daily, questions, CONFLICT_DUE, date(2024, 1, 1)).select(
         "id", "resolution_date", "forecast")
 
 
@@ -191,7 +219,7 @@ def brier_summary(spark, sf):
 @register("forecast_success_a14", f"""
     SELECT concat('v', l_linenumber % 2) AS variant,
            CAST(count(CASE WHEN l_tax <= 0.07 THEN 1 END) AS BIGINT) AS got,
-           CAST((SELECT count(*) * 5 FROM {T.sql('dataset_questions')}) AS BIGINT) AS expected
+           CAST((SELECT count(*) * {len(C.HORIZONS_DAYS)} FROM {T.sql('dataset_questions')}) AS BIGINT) AS expected
     FROM lineitem GROUP BY 1""")
 def success(spark, sf):
     forecasts = T.raw(spark, sf, "lineitem").select(

@@ -65,17 +65,43 @@ def update_conflict(spark, sf):
     return Q.update_conflict_questions(stored, fresh)
 
 
+# Purchases read 1 from 50 on, else 0.
+_PAGE_VALUE = """CASE WHEN page = 'purchase' AND v IS NOT NULL THEN CASE WHEN v >= 50 THEN '1' ELSE '0' END
+    ELSE printf('%.2f', v) END"""
+
+
 @register("page_questions_g2", f"""
     WITH l AS (SELECT page, item, max(date) AS last, arg_max(struct_pack(v := value), date).v AS v
-               FROM {MARKED} GROUP BY 1, 2)
-    SELECT page, item, sha256(concat('{{"id_field_value": "', item, '", "id_root": "', page, '"}}'))
-               AS id, {n('v', 'freeze_value')}, v IS NULL AS resolved,
-           CAST(CASE WHEN v IS NULL THEN 0 ELSE 8 END AS INT) AS n_horizons
-    FROM l WHERE last >= DATE '2024-01-20'""")
+               FROM {MARKED} WHERE page <> 'error' GROUP BY 1, 2),
+    t AS (SELECT page, item, {_PAGE_VALUE} AS v FROM l WHERE last >= DATE '2024-01-20'),
+    r AS (SELECT *, CASE WHEN page = 'purchase' THEN coalesce(v = '1', FALSE) ELSE v IS NULL END AS resolved,
+                 CASE WHEN page = 'purchase' THEN CASE WHEN v = '1' THEN 'Yes' ELSE 'No' END ELSE v END AS shown
+          FROM t)
+    SELECT page, item, sha256(concat('{{"id_field_value": "', item, '", "id_root": "', page, '"}}')) AS id,
+           CASE page WHEN 'view' THEN concat('Will ', item, ' have a rating on {{resolution_date}} at least 1% higher?')
+               WHEN 'click' THEN concat('Will ', item, ' rank as high by {{resolution_date}}?')
+               WHEN 'signup' THEN concat('Will ', item, ' still hold the record for ', coalesce(shown, ''), ' on {{resolution_date}}?')
+               ELSE concat('Will there be one for ', item, ' since {{forecast_due_date}}?') END AS question,
+           CASE page WHEN 'view' THEN concat('Ratings of ', item, '.') WHEN 'signup' THEN concat('Record holder ', item, '.')
+               ELSE '' END AS background,
+           concat('https://en.wikipedia.org/wiki/', CASE page WHEN 'view' THEN 'Views' WHEN 'click' THEN 'Clicks'
+               WHEN 'signup' THEN 'Signups' ELSE 'Purchases' END) AS url,
+           shown AS freeze_datetime_value,
+           CASE page WHEN 'view' THEN concat('Rating of ', item, '.') WHEN 'click' THEN concat('Rank of ', item, '.')
+               WHEN 'signup' THEN concat(item, ' holds ', coalesce(shown, ''), '.')
+               ELSE concat('Whether ', item, ' has ', shown, '.') END AS freeze_datetime_value_explanation,
+           resolved, CASE WHEN resolved THEN '' ELSE '7,30,90,180,365,1095,1825,3650' END AS horizons,
+           'N/A' AS market_info_resolution_criteria, 'N/A' AS market_info_open_datetime,
+           'N/A' AS market_info_close_datetime, 'N/A' AS market_info_resolution_datetime
+    FROM r""")
 def page_questions(spark, sf):
-    rows = Q.page_questions(marked_items(spark, sf), storage_start=date(2024, 1, 20))
-    return rows.select("page", "item", "id", num("freeze_value"), "resolved",
-                       F.size("forecast_horizons").alias("n_horizons"))
+    marked = marked_items(spark, sf)
+    text = F.when((F.col("page") == "purchase") & F.col("value").isNotNull(), F.when(
+        F.col("value") >= 50, "1").otherwise("0")).otherwise(
+        F.when(F.col("value").isNotNull(), F.format_string("%.2f", "value")))
+    rows = Q.page_questions(marked.withColumn("value", text), I.PAGE_RULES, date(2024, 1, 20))
+    return rows.withColumn("horizons", F.array_join(F.col("forecast_horizons").cast("array<string>"), ",")).drop(
+        "forecast_horizons")
 
 
 @register("dropped_and_remapped_pages_g3", """

@@ -112,6 +112,15 @@ CONFLICT_KEY_TENFOLD = "last30DaysTimes10.gt.30DayAvgOverPast360DaysPlus1"
 SAME, SAME_OR_MORE, SAME_OR_LESS, MORE, ONE_PERCENT_MORE = (
     "SAME", "SAME_OR_MORE", "SAME_OR_LESS", "MORE", "ONE_PERCENT_MORE",
 )
+PAGE_COMPARISONS = [SAME, SAME_OR_MORE, SAME_OR_LESS, MORE, ONE_PERCENT_MORE]
+PAGE_URL = "https://en.wikipedia.org/wiki/"
+# least and greatest value that a page can show
+PAGE_LIMITS = {
+    "FIDE_rankings_elo_rating": (0, 2950),
+    "FIDE_rankings_ranking": (1, 1000),
+    "List_of_world_records_in_swimming": (0, 1),
+    "List_of_infectious_diseases": (0, 1),
+}
 
 
 def check_bin_weights() -> None:

@@ -15,6 +15,7 @@ from probcast import constants as C
 from probcast.functions import dates as D
 from probcast.functions.hashing import object_id
 from probcast.functions.text import fill_template, yes_item
+from probcast.operators.page_rules import PageRules
 from probcast.operators.series import conflict_daily, splice_and_refill, trailing_sums
 from probcast.operators.upsert import upsert
 
@@ -78,24 +79,33 @@ def page_item_ids(items: DataFrame, root: str = "page", item: str = "item") -> D
     return items.withColumn("id", object_id(id_root=F.col(root), id_field_value=F.col(item)))
 
 
-def page_questions(series: DataFrame, resolved_rule: Column | None = None,
-                   storage_start: date = C.STORAGE_START_DATE) -> DataFrame:
-    """Question state per page item from its marked series (page, item, date, value).
+def page_questions(series: DataFrame, rules: PageRules, storage_start: date = C.STORAGE_START_DATE
+                   ) -> DataFrame:
+    """Question row per page item from its marked series (page, item, date, value).
 
-    The latest value by date is the freeze value; no value, or the page's rule on it, resolves the
-    question and empties its horizons. Series that end before the storage start give none.
+    The page's rules decide on the latest value by date: whether it settles the question, which then
+    has no horizons, how it is shown, and the texts. ``item`` makes the id; ``name``, where the frame
+    has it, is what texts call the item. Series that end before the storage start and pages without a
+    rule give none.
     """
+    name = "name" if "name" in series.columns else "item"
     latest = series.groupBy("page", "item").agg(
-        F.max("date").alias("_last"), F.max_by(F.struct("value"), "date").alias("_v"))
-    value = F.col("_v.value")
-    resolved = value.isNull() if resolved_rule is None else F.coalesce(
-        resolved_rule, F.lit(False))
-    return page_item_ids(
-        latest.filter(F.col("_last") >= F.lit(storage_start)).withColumn("value", value)
-    ).withColumn("resolved", resolved).select(
-        "page", "item", "id", F.col("value").alias("freeze_value"), "resolved",
+        F.max("date").alias("_last"),
+        F.max_by(F.struct("value", F.col(name).alias("name")), "date").alias("_v"))
+    root, value = F.col("page"), F.col("_v.value")
+    rows = page_item_ids(latest.filter(
+        (F.col("_last") >= F.lit(storage_start)) & rules.known(root))).select(
+        "page", "item", "id", F.col("_v.name").alias("_name"), rules.shown(root, value).alias("_shown"),
+        rules.resolved(root, value).alias("resolved"))
+    text = lambda part: rules.text(root, part, F.col("_name"), F.col("_shown"))
+    return rows.select(
+        "page", "item", "id", text("question").alias("question"), text("background").alias("background"),
+        rules.url(root).alias("url"), "resolved",
         F.when(F.col("resolved"), F.array().cast("array<int>")).otherwise(_horizons()).alias(
-            "forecast_horizons"))
+            "forecast_horizons"),
+        F.col("_shown").alias("freeze_datetime_value"),
+        text("explanation").alias("freeze_datetime_value_explanation"),
+        *[F.lit(NOT_AVAILABLE).alias(c) for c in MARKET_FIELDS])
 
 
 def resolve_dropped_pages(questions: DataFrame, attributes: DataFrame, roots: Sequence[str]
