@@ -1,9 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from probcast.operators import baselines as B, series as S, upsert as U
-from probcast.streaming.daily_close import streaming_daily_last, write_daily_close
+from probcast.streaming.daily_close import DailyClose, write_daily_close
 from tests.conftest import day, rows
 
 DDL = "id STRING, date DATE, value DOUBLE"
@@ -107,23 +108,48 @@ def test_upserts(spark):
         ("1", "x", "y"), ("2", "x", "n")]
 
 
-def test_stream_equals_batch_with_late_rows(spark, tmp_path):
-    ddl = "id STRING, ts TIMESTAMP, seq BIGINT, value DOUBLE"
-    t = lambda d, h: dt.datetime(2024, 1, d, h)
-    batches = [[("a", t(1, 9), 1, 0.1), ("a", t(1, 12), 2, 0.2)],
-               [("a", t(1, 18), 3, 0.3), ("a", t(1, 11), 4, 0.9), ("a", t(2, 9), 5, 0.4)]]
+TRADES = "id STRING, ts TIMESTAMP, seq BIGINT, value DOUBLE"
+
+
+def trade(d, h, seq, value, key="a"):
+    return key, dt.datetime(2024, 1, d, h), seq, value
+
+
+def test_stream_closes_days_and_sets_late_rows_aside(spark, tmp_path):
+    batches = [[trade(1, 9, 1, 0.1), trade(1, 12, 2, 0.2)],
+               [trade(1, 18, 3, 0.3), trade(1, 11, 4, 0.9), trade(2, 9, 5, 0.4)],
+               [trade(4, 6, 6, 0.5), trade(2, 23, 7, 0.6)],     # closes the days before the third
+               [trade(2, 23, 8, 0.7), trade(3, 1, 9, 0.8), trade(1, 1, 10, 0.9, "b")]]
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
-    for k, batch in enumerate(batches):
-        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(ddl).parquet(source)
-        assert streaming_daily_last(stream).isStreaming
-        query = write_daily_close(stream, sink, str(tmp_path / "check")).trigger(
-            availableNow=True).start()
-        query.awaitTermination()
-    got = {(r.id, r.date): r.value for r in spark.read.parquet(sink).collect()}
-    batch = S.daily_last(spark.createDataFrame(sum(batches, []), ddl))
-    assert got == {(r.id, r.date): r.value for r in batch.collect()}
-    assert got[("a", day("2024-01-01"))] == 0.3
+    for batch in batches:
+        spark.createDataFrame(batch, TRADES).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(TRADES).parquet(source)
+        write_daily_close(stream, sink, str(tmp_path / "check")).trigger(
+            availableNow=True).start().awaitTermination()
+    close = DailyClose(sink)
+    got = {(r.id, r.date.day): r.value for r in close.days(spark).collect()}
+    assert got == {("a", 1): 0.3, ("a", 2): 0.6, ("a", 3): 0.8, ("a", 4): 0.5}
+    assert sorted((r.id, r.seq, r.batch_id) for r in close.late(spark).collect()) == [("a", 8, 3), ("b", 10, 3)]
+    assert sorted((r.date.day, r.value, r.batch_id) for r in close.closed(spark).collect()) == [
+        (1, 0.3, 2), (2, 0.6, 2)]
+    assert close.finished(spark) == (3, day("2024-01-03"))
+
+
+def test_a_batch_that_failed_midway_or_comes_again_has_no_second_effect(spark, tmp_path, monkeypatch):
+    close = DailyClose(str(tmp_path / "out"))
+    frame_of = lambda rows_: spark.createDataFrame(rows_, TRADES)
+    assert close.apply(frame_of([trade(1, 9, 1, 0.1)]), 0)
+    second = frame_of([trade(1, 20, 2, 0.2), trade(5, 1, 3, 0.3)])
+    with monkeypatch.context() as m:
+        m.setattr(DailyClose, "_finish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            close.apply(second, 1)
+    assert close.finished(spark) == (0, day("2023-12-31"))
+    assert close.apply(second, 1) and not close.apply(second, 1) and not close.apply(second, 0)
+    assert rows(close.days(spark), "date", "value") == [(day("2024-01-01"), 0.2), (day("2024-01-05"), 0.3)]
+    assert rows(close.closed(spark), "date", "batch_id") == [(day("2024-01-01"), 1)]
+    assert close.late(spark).count() == 0
+    assert close.apply(frame_of([]), 2) and close.finished(spark) == (2, day("2024-01-04"))
 
 
 def test_trend_forecast_follows_a_line(spark):
