@@ -6,14 +6,16 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from probcast import constants as C
 from probcast.operators import resolve, series as series_ops
+from probcast.operators.page_rules import PageRule, PageRules
 from probcast.session import materialise
 from probcast.sources import testtables as T
 
 AS_OF, TRADES_AS_OF, ORG = T.AS_OF, T.TRADES_AS_OF, T.BENCHMARK_ORG
 YESTERDAY = AS_OF - timedelta(days=1)
 TRADES_YESTERDAY = TRADES_AS_OF - timedelta(days=1)
-HORIZONS = [7, 30, 90, 180, 365]
+HORIZONS = C.HORIZONS_DAYS
 DECIMALS = 8
 
 
@@ -86,27 +88,33 @@ MARKET_FACTS = f"""(
     FROM {T.sql('market_questions')})"""
 
 
-def market_series(spark: SparkSession, sf: str) -> DataFrame:
+def market_series(spark: SparkSession, sf: str, until: date = TRADES_YESTERDAY) -> DataFrame:
     """Filled daily close with the final value spliced in for resolved questions."""
     key = ("source", "id")
-    filled = series_ops.fill_rows(daily_close(spark, sf), TRADES_YESTERDAY, key)
+    filled = series_ops.fill_rows(daily_close(spark, sf), until, key)
     return series_ops.splice_resolution(filled, market_final_values(spark, sf), key)
 
 
-FILLED_CLOSE = f"""(
+def filled_close_sql(until: date) -> str:
+    return f"""(
     SELECT k.source, k.id, k.date, c.value FROM (
-        SELECT source, id, CAST(unnest(generate_series(min(date), {d(TRADES_YESTERDAY)},
+        SELECT source, id, CAST(unnest(generate_series(min(date), {d(until)},
                INTERVAL 1 DAY)) AS DATE) AS date FROM {DAILY_CLOSE} GROUP BY source, id) k
     ASOF JOIN {DAILY_CLOSE} c ON k.source = c.source AND k.id = c.id AND k.date >= c.date)"""
 
-MARKET_SERIES = f"""(
-    SELECT f.source, f.id, f.date, f.value FROM {FILLED_CLOSE} f
+
+def market_series_sql(until: date) -> str:
+    return f"""(
+    SELECT f.source, f.id, f.date, f.value FROM {filled_close_sql(until)} f
     LEFT JOIN {MARKET_FACTS} q ON q.source = f.source AND q.id = f.id AND q.resolved
     WHERE q.id IS NULL OR f.date < q.resolved_on
     UNION ALL
     SELECT source, id, resolved_on, final_value FROM {MARKET_FACTS} WHERE resolved)"""
 
 
+FILLED_CLOSE, MARKET_SERIES = filled_close_sql(TRADES_YESTERDAY), market_series_sql(TRADES_YESTERDAY)
+
+
 # --- question sets ---------------------------------------------------------------------------
 
 def dataset_question_set(spark: SparkSession, sf: str, combos: bool = False) -> DataFrame:
@@ -173,23 +181,27 @@ def resolved_market(spark: SparkSession, sf: str, combos: bool = False
         collapse=False)
 
 
-RESOLVED_MARKET = f"""(
+def resolved_market_sql(yesterday: date) -> str:
+    series = market_series_sql(yesterday)
+    return f"""(
     SELECT q.source, q.id, q.user_no, u.due AS forecast_due_date, q.url,
-           CASE WHEN q.resolved THEN q.resolved_on ELSE {d(TRADES_YESTERDAY)} END
+           CASE WHEN q.resolved THEN q.resolved_on ELSE {d(yesterday)} END
                AS resolution_date, q.resolved,
            CASE WHEN NOT q.resolved THEN y.value
                 WHEN l.value IN (0, 1) AND q.resolved_on > u.due THEN l.value END AS resolved_to,
            a.value AS market_value_on_due_date, b.value AS market_value_on_due_date_minus_one,
            l.value AS last_value
     FROM {MARKET_FACTS} q CROSS JOIN (VALUES {DUE_VALUES}) AS u(due)
-    LEFT JOIN {MARKET_SERIES} y ON y.source = q.source AND y.id = q.id
-         AND y.date = {d(TRADES_YESTERDAY)}
-    LEFT JOIN {MARKET_SERIES} a ON a.source = q.source AND a.id = q.id AND a.date = u.due
-    LEFT JOIN {MARKET_SERIES} b ON b.source = q.source AND b.id = q.id AND b.date = u.due - 1
-    LEFT JOIN (SELECT source, id, arg_max(value, date) AS value FROM {MARKET_SERIES}
+    LEFT JOIN {series} y ON y.source = q.source AND y.id = q.id AND y.date = {d(yesterday)}
+    LEFT JOIN {series} a ON a.source = q.source AND a.id = q.id AND a.date = u.due
+    LEFT JOIN {series} b ON b.source = q.source AND b.id = q.id AND b.date = u.due - 1
+    LEFT JOIN (SELECT source, id, arg_max(value, date) AS value FROM {series}
                GROUP BY 1, 2) l ON l.source = q.source AND l.id = q.id)"""
 
 
+RESOLVED_MARKET = resolved_market_sql(TRADES_YESTERDAY)
+
+
 # --- forecasts -------------------------------------------------------------------------------
 
 def models(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +235,7 @@ VALID_DATASET_FORECASTS = f"""(
            CASE WHEN model_no = 'm0' THEN 0.5 ELSE forecast END AS forecast
     FROM {T.sql('dataset_forecasts')}
     WHERE (CASE WHEN model_no = 'm0' THEN 0.5 ELSE forecast END) BETWEEN 0 AND 1
-      AND resolution_date - forecast_due_date IN (7, 30, 90, 180, 365))"""
+      AND resolution_date - forecast_due_date IN ({', '.join(map(str, HORIZONS))}))"""
 
 DATASET_FORECASTS = f"""(
     SELECT model_no, source, id, forecast_due_date, resolution_date, min(forecast) AS forecast
@@ -305,3 +317,18 @@ PROCESSED = f"""(
     LEFT JOIN {MARKET_FORECASTS} f ON f.model_no = m.model_no AND f.source = r.source
          AND f.id = r.id AND f.forecast_due_date = r.forecast_due_date
     WHERE r.resolved_to IS NOT NULL)"""
+
+
+# --- pages -------------------------------------------------------------------------------------
+
+#: One rule per event type; the limits are those of the four published pages.
+PAGE_RULES = PageRules([
+    PageRule("view", "Views", C.ONE_PERCENT_MORE, "Will {id} have a rating on {resolution_date} at least 1% higher?",
+             "Rating of {id}.", "Ratings of {id}.", floor=0, cap=2950),
+    PageRule("click", "Clicks", C.SAME_OR_LESS, "Will {id} rank as high by {resolution_date}?", "Rank of {id}.",
+             floor=1, cap=1000),
+    PageRule("signup", "Signups", C.SAME, "Will {id} still hold the record for {value} on {resolution_date}?",
+             "{id} holds {value}.", "Record holder {id}.", numeric="held", backfilled=True, wide_band=True),
+    PageRule("purchase", "Purchases", C.MORE, "Will there be one for {id} since {forecast_due_date}?",
+             "Whether {id} has {value}.", resolved="happened", shown="yes_no", wide_band=True),
+])

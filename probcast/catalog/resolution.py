@@ -125,13 +125,14 @@ def market_dates(spark, sf):
             F.col("market_info_resolution_datetime")).alias("resolved_on"))
 
 
-@register("resolve_market_combinations_r5_r6", f"""
+def market_combinations_sql(resolved, yesterday):
+    return f"""
     WITH legs AS (
         SELECT a.source, a.forecast_due_date, concat(a.id, '|', b.id) AS ids, g.s0, g.s1,
                a.resolved AS r0, b.resolved AS r1, a.resolved_to AS v0, b.resolved_to AS v1,
                a.resolution_date AS d0, b.resolution_date AS d1,
                a.market_value_on_due_date AS m0, b.market_value_on_due_date AS m1
-        FROM {I.RESOLVED_MARKET} a JOIN {I.RESOLVED_MARKET} b
+        FROM {resolved} a JOIN {resolved} b
           ON b.source = a.source AND b.forecast_due_date = a.forecast_due_date
          AND b.user_no = a.user_no + 4
         CROSS JOIN {SIGNS}),
@@ -146,13 +147,17 @@ def market_dates(spark, sf):
             ) AS decided_on
         FROM legs)
     SELECT source, ids, concat(s0, '|', s1) AS direction, forecast_due_date,
-           coalesce(decided_on, {d(I.TRADES_YESTERDAY)}) AS resolution_date,
+           coalesce(decided_on, {d(yesterday)}) AS resolution_date,
            decided_on IS NOT NULL AS resolved,
            {n('CASE WHEN s0 = 1 THEN v0 ELSE 1 - v0 END * CASE WHEN s1 = 1 THEN v1 ELSE 1 - v1 END',
               'resolved_to')},
            {n('CASE WHEN s0 = 1 THEN m0 ELSE 1 - m0 END * CASE WHEN s1 = 1 THEN m1 ELSE 1 - m1 END',
               'market_value_on_due_date')}
-    FROM decided""")
+    FROM decided"""
+
+
+@register("resolve_market_combinations_r5_r6",
+          market_combinations_sql(I.RESOLVED_MARKET, I.TRADES_YESTERDAY))
 def resolve_market_combinations(spark, sf):
     rows, _ = I.resolved_market(spark, sf, True)
     return rows.filter(F.size("ids") > 1).select(
@@ -167,7 +172,6 @@ CONFLICT_DUES = [date(2024, 1, 16), date(2024, 1, 22)]
 _METRICS = ["view", "signup", "error", "click", "purchase", "fatalities"]
 _METRIC_VALUES = ", ".join(f"('{m}')" for m in _METRICS)
 _KEY_VALUES = f"('{C.CONFLICT_KEY_PLAIN}'), ('{C.CONFLICT_KEY_TENFOLD}')"
-_CONFLICT_DUE_VALUES = ", ".join(f"({d(x)})" for x in CONFLICT_DUES)
 CONFLICT_DAILY = f"""(
     SELECT country, event_date AS date, event_type AS metric, CAST(count(*) AS BIGINT) AS n
     FROM {T.sql('conflict_events')} GROUP BY 1, 2, 3
@@ -185,14 +189,15 @@ def conflict_attributes(spark, sf):
         "_k.event_type", "country")
 
 
-@register("resolve_conflict_r7", f"""
+def conflict_sql(dues, days):
+    return f"""
     WITH asked AS (
         SELECT concat(c.country, '/', m.metric, '/', k.key) AS id, c.country, m.metric, k.key,
-               u.due AS forecast_due_date, CAST(u.due + 7 AS DATE) AS resolution_date
+               u.due AS forecast_due_date, CAST(u.due + {days} AS DATE) AS resolution_date
         FROM (SELECT DISTINCT country FROM {T.sql('conflict_events')}) c
         CROSS JOIN (VALUES {_METRIC_VALUES}) AS m(metric)
         CROSS JOIN (VALUES {_KEY_VALUES}) AS k(key)
-        CROSS JOIN (VALUES {_CONFLICT_DUE_VALUES}) AS u(due)),
+        CROSS JOIN (VALUES {", ".join(f"({d(x)})" for x in dues)}) AS u(due)),
     recent AS (
         SELECT a.id, a.forecast_due_date, sum(e.n) AS total FROM asked a
         JOIN {CONFLICT_DAILY} e ON e.country = a.country AND e.metric = a.metric
@@ -207,7 +212,10 @@ def conflict_attributes(spark, sf):
                 ELSE 10 * (1 + coalesce(b.total, 0) / CAST(12 AS DOUBLE)) END AS DOUBLE)
                AS resolved_to, TRUE AS resolved
     FROM asked a LEFT JOIN recent r ON r.id = a.id AND r.forecast_due_date = a.forecast_due_date
-    LEFT JOIN base b ON b.id = a.id AND b.forecast_due_date = a.forecast_due_date""")
+    LEFT JOIN base b ON b.id = a.id AND b.forecast_due_date = a.forecast_due_date"""
+
+
+@register("resolve_conflict_r7", conflict_sql(CONFLICT_DUES, 7))
 def resolve_conflict(spark, sf):
     attributes = conflict_attributes(spark, sf)
     asked = attributes.select(
@@ -230,7 +238,7 @@ _PAGE_SERIES = f"""(SELECT id, date, CASE WHEN day(date) % 9 = 0 THEN NULL ELSE
                     FROM {T.sql('series')})"""
 
 
-@register("resolve_pages_r8", f"""
+PAGES_SQL = f"""
     WITH held AS (
         SELECT k.id, k.date, s.value FROM (
             SELECT id, CAST(unnest(generate_series(min(date), {d(I.YESTERDAY)}, INTERVAL 1 DAY))
@@ -240,7 +248,7 @@ _PAGE_SERIES = f"""(SELECT id, date, CASE WHEN day(date) % 9 = 0 THEN NULL ELSE
         SELECT q.id, CASE WHEN part_no % 10 = 0 AND part_no > 0
                           THEN concat('p', CAST(part_no - 1 AS VARCHAR)) ELSE q.id END AS target,
                q.forecast_due_date, CAST(q.forecast_due_date + h.days AS DATE) AS resolution_date
-        FROM {T.sql('dataset_questions')} q CROSS JOIN (VALUES (7), (30), (90)) AS h(days)
+        FROM {T.sql('dataset_questions')} q CROSS JOIN (VALUES {I.HORIZON_VALUES}) AS h(days)
         WHERE q.forecast_due_date + h.days < {d(I.AS_OF)}),
     kinds AS (SELECT DISTINCT id, {_KIND_SQL} AS kind FROM {T.sql('dataset_questions')})
     SELECT a.id, a.forecast_due_date, a.resolution_date,
@@ -251,22 +259,32 @@ _PAGE_SERIES = f"""(SELECT id, date, CASE WHEN day(date) % 9 = 0 THEN NULL ELSE
                AS resolved_to, TRUE AS resolved
     FROM asked a LEFT JOIN kinds k ON k.id = a.target
     LEFT JOIN held b ON b.id = a.target AND b.date = a.forecast_due_date
-    LEFT JOIN held l ON l.id = a.target AND l.date = a.resolution_date""")
-def resolve_pages(spark, sf):
+    LEFT JOIN held l ON l.id = a.target AND l.date = a.resolution_date"""
+
+
+def page_inputs(spark, sf, prefix="p"):
+    """(attributes, remaps, series) of page questions made of the part series."""
     base = T.table(spark, sf, "dataset_questions")
+    named = lambda number: F.concat(F.lit(prefix), number.cast("string"))
     kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]),
                         (F.col("part_no") % 5 + 1).cast("int"))
-    attributes = base.select("id", kind.alias("question_type")).distinct()
+    attributes = base.select(named(F.col("part_no")).alias("id"), kind.alias("question_type")).distinct()
     remaps = base.filter((F.col("part_no") % 10 == 0) & (F.col("part_no") > 0)).select(
-        F.col("id").alias("old_id"),
-        F.concat(F.lit("p"), (F.col("part_no") - 1).cast("string")).alias("new_id")).distinct()
-    asked = base.select(
+        named(F.col("part_no")).alias("old_id"), named(F.col("part_no") - 1).alias("new_id")).distinct()
+    stored = T.table(spark, sf, "series").select(
+        F.concat(F.lit(prefix), F.substring("id", 2, 20)).alias("id"), "date",
+        F.when(F.dayofmonth("date") % 9 != 0, F.col("value")).alias("value"))
+    return attributes, remaps, stored
+
+
+@register("resolve_pages_r8", PAGES_SQL)
+def resolve_pages(spark, sf):
+    attributes, remaps, stored = page_inputs(spark, sf)
+    asked = T.table(spark, sf, "dataset_questions").select(
         F.lit("wikipedia").alias("source"), F.array("id").alias("ids"),
         F.array().cast("array<int>").alias("direction"), "forecast_due_date",
-        F.explode(F.array(*[F.date_add("forecast_due_date", h) for h in (7, 30, 90)])).alias(
+        F.explode(F.array(*[F.date_add("forecast_due_date", h) for h in I.HORIZONS])).alias(
             "resolution_date")).filter(F.col("resolution_date") < F.lit(I.AS_OF))
-    stored = T.table(spark, sf, "series").select(
-        "id", "date", F.when(F.dayofmonth("date") % 9 != 0, F.col("value")).alias("value"))
     rows = resolve.resolve_pages(asked, attributes, remaps, stored, I.AS_OF)
     return rows.select(joined().alias("id"), "forecast_due_date", "resolution_date",
                        "resolved_to", "resolved")
@@ -347,6 +365,102 @@ def resolve_all(spark, sf):
         num("resolved_to"))
 
 
+# --- the whole job ----------------------------------------------------------------------------
+
+JOB_CONFLICT_DUES = [date(2024, 1, 11), date(2024, 1, 25)]
+JOB_CONFLICT_DAYS = 5
+_JOB_MARKET = I.resolved_market_sql(I.YESTERDAY)
+_JOB_RESOLVED = f"""(
+    WITH part AS (
+        SELECT r.* FROM {I.RESOLVED_DATASET} r LEFT JOIN {_NULLIFIED} x ON x.source = r.source
+         AND x.id = r.id AND x.start_date <= r.forecast_due_date
+        WHERE x.id IS NULL AND r.resolved_to IS NOT NULL),
+    market AS (SELECT * FROM {_JOB_MARKET}),
+    pairs AS ({market_combinations_sql('market', I.YESTERDAY)}),
+    conflict AS ({conflict_sql(JOB_CONFLICT_DUES, JOB_CONFLICT_DAYS)}),
+    pages AS ({PAGES_SQL})
+    SELECT source, id AS ids, '' AS direction, forecast_due_date, resolution_date, resolved_to,
+           NULL AS on_due, NULL AS before_due FROM part
+    UNION ALL
+    SELECT a.source, concat(a.id, '|', b.id), concat(g.s0, '|', g.s1), a.forecast_due_date, a.resolution_date,
+           CASE WHEN g.s0 = 1 THEN a.resolved_to ELSE 1 - a.resolved_to END
+           * CASE WHEN g.s1 = 1 THEN b.resolved_to ELSE 1 - b.resolved_to END, NULL, NULL
+    FROM part a JOIN part b ON b.source = a.source AND b.forecast_due_date = a.forecast_due_date
+     AND b.resolution_date = a.resolution_date AND b.part_no = a.part_no + 3 CROSS JOIN {SIGNS}
+    UNION ALL
+    SELECT source, id, '', forecast_due_date, resolution_date, resolved_to, market_value_on_due_date,
+           market_value_on_due_date_minus_one FROM market WHERE resolved_to IS NOT NULL
+    UNION ALL
+    SELECT source, ids, direction, forecast_due_date, resolution_date, resolved_to, market_value_on_due_date, NULL
+    FROM pairs WHERE resolved_to IS NOT NULL
+    UNION ALL
+    SELECT 'acled', id, '', forecast_due_date, resolution_date, resolved_to, NULL, NULL
+    FROM conflict WHERE resolved_to IS NOT NULL
+    UNION ALL
+    SELECT 'wikipedia', concat('w', substr(id, 2)), '', forecast_due_date, resolution_date, resolved_to, NULL, NULL
+    FROM pages WHERE resolved_to IS NOT NULL)"""
+_JOB_FORECASTS = f"""(
+    SELECT model_no, source, id, forecast_due_date, resolution_date, forecast FROM {I.DATASET_FORECASTS}
+    UNION ALL
+    SELECT model_no, source, id, forecast_due_date, NULL, forecast FROM {I.MARKET_FORECASTS} WHERE forecast IS NOT NULL)"""
+_MARKET_SOURCES = ", ".join(f"'{x}'" for x in C.MARKET_SOURCES)
+
+
+@register("resolve_job_r10_r11_r12", f"""
+    WITH resolved AS {_JOB_RESOLVED}, given AS {_JOB_FORECASTS},
+    submitted AS (SELECT DISTINCT model_no, forecast_due_date FROM given),
+    filled AS (
+        SELECT r.source, r.ids, r.direction, r.forecast_due_date, r.resolution_date, r.resolved_to,
+               f.forecast IS NULL AS imputed,
+               coalesce(f.forecast, CASE WHEN r.source NOT IN ({_MARKET_SOURCES}) THEN 0.5
+                   WHEN s.model_no = 'm2' THEN r.on_due WHEN s.model_no = 'm1' THEN r.before_due ELSE 0.5 END) AS forecast
+        FROM resolved r JOIN submitted s ON s.forecast_due_date = r.forecast_due_date
+        LEFT JOIN given f ON f.model_no = s.model_no AND f.source = r.source AND f.id = r.ids
+         AND r.direction = '' AND f.forecast_due_date = r.forecast_due_date
+         AND (f.resolution_date = r.resolution_date OR r.source IN ({_MARKET_SOURCES})))
+    SELECT source, ids, direction, forecast_due_date, resolution_date, {n('resolved_to')},
+           CAST(count(*) AS BIGINT) AS n_models, CAST(count(*) FILTER (imputed) AS BIGINT) AS n_imputed,
+           CAST(count(forecast) AS BIGINT) AS n_forecasts, {n('sum(forecast)', 'sum_forecast', 6)},
+           {n('min(forecast)', 'min_forecast')}, {n('max(forecast)', 'max_forecast')}
+    FROM filled GROUP BY ALL""")
+def resolve_job(spark, sf):
+    """Question sets of all four families, one of them with renames, singles and combinations, nullified
+    questions left out, all checks on; then every submission of each due date on every resolved row."""
+    from probcast.plans.resolution import QuestionBank, process_forecasts, resolve_question_set
+
+    base, attributes = T.table(spark, sf, "dataset_questions"), conflict_attributes(spark, sf)
+    page_attributes, remaps, page_series = page_inputs(spark, sf, "w")
+    no_dates = lambda df, source: df.select(F.lit(source).alias("source"), "id")
+    questions = T.table(spark, sf, "market_questions").unionByName(
+        base.select("source", "id").distinct(), True).unionByName(
+        no_dates(attributes, "acled"), True).unionByName(no_dates(page_attributes, "wikipedia"), True)
+    series = I.daily_series(spark, sf).select("source", "id", "date", "value").unionByName(
+        I.market_series(spark, sf, I.YESTERDAY).select("source", "id", "date", "value")).unionByName(
+        page_series.select(F.lit("wikipedia").alias("source"), "id", "date", "value"))
+    bank = QuestionBank(questions, series, nullified_list(spark, sf), T.table(spark, sf, "conflict_events"),
+                        attributes, page_attributes, remaps)
+    conflict = attributes.select(
+        F.explode(F.array(*[F.lit(x) for x in JOB_CONFLICT_DUES])).alias("forecast_due_date"),
+        F.lit("acled").alias("source"), F.array("id").alias("ids")).withColumn(
+        "resolution_dates", F.array(F.date_add("forecast_due_date", JOB_CONFLICT_DAYS)))
+    pages = base.select(
+        "forecast_due_date", F.lit("wikipedia").alias("source"),
+        F.array(F.concat(F.lit("w"), F.col("part_no").cast("string"))).alias("ids"),
+        F.array(*[F.date_add("forecast_due_date", h) for h in I.HORIZONS]).alias("resolution_dates"))
+    asked = I.dataset_question_set(spark, sf, True).unionByName(
+        I.market_question_set(spark, sf, True)).unionByName(conflict).unionByName(pages)
+    resolved, _ = resolve_question_set(asked, bank, I.AS_OF)
+    given = I.dataset_forecasts(spark, sf).withColumn("resolution_date", F.col("resolution_date").cast("string"))
+    market = I.market_forecasts(spark, sf).withColumn("resolution_date", F.lit(None).cast("string"))
+    rows = process_forecasts(given.unionByName(market, True), resolved, I.ORG)
+    key = ["source", joined().alias("ids"), joined("direction").alias("direction"), "forecast_due_date",
+           "resolution_date", num("resolved_to")]
+    return rows.groupBy(*key).agg(
+        F.count("*").alias("n_models"), F.count_if("imputed").alias("n_imputed"),
+        F.count("forecast").alias("n_forecasts"), num(F.sum("forecast"), "sum_forecast", 6),
+        num(F.min("forecast"), "min_forecast"), num(F.max("forecast"), "max_forecast"))
+
+
 # --- forecasts -------------------------------------------------------------------------------
 
 @register("prepare_forecasts_f5", f"""

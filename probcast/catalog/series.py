@@ -12,7 +12,7 @@ from probcast.catalog.resolution import CONFLICT_DAILY
 from probcast.operators import series as S
 from probcast.session import fresh_folder
 from probcast.sources import testtables as T
-from probcast.streaming.daily_close import write_daily_close
+from probcast.streaming.daily_close import DailyClose, write_daily_close
 
 
 @register("daily_close_t5", f"SELECT id, date, {n('value')} FROM {I.DAILY_CLOSE}")
@@ -296,18 +296,49 @@ def conflict_daily(spark, sf):
     return S.conflict_daily(T.table(spark, sf, "conflict_events"))
 
 
-@register("streamed_daily_close_st1", f"SELECT id, date, {n('value')} FROM {I.DAILY_CLOSE}")
+# Three deliveries by day of month; every tenth trade comes one delivery late, to a day that is then
+# still open or already closed.
+_DELIVERED = """(
+    SELECT concat('u', CAST(user_id AS VARCHAR)) AS id, ts, event_id AS seq, CAST(ts AS DATE) AS date,
+           (CAST(round(value * 100) AS BIGINT) % 101) / 100.0 AS value,
+           least(2, CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END
+                    + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END) AS batch
+    FROM events WHERE event_type <> 'error')"""
+
+
+@register("streamed_daily_close_st1", f"""
+    WITH b AS {_DELIVERED},
+    opened AS (SELECT k.batch, max(CAST(b.ts - INTERVAL 1 DAY AS DATE)) AS first_open
+               FROM (VALUES (0), (1), (2), (3)) AS k(batch) LEFT JOIN b ON b.batch < k.batch GROUP BY 1),
+    r AS (SELECT b.*, coalesce(date < first_open, FALSE) AS late FROM b JOIN opened USING (batch)),
+    days AS (SELECT id, date, arg_max(value, (ts, seq)) AS value FROM r WHERE NOT late GROUP BY 1, 2),
+    closings AS (SELECT a.batch, a.first_open AS from_day, z.first_open AS to_day
+                 FROM opened a JOIN opened z ON z.batch = a.batch + 1)
+    SELECT 'day' AS kind, id, date, {n('value')}, CAST(NULL AS BIGINT) AS number FROM days
+    UNION ALL SELECT 'late', id, date, {n('value')}, seq FROM r WHERE late
+    UNION ALL SELECT 'closed', id, date, {n('value')}, batch FROM days JOIN closings
+      ON date < to_day AND (from_day IS NULL OR date >= from_day)""")
 def streamed_daily_close(spark, sf):
-    """The event file as a stream, closed per day by the streaming job, read back from its sink."""
+    """Trades delivered in three micro-batches, the second of them twice: open, closed and late rows."""
     run = fresh_folder(spark, "daily-close")
-    raw = spark.readStream.schema(T.raw(spark, sf, "events").schema).option(
-        "pathGlobFilter", "events.parquet").parquet(sf)
-    trades = raw.filter("event_type <> 'error'").select(
+    trades = T.raw(spark, sf, "events").filter("event_type <> 'error'").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"),
-        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("seq"),
         ((F.round(F.col("value") * 100).cast("bigint") % 101) / F.lit(100.0)).alias("value"))
-    query = write_daily_close(trades, f"{run}/days", f"{run}/checkpoint").trigger(
-        availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{run}/days").select("id", "date", num("value"))
+    day = F.dayofmonth("ts")
+    delivery = F.least(F.lit(2), F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2)
+                       + F.when(F.col("seq") % 10 == 3, 1).otherwise(0))
+    for batch in range(3):
+        trades.filter(delivery == batch).write.mode("append").parquet(f"{run}/arrived")
+        stream = spark.readStream.schema(trades.schema).parquet(f"{run}/arrived")
+        write_daily_close(stream, f"{run}/close", f"{run}/checkpoint").trigger(
+            availableNow=True).start().awaitTermination()
+    close = DailyClose(f"{run}/close")
+    if close.apply(trades.filter(delivery == 1), 1):
+        raise RuntimeError("a repeated batch was taken twice")
+    rows = lambda kind, df, number: df.select(
+        F.lit(kind).alias("kind"), "id", "date", num("value"), number.cast("long").alias("number"))
+    return rows("day", close.days(spark), F.lit(None)).unionByName(
+        rows("late", close.late(spark), F.col("seq"))).unionByName(
+        rows("closed", close.closed(spark), F.col("batch_id")))
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from probcast import constants as C
 from probcast.operators.filters import flag_nullified, is_dataset, is_market
 from probcast.operators.series import conflict_daily, trailing_sums, value_as_of
-from probcast.operators.skew import require_no_rows
+from probcast.operators.skew import require_no_rows, skew_join
+from probcast.session import materialise
 
 ROW_KEY = ["source", "ids", "direction", "forecast_due_date"]
 DIRECTIONS = [(1, 1), (1, -1), (-1, 1), (-1, -1)]
@@ -42,7 +43,7 @@ def explode_question_set(question_set: DataFrame, as_of: date,
     signs = F.array(*[F.array(*[F.lit(s) for s in pair]) for pair in DIRECTIONS])
     none = F.array(F.array().cast("array<int>"))
     return (
-        question_set.join(all_dates, "forecast_due_date", "left")
+        skew_join(question_set, all_dates, ["forecast_due_date"], ["source", "ids"], "left")
         .withColumn("resolution_date", F.explode(past))
         .withColumn("direction", F.explode(F.when(F.size("ids") > 1, signs).otherwise(none)))
         .select("source", "ids", "direction", "forecast_due_date", "resolution_date")
@@ -325,15 +326,22 @@ def resolve_pages(exploded: DataFrame, attributes: DataFrame, remaps: DataFrame,
 
 def with_nullification(exploded: DataFrame, nullified: DataFrame, resolver) -> DataFrame:
     """Nullified rows bypass ``resolver`` and come back resolved without a value."""
-    flagged = flag_nullified(exploded, nullified)
-    resolved = resolver(flagged.filter(~F.col("is_nullified")).drop("is_nullified"))
-    bypassed = flagged.filter("is_nullified").drop("is_nullified").withColumns({
+    flagged = materialise(flag_nullified(exploded, nullified))
+    return resolver(active_rows(flagged)).unionByName(nullified_rows(flagged))
+
+
+def active_rows(flagged: DataFrame) -> DataFrame:
+    return flagged.filter(~F.col("is_nullified")).drop("is_nullified")
+
+
+def nullified_rows(flagged: DataFrame) -> DataFrame:
+    """What flagged rows come to without a resolver: resolved, no value."""
+    return flagged.filter("is_nullified").drop("is_nullified").withColumns({
         "resolved": F.lit(True),
         "resolved_to": F.lit(None).cast("double"),
         "market_value_on_due_date": F.lit(None).cast("double"),
         "market_value_on_due_date_minus_one": F.lit(None).cast("double"),
     })
-    return resolved.unionByName(bypassed)
 
 
 def missing_series(exploded: DataFrame, series: DataFrame) -> DataFrame:
@@ -374,11 +382,11 @@ def resolve_all(exploded: DataFrame, questions: DataFrame, series: DataFrame,
             rows, page_attributes, page_remaps, series.filter("source = 'wikipedia'"), as_of)),
         (is_market(), market),
     ]
-    parts = [with_nullification(exploded.filter(mask), nullified, resolver)
-             for mask, resolver in families]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
+    # Exploded and flagged once; every family reads its rows of that table.
+    flagged = materialise(flag_nullified(exploded, nullified))
+    active, merged = active_rows(flagged), nullified_rows(flagged)
+    for mask, resolver in families:
+        merged = merged.unionByName(resolver(active.filter(mask)))
     return drop_unresolved(merged), market_warnings[0]
 
 
@@ -408,13 +416,13 @@ def match_forecasts(resolved: DataFrame, forecasts: DataFrame,
     """Every resolved row for every submission of its due date, forecast null when missing.
 
     The submissions of a due date (hundreds at most) travel as one array per due date and are
-    exploded over the resolved rows, so completing the grid needs no shuffle; the one join
-    that shuffles is on the full question and model key.
+    exploded over the resolved rows. A due date holds a large share of the resolved rows, so that
+    join salts it by its measured share; the other join is on the full question and model key.
     """
     submission = submission or SUBMISSION
     per_due = forecasts.select("forecast_due_date", *submission).distinct().groupBy(
         "forecast_due_date").agg(F.collect_list(F.struct(*submission)).alias("_submissions"))
-    grid = resolved.join(per_due, "forecast_due_date").withColumn(
+    grid = skew_join(resolved, per_due, ["forecast_due_date"], ["source", "ids", "direction"]).withColumn(
         "_s", F.explode("_submissions")).select(
         *resolved.columns, *[F.col(f"_s.{c}").alias(c) for c in submission])
     match_date = lambda: F.when(

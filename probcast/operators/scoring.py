@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from probcast import constants as C
 from probcast.operators.filters import drop_over_imputed, is_dataset, is_market, with_masks
-from probcast.operators.skew import group_mean, require_no_rows, salted_join
+from probcast.operators.skew import group_mean, require_no_rows, salted_join, skew_join
 
 IDENTITY = ["organization", "model_organization", "model", "model_pk"]
 TYPE_FLAGS = ["external_submission", "benchmark_llm", "comparison_model"]
@@ -221,7 +221,8 @@ def with_release_date(df: DataFrame, model_dim: DataFrame, age: bool = True) ->
     """Release date (external: first due date; LLM: by run key) and age on the due date in days."""
     dates = model_dim.select("model_run_key", F.col("release_date").alias("_listed")).filter(
         "model_run_key is not null").dropDuplicates(["model_run_key"])
-    out = df.join(dates, "model_run_key", "left").withColumn(
+    out = skew_join(df, dates, ["model_run_key"], ["model", "forecast_due_date", *(
+        c for c in ("source", "ids", "question_pk") if c in df.columns)], "left").withColumn(
         "model_release_date",
         F.when(F.col("external_submission"), F.col("first_forecast_due_date")).when(
             F.col("benchmark_llm"), F.col("_listed"))).drop("_listed")
@@ -253,8 +254,10 @@ def normalise_identity(submissions: DataFrame, identities: DataFrame, benchmark_
         F.col("alias_model").alias("model"),
         F.struct("canonical_organization", "canonical_model", "model_run_key",
                  "forecast_variant_key", "uses_tools").alias("_by_name"))
-    joined = submissions.join(by_key, ["model_run_key", "forecast_variant_key"], "left").join(
-        by_name, ["model_organization", "model"], "left").withColumn(
+    spread = [c for c in submissions.columns if c not in ("model_run_key", "forecast_variant_key")]
+    joined = skew_join(skew_join(
+        submissions, by_key, ["model_run_key", "forecast_variant_key"], spread, "left"),
+        by_name, ["model_organization", "model"], spread, "left").withColumn(
         "_id", F.when(llm, F.coalesce("_by_key", "_by_name")))
     if check:
         require_no_rows(joined.filter(llm & F.col("_id").isNull()).select(

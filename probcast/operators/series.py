@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from probcast.operators.skew import skew_join
+
 KEY = ("id",)
 DAY_LAST_MICRO = "23:59:59.999999"
 
@@ -188,28 +190,43 @@ def close_intervals(history: DataFrame, as_of: date, key: Sequence[str] = KEY) -
         F.col("date") < F.lit(as_of))
 
 
+def page_positions(pages: DataFrame, page: str = "page") -> tuple[DataFrame, DataFrame]:
+    """Numbered page dates (page, position, date), and per calendar day how many are not later
+    (page, date, position). Windows hold the dates of one page, which its calendar bounds."""
+    order = Window.partitionBy(page).orderBy("date")
+    numbered = pages.select(page, "date").distinct().select(
+        page, F.row_number().over(order).alias("position"), "date",
+        F.coalesce(F.date_sub(F.lead("date").over(order), 1), F.col("date")).alias("_until"))
+    daily = numbered.select(page, "position", F.explode(F.sequence("date", "_until")).alias("date"))
+    return numbered.drop("_until"), daily
+
+
 def mark_dropouts(items: DataFrame, pages: DataFrame, page: str = "page",
                   item: str = "item", storage_start: date | None = None) -> DataFrame:
     """Add explicit null rows on page dates where an item is absent.
 
     An item is marked on the page dates between its first date and the page date after its last
-    one. ``items``: (page, item, date, value); ``pages``: distinct (page, date). An item's own
-    dates arrive as one array per item (bounded by the number of page dates).
+    one. ``items``: (page, item, date, value); ``pages``: distinct (page, date). Dates become
+    positions among the page's dates, so the gaps of an item are ranges of positions: no row carries
+    a calendar, and all joins are on equality of (page, day) or (page, position), which spread a page
+    that holds most items.
     """
     if storage_start is not None:
         pages = pages.filter(F.col("date") >= F.lit(storage_start))
-    calendar = pages.groupBy(page).agg(F.array_sort(F.collect_set("date")).alias("_dates"))
-    spans = items.groupBy(page, item).agg(
-        F.min("date").alias("_first"), F.max("date").alias("_last"),
-        F.collect_set("date").alias("_own"))
-    missing = spans.join(calendar, page).withColumn(
-        "_next", F.array_min(F.filter("_dates", lambda d: d > F.col("_last")))
-    ).select(page, item, F.explode(F.filter(
-        "_dates",
-        lambda d: (d > F.col("_first")) & (d <= F.coalesce(F.col("_next"), F.col("_last")))
-        & ~F.array_contains(F.col("_own"), d),
-    )).alias("date"))
-    nulls = missing.withColumn("value", F.lit(None).cast(items.schema["value"].dataType))
+    numbered, daily = page_positions(pages, page)
+    ends = numbered.groupBy(page).agg(F.min("date").alias("_begin"), F.max("position").alias("_end"))
+    placed = skew_join(items.select(page, item, "date").distinct().join(daily, [page, "date"], "left"),
+                       ends, [page], [item, "date"]).withColumn("position", F.coalesce(
+        "position", F.when(F.col("date") < F.col("_begin"), 0).otherwise(F.col("_end"))))
+    after = F.lead("position").over(Window.partitionBy(page, item).orderBy("date"))
+    gaps = placed.select(page, item, "position", "_end", after.alias("_after")).withColumn(
+        "_stop", F.coalesce(F.col("_after") - 1, F.least(F.col("position") + 1, F.col("_end"))))
+    missing = gaps.filter("_stop > position").select(
+        page, item, F.explode(F.sequence(F.col("position") + 1, F.col("_stop"))).alias("position")).join(
+        numbered, [page, "position"])
+    own = items.select(page, item, "date")
+    nulls = missing.select(page, item, "date").join(own, [page, item, "date"], "left_anti").withColumn(
+        "value", F.lit(None).cast(items.schema["value"].dataType))
     return items.select(page, item, "date", "value").unionByName(nulls)
 
 
