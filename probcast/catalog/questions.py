@@ -13,7 +13,9 @@ from probcast.catalog.resolution import CONFLICT_DAILY
 from probcast.catalog.series import MARKED, marked_items
 from probcast.functions import dates as D, hashing, text as X
 from probcast.operators import filters, questions as Q, upsert as U
+from probcast.session import fresh_folder
 from probcast.sources import testtables as T
+from probcast.sources.store import KeyedStore
 
 EVENT_TYPES = ["view", "click", "signup", "purchase", "error"]
 TEMPLATES = {
@@ -126,25 +128,66 @@ def observations(spark, sf):
     return T.table(spark, sf, "series").select(
         "id", F.col("date").alias("period"),
         F.when(F.dayofmonth("date") % 4 == 0, "NA").otherwise(
-            F.format_string("%.2f", "value")).alias("value"))
+            F.format_string("%.2f", "value")).alias("value"), F.lit("Office").alias("provider"),
+        F.lit("Daily").alias("dataset"), F.concat(F.lit("Station "), "id").alias("name"))
 
 
 _OBS = f"""(SELECT id, date AS period, CASE WHEN day(date) % 4 = 0 THEN 'NA'
     ELSE printf('%.2f', value) END AS value FROM {T.sql('series')})"""
+_NA_FIELDS = ", ".join(f"'N/A' AS {c}" for c in Q.MARKET_FIELDS)
+_NUMBER = F.substring("id", 2, 20).cast("int")
 
 
+def stored_questions(ids, horizons="365"):
+    """Question rows as an earlier run left them."""
+    return ids.select(*Q.question_row(
+        id=F.col("id"), question=F.concat(F.lit("old question "), "id"), background=F.lit("old background"),
+        url=F.lit("old url"), resolved=F.lit(False), forecast_horizons=F.array(F.lit(int(horizons))),
+        freeze_datetime_value=F.lit("1.0"), freeze_datetime_value_explanation=F.lit("old value")))
+
+
+def shown_questions(rows):
+    return rows.withColumn("forecast_horizons", F.array_join(F.col("forecast_horizons").cast("array<string>"), ","))
+
+
+_ALL_DAYS = ",".join(map(str, C.HORIZONS_DAYS))
+_OLD = f"""'old question ' || id AS question, 'old background' AS background, 'old url' AS url, FALSE AS resolved,
+    '365' AS forecast_horizons, '1.0' AS freeze_datetime_value, 'old value' AS freeze_datetime_value_explanation, {_NA_FIELDS}"""
+
+
+# Every third series is stored already; those whose number ends in 7 are stored but no longer fetched.
 @register("weather_questions_g4", f"""
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY period DESC) AS k FROM {_OBS})
-    SELECT id, bool_or(value <> 'NA' AND k <= 2) AS has_recent_data,
-           {n('''TRY_CAST(any_value(CASE WHEN k = 1 AND period > DATE '2024-03-20' THEN value END)
-              AS DOUBLE)''', 'new_freeze_value', 2)},
-           {n("TRY_CAST(arg_max(CASE WHEN value <> 'NA' THEN value END, CASE WHEN value <> 'NA' THEN period END) AS DOUBLE)",
-              'known_freeze_value', 2)}
-    FROM r GROUP BY 1""")
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY period DESC) AS k FROM {_OBS}),
+    s AS (SELECT id, bool_or(value <> 'NA' AND k <= 10) AS lively,
+                 any_value(CASE WHEN k = 1 AND period > DATE '2024-03-20' AND value <> 'NA' THEN value END) AS new_value,
+                 arg_max(CASE WHEN value <> 'NA' THEN value END, CASE WHEN value <> 'NA' THEN period END) AS known_value,
+                 CAST(substr(id, 2) AS INT) AS number FROM r GROUP BY id),
+    fetched AS (SELECT * FROM s WHERE lively AND number % 10 <> 7)
+    SELECT id, 'Warmer at ' || id || '?' AS question,
+           'The history of Daily - Station ' || id || ' from Office is available at https://db.nomics.world/W/' || substr(id, 2) || '.' AS background,
+           'https://db.nomics.world/W/' || substr(id, 2) AS url, FALSE AS resolved, '{_ALL_DAYS}' AS forecast_horizons,
+           coalesce(CAST(CAST(new_value AS DOUBLE) AS VARCHAR), 'N/A') AS freeze_datetime_value,
+           'Mean at ' || id AS freeze_datetime_value_explanation, {_NA_FIELDS}
+    FROM (SELECT * REPLACE ('W_' || number AS id) FROM fetched) f WHERE number % 3 <> 0
+    UNION ALL
+    SELECT id, 'old question ' || id,
+           'The history of Daily - Station ' || id || ' from Office is available at https://db.nomics.world/W/' || number || '.',
+           'https://db.nomics.world/W/' || number, FALSE, '365', CAST(CAST(known_value AS DOUBLE) AS VARCHAR), 'old value', {_NA_FIELDS}
+    FROM (SELECT * REPLACE ('W_' || number AS id) FROM fetched) f WHERE number % 3 = 0
+    UNION ALL
+    SELECT id, {_OLD} FROM (SELECT 'W_' || number AS id, number FROM s
+        WHERE (number % 3 = 0 OR number % 10 = 7) AND NOT (lively AND number % 10 <> 7))""".replace(
+    "W/' || substr(id, 2)", "W/' || number"))
 def weather(spark, sf):
-    return Q.weather_questions(observations(spark, sf), date(2024, 3, 21), 2).select(
-        "id", "has_recent_data", num(F.col("new_freeze_value"), "new_freeze_value", 2),
-        num(F.col("known_freeze_value"), "known_freeze_value", 2))
+    """Series W/n of part n; rows of known, new and vanished series with every column."""
+    rows = observations(spark, sf)
+    key = F.concat(F.lit("W_"), _NUMBER)
+    catalog = rows.filter(_NUMBER % 10 != 7).select(
+        F.concat(F.lit("W/"), _NUMBER).alias("series"), F.concat(F.lit("Warmer at "), key, F.lit("?")).alias("question"),
+        F.concat(F.lit("Mean at "), key).alias("explanation")).distinct()
+    stored = stored_questions(rows.filter((_NUMBER % 3 == 0) | (_NUMBER % 10 == 7)).select(key.alias("id")).distinct())
+    named = rows.withColumn("id", key).withColumn("name", F.concat(F.lit("Station "), "id"))
+    return shown_questions(Q.weather_questions(named, catalog, stored, date(2024, 3, 21)))
 
 
 @register("weather_series_g4", f"""
@@ -156,22 +199,32 @@ def weather_series(spark, sf):
         "id", "date", "value_str", num(F.col("value"), "value", 2))
 
 
+# Every tenth series is nullified, every fourth stored; every sixth has no name of its own.
 @register("macro_questions_g5", f"""
-    SELECT id, concat('Will part ', id, ' have increased by {{resolution_date}} as compared to its value on {{forecast_due_date}}?')
-               AS question, {n('arg_max(value, date)', 'freeze_value', 2)},
-           CAST(CASE WHEN CAST(substr(id, 2) AS INT) % 2 = 0 THEN 7 ELSE 8 END AS INT) AS n_horizons
-    FROM {T.sql('series')} WHERE CAST(substr(id, 2) AS INT) % 10 <> 0 GROUP BY id""")
+    WITH s AS (SELECT id, CAST(substr(id, 2) AS INT) AS number, arg_max(value, date) AS value
+               FROM {T.sql('series')} GROUP BY id)
+    SELECT id, CASE WHEN number % 6 <> 0 THEN 'Will part ' || id || ' have increased by {{resolution_date}} as compared to its value on {{forecast_due_date}}?'
+                    WHEN number % 4 = 0 THEN 'old question ' || id END AS question,
+           'The notes from the release: N/A.  The notes from the series: Notes of ' || id
+           || '.  Additional background of the series:  1. the units of the series: Units.  2. the seasonal adjustments of the series:  '
+           || CASE WHEN number % 2 = 0 THEN 'SA' ELSE 'N/A' END || '  3. the update frequency: '
+           || CASE WHEN number % 2 = 0 THEN 'Monthly' ELSE 'Daily' END || ' ' AS background,
+           'https://fred.stlouisfed.org/series/' || id AS url, FALSE AS resolved,
+           CASE WHEN number % 2 = 0 THEN '{_ALL_DAYS[2:]}' ELSE '{_ALL_DAYS}' END AS forecast_horizons,
+           CAST(value AS VARCHAR) AS freeze_datetime_value,
+           'The latest value released in Title from the release Release.' AS freeze_datetime_value_explanation, {_NA_FIELDS}
+    FROM s WHERE number % 10 <> 0""")
 def macro(spark, sf):
     rows = T.table(spark, sf, "series").select("id", "date", "value")
-    number = F.substring("id", 2, 20).cast("int")
-    info = rows.select("id").distinct().select(
-        "id", F.concat(F.lit("part "), F.col("id")).alias("name"), F.lit("T").alias("title"),
-        F.lit("R").alias("release"),
-        F.when(number % 2 == 0, "M").otherwise("D").alias("frequency_short"))
-    out = info.filter(number % 10 == 0).select(F.lit("fred").alias("source"), "id")
-    return Q.macro_questions(info, rows, out).select(
-        "id", "question", num(F.col("freeze_value"), "freeze_value", 2),
-        F.size("forecast_horizons").alias("n_horizons"))
+    ids, monthly = rows.select("id").distinct(), _NUMBER % 2 == 0
+    info = ids.select(
+        "id", F.when(_NUMBER % 6 != 0, F.concat(F.lit("part "), F.col("id"))).alias("name"), F.lit("Title").alias("title"),
+        F.lit("Release").alias("release"), F.lit(None).cast("string").alias("release_notes"),
+        F.concat(F.lit("Notes of "), "id").alias("notes"), F.lit("Units").alias("units"),
+        F.when(monthly, "SA").alias("seasonal_adjustment"), F.when(monthly, "Monthly").otherwise("Daily").alias("frequency"),
+        F.when(monthly, "M").otherwise("D").alias("frequency_short"))
+    out = ids.filter(_NUMBER % 10 == 0).select(F.lit("fred").alias("source"), "id")
+    return shown_questions(Q.macro_questions(info, rows, stored_questions(ids.filter(_NUMBER % 4 == 0)), out))
 
 
 @register("nested_observations_g5_g8", f"""
@@ -182,32 +235,37 @@ def nested(spark, sf):
     return Q.nested_observations(packed).select("id", "date", num(F.col("value"), "value", 2))
 
 
-# All parts are stored or listed; prices come from returned lines; one brand is nullified.
-@register("stock_questions_g6_u8", """
-    WITH p AS (SELECT l_partkey AS id, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS c
-               FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1),
-    k AS (SELECT p_partkey AS id, p_size > 5 AS stored, p_size <= 30 AS listed,
-                 p_brand = 'Brand#7' AS dead FROM part)
-    SELECT CAST(k.id AS VARCHAR) AS id,
-           stored AND (dead OR (p.c IS NULL AND NOT listed)) AS resolved,
-           CASE WHEN NOT (stored AND (dead OR (p.c IS NULL AND NOT listed)))
-                THEN round(p.c, 2) + 0.0 END AS freeze_value
-    FROM k LEFT JOIN p ON p.id = k.id
-    WHERE stored AND (dead OR (p.c IS NULL AND NOT listed)) OR (p.c IS NOT NULL AND NOT dead)""")
+# Parts are stored or listed; a ticker's number is twice that of the part whose lines give its prices, so
+# odd ones have none; one brand is nullified, some sizes are renamed.
+@register("stock_questions_g6_u8", f"""
+    WITH p AS (SELECT 2 * l_partkey AS id, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS c
+               FROM lineitem GROUP BY 1),
+    k AS (SELECT p_partkey AS id, p_size > 5 AS stored, p_size <= 30 AS listed, p_brand = 'Brand#7' OR p_size % 11 = 0 AS dead FROM part),
+    t AS (SELECT CAST(k.id AS VARCHAR) AS id, k.id % 5 AS company, p.c, stored AND (dead OR (p.c IS NULL AND NOT listed)) AS carried, dead
+          FROM k LEFT JOIN p ON p.id = k.id WHERE stored OR listed)
+    SELECT id, 'Will ' || id || '''s market close price on {{resolution_date}} be higher than its market close price on {{forecast_due_date}}?'
+               || chr(10) || chr(10) || 'Stock splits and reverse splits will be accounted for in resolving this question. '
+               || 'Forecasts on questions about companies that have been delisted (through mergers or bankruptcy) will resolve to their final close price.' AS question,
+           CASE WHEN company = 0 THEN 'N/A' ELSE 'Company ' || id END AS background,
+           'https://finance.yahoo.com/quote/' || id AS url, FALSE AS resolved, '{_ALL_DAYS}' AS forecast_horizons,
+           CAST(round(c, 2) AS VARCHAR) AS freeze_datetime_value,
+           'The latest market close price of ' || id || '.' AS freeze_datetime_value_explanation, {_NA_FIELDS}
+    FROM t WHERE NOT carried AND c IS NOT NULL AND NOT dead
+    UNION ALL
+    SELECT id, 'old question ' || id, 'old background', 'old url', TRUE, '365', 'N/A', 'old value', {_NA_FIELDS} FROM t WHERE carried""")
 def stocks(spark, sf):
     key = F.col("p_partkey").cast("string").alias("id")
     parts = T.raw(spark, sf, "part")
-    closes = T.raw(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40").groupBy(
-        F.col("l_partkey").cast("string").alias("id")).agg(F.max_by("l_extendedprice", F.struct(
-            "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).alias("value")).withColumn(
-        "date", F.lit(date(2024, 1, 1)))
-    dead = parts.filter("p_brand = 'Brand#7'")
-    renames = parts.select(key.alias("old_id"), key.alias("new_id")).limit(0)
-    return Q.stock_questions(
-        parts.filter("p_size > 5").select(key), closes,
+    closes = T.raw(spark, sf, "lineitem").groupBy((2 * F.col("l_partkey")).cast("string").alias("id")).agg(
+        F.max_by("l_extendedprice", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).alias("value")
+    ).withColumn("date", F.lit(date(2024, 1, 1)))
+    companies = parts.filter("p_partkey % 5 <> 0").select(key, F.concat(F.lit("Company "), F.col("p_partkey")).alias("background"))
+    renames = parts.filter("p_size % 11 = 0").select(
+        F.col("p_partkey").cast("string").alias("old_id"), F.concat(F.lit("N"), F.col("p_partkey")).alias("new_id"))
+    return shown_questions(Q.stock_questions(
+        stored_questions(parts.filter("p_size > 5").select(key)), closes, companies,
         parts.filter("p_size <= 30").select(key),
-        dead.select(F.lit("yfinance").alias("source"), key), renames).select(
-        "id", "resolved", num(F.col("freeze_value"), "freeze_value", 2))
+        parts.filter("p_brand = 'Brand#7'").select(F.lit("yfinance").alias("source"), key), renames))
 
 
 @register("wanted_ids_u8", """
@@ -250,37 +308,46 @@ def _stamp(column: str, hour: str):
     return F.concat(F.date_format(column, "yyyy-MM-dd"), F.lit(f"T{hour}Z"))
 
 
-@register("infer_questions_g8", """
-    SELECT CAST(o_orderkey AS VARCHAR) AS id,
-           strftime(least(CASE WHEN o_custkey % 3 <> 0 THEN o_orderdate + INTERVAL 5 DAY END,
-                    CASE WHEN o_custkey % 4 <> 0 THEN o_orderdate + INTERVAL 3 DAY END),
-                    '%Y-%m-%dT12:00:00+00:00') AS close,
-           CASE WHEN o_orderstatus = 'F' THEN strftime(least(
-                CASE WHEN o_custkey % 3 <> 0 THEN o_orderdate + INTERVAL 5 DAY END,
-                CASE WHEN o_custkey % 4 <> 0 THEN o_orderdate + INTERVAL 3 DAY END,
-                o_orderdate + INTERVAL 4 DAY), '%Y-%m-%dT12:00:00+00:00') ELSE 'N/A' END AS resolution,
-           CASE WHEN o_custkey % 5 <> 0 THEN round(0.25 + 0.5 * (o_orderkey % 2), 8) + 0.0 END
-               AS probability, o_custkey % 5 = 0 AS nullify_question
-    FROM orders WHERE o_custkey % 12 <> 0""")
+@register("infer_questions_g8", f"""
+    WITH t AS (
+        SELECT o_orderkey AS number, CAST(o_orderkey AS VARCHAR) AS id, o_custkey % 2 = 0 AS noted, o_custkey % 5 = 0 AS other,
+               o_orderstatus = 'F' AS resolved, strftime(o_orderdate, '%Y-%m-%dT12:00:00+00:00') AS opened,
+               least(CASE WHEN o_custkey % 3 <> 0 THEN o_orderdate + INTERVAL 5 DAY END,
+                     CASE WHEN o_custkey % 4 <> 0 THEN o_orderdate + INTERVAL 3 DAY END) AS closed,
+               CASE WHEN o_custkey % 7 <> 0 THEN o_orderdate + INTERVAL 4 DAY END AS settled,
+               CASE WHEN o_custkey % 5 <> 0 THEN 0.25 + 0.5 * (o_orderkey % 2) END AS p FROM orders)
+    SELECT id, 'Question ' || id AS question, 'About ' || id AS background,
+           'https://www.randforecastinginitiative.org/questions/' || id AS url, resolved, NULL AS forecast_horizons,
+           coalesce(CAST(CAST(p AS DOUBLE) AS VARCHAR), 'N/A') AS freeze_datetime_value,
+           'The crowd forecast.' AS freeze_datetime_value_explanation,
+           CASE WHEN noted THEN 'First ' || id || '. Then more.' ELSE 'N/A' END AS market_info_resolution_criteria,
+           opened AS market_info_open_datetime,
+           coalesce(strftime(closed, '%Y-%m-%dT12:00:00+00:00'), 'N/A') AS market_info_close_datetime,
+           CASE WHEN resolved THEN coalesce(strftime(least(closed, settled), '%Y-%m-%dT12:00:00+00:00'), 'N/A') ELSE 'N/A' END
+               AS market_info_resolution_datetime,
+           {n('p', 'probability')}, other AS nullify_question FROM t""")
 def infer(spark, sf):
+    """All orders as payloads, those without any close time included."""
     later = lambda days: F.concat(F.date_format(F.date_add(
         F.col("o_orderdate").cast("date"), days), "yyyy-MM-dd"), F.lit("T12:00:00Z"))
     answer = lambda name, p: F.struct(F.lit(name).alias("name"), p.alias("probability"))
-    yes_first = F.col("o_orderkey") % 2 == 0
-    payload = T.raw(spark, sf, "orders").filter("o_custkey % 12 <> 0").select(
-        F.col("o_orderkey").alias("id"), F.lit("q").alias("name"),
+    note = lambda text: F.struct(text.alias("content"))
+    yes_first, key = F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")
+    notes = F.array(note(F.concat(F.lit("First "), key, F.lit("."))), note(F.lit("Then more.")))
+    payload = T.raw(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("Question "), key).alias("name"),
+        F.concat(F.lit("About "), key).alias("description"),
+        F.when(F.col("o_custkey") % 2 == 0, notes).otherwise(F.slice(notes, 1, 0)).alias("clarifications"),
         F.when(F.col("o_custkey") % 5 == 0, "Forecast::Number").otherwise(
             "Forecast::YesNoQuestion").alias("type"),
-        (F.col("o_orderstatus") == "F").alias("resolved"), later(4).alias("resolved_at"),
+        (F.col("o_orderstatus") == "F").alias("resolved"),
+        F.when(F.col("o_custkey") % 7 != 0, later(4)).alias("resolved_at"),
         F.when(F.col("o_custkey") % 3 != 0, later(5)).alias("ends_at"),
-        F.when(F.col("o_custkey") % 4 != 0, later(3)).alias("scoring_end_time"),
+        F.when(F.col("o_custkey") % 4 != 0, later(3)).otherwise("").alias("scoring_end_time"),
         later(0).alias("scoring_start_time"),
         F.when(yes_first, F.array(answer("Yes", F.lit(0.25)), answer("No", F.lit(0.75)))).otherwise(
             F.array(answer("No", F.lit(0.25)), answer("Yes", F.lit(0.75)))).alias("answers"))
-    return Q.infer_questions(payload).select(
-        "id", F.col("market_info_close_datetime").alias("close"),
-        F.col("market_info_resolution_datetime").alias("resolution"), num("probability"),
-        "nullify_question")
+    return shown_questions(Q.infer_questions(payload)).withColumn("probability", num("probability"))
 
 
 @register("manifold_questions_g8", """
@@ -356,22 +423,30 @@ def nullified_series(spark, sf):
     return Q.nullify_series(stored, marks, TRADES_AS_OF).select("id", "date", num("value"))
 
 
+def series_store(spark, series):
+    """A fresh store of daily series."""
+    table = KeyedStore(fresh_folder(spark, "series"), "source STRING, id STRING, date DATE, value DOUBLE",
+                       ("id", "date"), by=("source",))
+    table.create(series.select("source", "id", "date", "value"))
+    return table
+
+
 @register("series_to_regenerate_g10_io20", f"""
     SELECT id FROM {T.sql('market_questions')} WHERE resolved AND id NOT IN
         (SELECT id FROM {I.DAILY_CLOSE} WHERE value > 0.9)""")
 def regenerate(spark, sf):
-    stored = I.daily_close(spark, sf).filter("value > 0.9")
-    return Q.to_regenerate(T.table(spark, sf, "market_questions"), stored)
+    """Resolved questions that have no series in the store."""
+    table = series_store(spark, I.daily_close(spark, sf).filter("value > 0.9"))
+    return Q.to_regenerate(T.table(spark, sf, "market_questions"), table.keys(spark))
 
 
 @register("wanted_series_io21", f"""
     SELECT id, date, {n('value')} FROM {I.DAILY_CLOSE} WHERE id IN (
         SELECT id FROM {T.sql('market_questions')} WHERE resolved)""")
 def wanted_series(spark, sf):
-    from probcast.sources.readers import series_for
-
-    return series_for(I.daily_close(spark, sf), T.table(spark, sf, "market_questions").filter(
-        "resolved")).select("id", "date", num("value"))
+    """Read by id from the store: only the wanted ids' buckets are opened."""
+    wanted = T.table(spark, sf, "market_questions").filter("resolved").select("source", "id")
+    return series_store(spark, I.daily_close(spark, sf)).read_keys(wanted).select("id", "date", num("value"))
 
 
 # --- metadata ------------------------------------------------------------------------------------
@@ -446,8 +521,12 @@ _NEW = """(SELECT c_custkey + 1000 AS id, 'new' AS side,
     SELECT * FROM {_NEW} UNION ALL
     SELECT * FROM {_STORED} s WHERE s.id NOT IN (SELECT id FROM {_NEW})""")
 def keyed_upsert(spark, sf):
+    """Through a stored table: only the buckets that new rows fall into are rewritten."""
     stored, new = _stored_new(spark, sf)
-    return U.upsert(stored, new, ["id"])
+    table = KeyedStore(fresh_folder(spark, "upsert"), "id BIGINT, side STRING, value BIGINT")
+    table.create(stored)
+    table.upsert(new)
+    return table.read(spark)
 
 
 @register("non_null_update_u5", f"""
@@ -508,7 +587,10 @@ def replaced_source(spark, sf):
     rows = T.raw(spark, sf, "orders").select(
         F.col("o_orderstatus").alias("source"), F.col("o_orderkey").alias("id"))
     new = rows.filter("source = 'F'").withColumn("label", F.lit("new"))
-    return U.replace_source(rows.withColumn("label", F.lit("old")), new)
+    table = KeyedStore(fresh_folder(spark, "replace"), "source STRING, id BIGINT, label STRING", by=("source",))
+    table.create(rows.withColumn("label", F.lit("old")))
+    table.replace_groups(new)
+    return table.read(spark)
 
 
 @register("first_event_u10", """

@@ -484,18 +484,17 @@ def duplicate_forecasts(spark, sf):
         F.col("count").alias("n"))
 
 
+# A 29 February that its shifted year does not have is no date.
 @register("bounded_dates_f6", """
-    SELECT o_orderkey, least(CAST(strptime(concat(CAST(1995 + o_orderkey % 300 AS VARCHAR),
-           strftime(o_orderdate, '-%m-%d')), '%Y-%m-%d') AS DATE), DATE '2262-04-11') AS day
-    FROM orders WHERE strftime(o_orderdate, '%m-%d') <> '02-29'""")
+    SELECT o_orderkey, CASE WHEN 1995 + o_orderkey % 300 > 2262 THEN DATE '2262-04-11' ELSE (SELECT CASE WHEN x IS NOT NULL THEN least(x, DATE '2262-04-11') END FROM (SELECT TRY_CAST(
+           concat(CAST(1995 + o_orderkey % 300 AS VARCHAR), strftime(o_orderdate, '-%m-%d')) AS DATE) AS x))
+           END AS day FROM orders""")
 def bounded_dates(spark, sf):
     from probcast.functions.dates import bounded_date
 
-    orders = T.raw(spark, sf, "orders").select("o_orderkey", "o_orderdate").filter(
-        F.date_format("o_orderdate", "MM-dd") != "02-29")
     text = F.concat((F.lit(1995) + F.col("o_orderkey") % 300).cast("string"),
                     F.date_format("o_orderdate", "-MM-dd"))
-    return orders.select("o_orderkey", bounded_date(text).alias("day"))
+    return T.raw(spark, sf, "orders").select("o_orderkey", bounded_date(text).alias("day"))
 
 
 @register("match_and_impute_j4_r12", f"""

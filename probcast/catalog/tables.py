@@ -77,7 +77,7 @@ def conflict_file(spark, sf):
 
 
 @register("question_set_round_trip_io4", f"""
-    SELECT forecast_due_date, source, id, CAST(5 AS INT) AS n_dates
+    SELECT forecast_due_date, source, id, CAST({len(I.HORIZONS)} AS INT) AS n_dates
     FROM {T.sql('dataset_questions')}""")
 def question_set_file(spark, sf):
     """Every set by its published name; the newest one is found by the folder's listing."""

@@ -129,3 +129,25 @@ def check_bin_weights() -> None:
         total = sum(Fraction(str(weight)) for _, _, weight in bins)
         if total != 1:
             raise ValueError(f"{name} weights sum to {float(total)}, expected 1")
+
+# --- fixed values: question texts and addresses -------------------------------------------------
+NOT_AVAILABLE = "N/A"
+INFER_URL = "https://www.randforecastinginitiative.org/questions/{id}"
+WEATHER_URL = "https://db.nomics.world/{series}"
+MACRO_URL = "https://fred.stlouisfed.org/series/{id}"
+STOCK_URL = "https://finance.yahoo.com/quote/{id}"
+CROWD_EXPLANATION = "The crowd forecast."
+WEATHER_BACKGROUND = "The history of {dataset} - {name} from {provider} is available at {url}."
+MACRO_QUESTION = (
+    "Will {name} have increased by {resolution_date} as compared to its value on {forecast_due_date}?")
+MACRO_BACKGROUND = (
+    "The notes from the release: {release_notes}.  The notes from the series: {notes}.  Additional "
+    "background of the series:  1. the units of the series: {units}.  2. the seasonal adjustments of "
+    "the series:  {seasonal_adjustment}  3. the update frequency: {frequency} ")
+MACRO_EXPLANATION = "The latest value released in {title} from the release {release}."
+STOCK_QUESTION = (
+    "Will {id}'s market close price on {resolution_date} be higher than its market close price on "
+    "{forecast_due_date}?\n\nStock splits and reverse splits will be accounted for in resolving this "
+    "question. Forecasts on questions about companies that have been delisted (through mergers or "
+    "bankruptcy) will resolve to their final close price.")
+STOCK_EXPLANATION = "The latest market close price of {id}."

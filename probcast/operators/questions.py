@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from probcast import constants as C
 from probcast.functions import dates as D
@@ -19,7 +19,7 @@ from probcast.operators.page_rules import PageRules
 from probcast.operators.series import conflict_daily, splice_and_refill, trailing_sums
 from probcast.operators.upsert import upsert
 
-NOT_AVAILABLE = "N/A"
+NOT_AVAILABLE = C.NOT_AVAILABLE
 MARKET_FIELDS = ["market_info_resolution_criteria", "market_info_open_datetime",
                  "market_info_close_datetime", "market_info_resolution_datetime"]
 
@@ -129,27 +129,57 @@ def resolve_remapped(questions: DataFrame, remaps: DataFrame) -> DataFrame:
 
 # --- weather, macro and stock series ---------------------------------------------------------
 
-def weather_questions(observations: DataFrame, as_of: date, recent: int = 10) -> DataFrame:
-    """State per weather series from (id, period DATE, value text with 'NA' gaps).
+def filled(template: str, **values: Column) -> Column:
+    """A fixed text with some of its slots filled; a missing value reads 'N/A'."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit(NOT_AVAILABLE)))
+    return out
 
-    A series is new-worthy when any of its last ``recent`` values is present. A new question
-    freezes the last value only when dated after yesterday; a known one the last present value.
-    One aggregate per series: the newest periods are kept as a bounded array.
+
+def question_row(**columns: Column) -> list[Column]:
+    """The columns of a question table; fields that are not given read 'N/A'."""
+    given = {name: F.lit(NOT_AVAILABLE) for name in ("background", *MARKET_FIELDS)} | columns
+    return [given[name].alias(name) for name in QUESTION_FIELDS]
+
+
+QUESTION_FIELDS = ["id", "question", "background", "url", "resolved", "forecast_horizons",
+                   "freeze_datetime_value", "freeze_datetime_value_explanation", *MARKET_FIELDS]
+
+
+def weather_questions(observations: DataFrame, catalog: DataFrame, stored: DataFrame, as_of: date,
+                      recent: int = 10) -> DataFrame:
+    """The weather source's question table after a fetch.
+
+    ``observations``: (id, period DATE, value text with 'NA' gaps, provider, dataset, name);
+    ``catalog``: (series, question, explanation), whose series name with '/' as '_' is the id. A series
+    counts when any of its last ``recent`` values is present. A new question freezes the last value
+    only when dated after yesterday; of a known one the last present value, url and background are
+    renewed. Other stored rows stay.
     """
     yesterday = as_of - timedelta(days=1)
-    entry = F.struct("period", "value")
+    newest = F.row_number().over(Window.partitionBy("id").orderBy(F.col("period").desc()))
     present = F.col("value") != "NA"
+    lively = observations.select("id", "period", "value", newest.alias("_k")).filter(F.col("_k") <= recent).groupBy(
+        "id").agg(F.bool_or(present).alias("_lively"))
     latest = observations.groupBy("id").agg(
-        F.max_by(entry, "period").alias("_last"),
-        F.max_by("value", F.when(present, F.col("period"))).alias("_last_present"),
-        F.slice(F.sort_array(F.collect_list(entry), asc=False), 1, recent).alias("_recent"))
-    last_value = F.col("_last.value")
-    fresh = (F.col("_last.period") > F.lit(yesterday)) & (last_value != "NA")
-    return latest.select(
-        "id",
-        F.exists("_recent", lambda e: e["value"] != "NA").alias("has_recent_data"),
-        F.when(fresh, last_value.try_cast("double")).alias("new_freeze_value"),
-        F.col("_last_present").try_cast("double").alias("known_freeze_value"))
+        F.max_by(F.struct("period", "value"), "period").alias("_last"),
+        F.max_by("value", F.when(present, F.col("period"))).alias("_present"),
+        *[F.max_by(c, "period").alias(c) for c in ("provider", "dataset", "name")])
+    source = catalog.withColumn("id", F.replace("series", F.lit("/"), F.lit("_"))).join(latest, "id").join(
+        lively.filter("_lively"), "id")
+    value = F.col("_last.value")
+    fresh = (F.col("_last.period") > F.lit(yesterday)) & (value != "NA")
+    url = filled(C.WEATHER_URL, series=F.col("series"))
+    known = stored.select("id", F.lit(True).alias("_known"))
+    frozen = F.when(F.col("_known"), F.col("_present")).when(fresh, value).try_cast("double").cast("string")
+    rows = source.join(known, "id", "left").select(*question_row(
+        id=F.col("id"), question=F.col("question"), url=url, resolved=F.lit(False), forecast_horizons=_horizons(),
+        background=filled(C.WEATHER_BACKGROUND, dataset=F.col("dataset"), name=F.col("name"),
+                          provider=F.col("provider"), url=url),
+        freeze_datetime_value=F.coalesce(frozen, F.lit(NOT_AVAILABLE)),
+        freeze_datetime_value_explanation=F.col("explanation")))
+    return upsert(stored.select(*QUESTION_FIELDS), rows, ["id"], ["freeze_datetime_value", "url", "background"])
 
 
 def weather_resolution_rows(observations: DataFrame) -> DataFrame:
@@ -164,27 +194,29 @@ def within_window(observations: DataFrame, start: date, day: str = "period") ->
     return observations.filter(F.col(day) >= F.lit(start))
 
 
-def macro_questions(series: DataFrame, observations: DataFrame, nullified: DataFrame) -> DataFrame:
-    """Macro-series questions; monthly series lose the shortest horizon; nullified ones are out.
+def macro_questions(series: DataFrame, observations: DataFrame, stored: DataFrame, nullified: DataFrame) -> DataFrame:
+    """The macro source's question table after a fetch.
 
-    ``series``: (id, name, title, release, frequency_short, units, notes).
+    ``series``: (id, name, title, release, release_notes, frequency_short, frequency, units, notes,
+    seasonal_adjustment); ``observations``: (id, date, value). A series without a name of its own keeps
+    its stored question text. Monthly series lose the shortest horizon; nullified ones leave the table.
     """
-    last = observations.groupBy("id").agg(F.max_by("value", "date").alias("freeze_value"))
+    last = observations.groupBy("id").agg(F.max_by("value", "date").alias("_value"))
+    gone = nullified.filter("source = 'fred'").select("id")
+    kept = stored.select(*QUESTION_FIELDS).join(gone, "id", "left_anti")
+    texts = kept.select("id", F.col("question").alias("_stored"))
     monthly = F.col("frequency_short") == "M"
-    kept = series.join(nullified.filter("source = 'fred'").select("id"), "id", "left_anti")
-    question = F.concat(
-        F.lit("Will "), F.col("name"),
-        F.lit(" have increased by {resolution_date} as compared to its value on "
-              "{forecast_due_date}?"))
-    explanation = F.concat(F.lit("The latest value released in "), F.col("title"),
-                           F.lit(" from the release "), F.col("release"), F.lit("."))
-    return kept.join(last, "id").select(
-        "id", question.alias("question"), "freeze_value",
-        F.concat(F.lit("https://fred.stlouisfed.org/series/"), F.col("id")).alias("url"),
-        explanation.alias("freeze_datetime_value_explanation"),
-        F.when(monthly, F.slice(_horizons(), 2, len(C.HORIZONS_DAYS) - 1)).otherwise(
-            _horizons()).alias("forecast_horizons"),
-        F.lit(False).alias("resolved"))
+    named = F.when(F.col("name").isNotNull(), filled(C.MACRO_QUESTION, name=F.col("name")))
+    parts = ("release_notes", "notes", "units", "seasonal_adjustment", "frequency")
+    rows = series.join(gone, "id", "left_anti").join(last, "id").join(texts, "id", "left").select(*question_row(
+        id=F.col("id"), question=F.coalesce(named, "_stored"), resolved=F.lit(False),
+        background=filled(C.MACRO_BACKGROUND, **{c: F.col(c) for c in parts}),
+        url=filled(C.MACRO_URL, id=F.col("id")),
+        forecast_horizons=F.when(monthly, F.slice(_horizons(), 2, len(C.HORIZONS_DAYS) - 1)).otherwise(_horizons()),
+        freeze_datetime_value=F.coalesce(F.col("_value").cast("string"), F.lit(NOT_AVAILABLE)),
+        freeze_datetime_value_explanation=filled(
+            C.MACRO_EXPLANATION, title=F.col("title"), release=F.col("release"))))
+    return upsert(kept, rows, ["id"])
 
 
 def nested_observations(fetched: DataFrame, column: str = "observations") -> DataFrame:
@@ -193,24 +225,33 @@ def nested_observations(fetched: DataFrame, column: str = "observations") -> Dat
         "id", F.to_date("_o.date").alias("date"), F.col("_o.value").alias("value"))
 
 
-def stock_questions(stored: DataFrame, prices: DataFrame, listed: DataFrame, nullified: DataFrame,
-                    renames: DataFrame) -> DataFrame:
-    """Stock question state: last close to 2 decimals, or carried forward as resolved.
+def stock_questions(stored: DataFrame, prices: DataFrame, companies: DataFrame, listed: DataFrame,
+                    nullified: DataFrame, renames: DataFrame) -> DataFrame:
+    """The stock source's question rows of a fetch: last close to 2 decimals, or carried forward.
 
-    Known tickers that are nullified or renamed are carried forward; so are stored tickers that
-    have left the index and return no price. New tickers need a price.
+    Known tickers that are nullified or renamed come back as stored, resolved and without a value; so
+    do stored tickers that have left the index and return no price. New tickers need a price.
+    ``companies``: (id, background).
     """
     dead = nullified.filter("source = 'yfinance'").select("id").union(
         renames.select(F.col("old_id").alias("id"))).distinct().withColumn("_dead", F.lit(True))
     close = prices.groupBy("id").agg(F.bround(F.max_by("value", "date"), 2).alias("_close"))
-    bank = stored.select("id").withColumn("_stored", F.lit(True))
+    rest = [c for c in QUESTION_FIELDS if c != "id"]
+    bank = stored.select("id", F.struct(*rest).alias("_stored"))
     index = listed.select("id").distinct().withColumn("_listed", F.lit(True))
-    known = bank.join(index, "id", "full").join(dead, "id", "left").join(close, "id", "left")
+    about = companies.select("id", F.col("background").alias("_about"))
+    known = bank.join(index, "id", "full").join(dead, "id", "left").join(close, "id", "left").join(about, "id", "left")
     carried = F.col("_stored").isNotNull() & (
         F.col("_dead").isNotNull() | (F.col("_close").isNull() & F.col("_listed").isNull()))
-    return known.withColumn("resolved", F.coalesce(carried, F.lit(False))).filter(
-        F.col("resolved") | (F.col("_close").isNotNull() & F.col("_dead").isNull())).select(
-        "id", "resolved", F.when(~F.col("resolved"), F.col("_close")).alias("freeze_value"))
+    state = known.withColumn("_carried", F.coalesce(carried, F.lit(False)))
+    fresh = state.filter(~F.col("_carried") & F.col("_close").isNotNull() & F.col("_dead").isNull()).select(*question_row(
+        id=F.col("id"), question=filled(C.STOCK_QUESTION, id=F.col("id")), resolved=F.lit(False),
+        background=F.coalesce("_about", F.lit(NOT_AVAILABLE)), url=filled(C.STOCK_URL, id=F.col("id")),
+        forecast_horizons=_horizons(), freeze_datetime_value=F.col("_close").cast("string"),
+        freeze_datetime_value_explanation=filled(C.STOCK_EXPLANATION, id=F.col("id"))))
+    old = state.filter("_carried").select("id", "_stored.*").withColumns({
+        "resolved": F.lit(True), "freeze_datetime_value": F.lit(NOT_AVAILABLE)})
+    return fresh.unionByName(old)
 
 
 # --- market payloads -------------------------------------------------------------------------
@@ -221,7 +262,11 @@ def earlier_text(a: Column, b: Column) -> Column:
 
 
 def infer_questions(payload: DataFrame) -> DataFrame:
-    """Question rows from prediction-platform payloads with two optional close times."""
+    """Question rows from prediction-platform payloads with two optional close times.
+
+    ``clarifications``: array of (content). Besides the question's columns: the crowd's probability
+    and whether the question is to be nullified, which is so for anything but yes/no questions.
+    """
     nullify = F.col("type") != "Forecast::YesNoQuestion"
     iso = lambda name: F.when(F.col(name) != "", D.zulu_to_iso(F.col(name)))
     close = earlier_text(iso("scoring_end_time"), iso("ends_at"))
@@ -231,15 +276,19 @@ def infer_questions(payload: DataFrame) -> DataFrame:
     first, second = (F.try_element_at(answers, F.lit(k)) for k in (1, 2))
     yes = F.when(F.lower(first["name"]) == "yes", first["probability"]).otherwise(
         second["probability"])
-    return payload.select(
-        F.col("id").cast("string").alias("id"), F.col("name").alias("question"),
-        F.coalesce(iso("scoring_start_time"), F.lit(NOT_AVAILABLE)).alias(
-            "market_info_open_datetime"),
-        close.alias("market_info_close_datetime"), resolved.alias("resolved"),
-        F.when(resolved, earlier_text(iso("resolved_at"), known_close)).otherwise(
-            NOT_AVAILABLE).alias("market_info_resolution_datetime"),
-        F.when((F.size(answers) == 2) & ~nullify, yes).alias("probability"),
-        nullify.alias("nullify_question"))
+    notes = F.array_join(F.transform("clarifications", lambda c: c["content"]), " ")
+    return payload.withColumn("_probability", F.when((F.size(answers) == 2) & ~nullify, yes)).select(*question_row(
+        id=F.col("id").cast("string"), question=F.col("name"), background=F.col("description"),
+        url=filled(C.INFER_URL, id=F.col("id")), resolved=resolved,
+        forecast_horizons=F.lit(None).cast("array<int>"),
+        freeze_datetime_value=F.coalesce(F.col("_probability").cast("string"), F.lit(NOT_AVAILABLE)),
+        freeze_datetime_value_explanation=F.lit(C.CROWD_EXPLANATION),
+        market_info_resolution_criteria=F.when(F.size("clarifications") > 0, notes).otherwise(NOT_AVAILABLE),
+        market_info_open_datetime=F.coalesce(iso("scoring_start_time"), F.lit(NOT_AVAILABLE)),
+        market_info_close_datetime=close,
+        market_info_resolution_datetime=F.when(resolved, earlier_text(iso("resolved_at"), known_close)).otherwise(
+            NOT_AVAILABLE)),
+        F.col("_probability").alias("probability"), nullify.alias("nullify_question"))
 
 
 def manifold_questions(payload: DataFrame) -> DataFrame:
