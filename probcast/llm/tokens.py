@@ -15,10 +15,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from probcast.llm.common import _LOWER, _SPACE, gather_ranges, text_bytes
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 400_000
+JOINED = 64  # chunks that are encoded as one text
 
 # Last bytes that a white space character of several bytes can have.
 _LATE_SPACE = np.zeros(256, dtype=bool)
@@ -118,14 +120,18 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = special_pattern(self.tokenizer)
+        self.quoted = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep_spaces = keep_spaces
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # both alphabets have a letter per byte
+        self.bytes[list(vocabulary.values())] = [len(t.removesuffix("</w>")) for t in vocabulary]
         self._reset()
 
     def _reset(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.known = pa.array([], pa.binary())
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
-        self.uses = np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
     def _shrink(self) -> None:
@@ -133,45 +139,84 @@ class TextEncoder:
         kept = np.flatnonzero(self.uses > 1)
         if len(kept) > CACHE_CHUNKS // 2:
             kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:CACHE_CHUNKS // 2]])
-        number = np.full(len(self.uses), -1, np.int64)
-        number[kept] = np.arange(len(kept))
-        number = number.tolist()
-        self.place = {k: number[i] for k, i in self.place.items() if number[i] >= 0}
         sizes = self.lengths[kept]
+        self.known = self.known.take(pa.array(kept))
         self.pool = self.pool[gather_ranges(self.starts[kept], sizes)]
-        self.starts, self.lengths, self.uses = np.cumsum(sizes) - sizes, sizes, np.ones(len(kept), np.int32)
+        self.starts, self.lengths, self.uses = np.cumsum(sizes) - sizes, sizes, np.ones(len(kept), np.int64)
 
     def _lookup(self, chunks: pa.Array) -> np.ndarray:
-        if len(self.place) + len(chunks) > CACHE_CHUNKS:
+        """Place in the cache of every chunk. Known chunks and these are numbered in one pass of the
+        dictionary encoder, known ones first, so that what comes after them is new."""
+        if len(self.known) > CACHE_CHUNKS:
             self._shrink()
-        keys, place = chunks.to_pylist(), self.place
-        new = [k for k in keys if k not in place]
-        if new:
-            sizes, flat = self._encode_new(new)
+        before = len(self.known)
+        encoded = pa.concat_arrays([self.known, chunks]).dictionary_encode()
+        at = np.asarray(encoded.indices)[before:]
+        if len(encoded.dictionary) > before:
+            self.known = encoded.dictionary
+            sizes, flat = self._encode_new(self.known.slice(before))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
             self.lengths = np.concatenate([self.lengths, sizes])
-            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
             self.pool = np.concatenate([self.pool, flat])
-            place.update(zip(new, range(len(place), len(place) + len(new))))
-        at = np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))
-        self.uses[at] += 1
+        self.uses += np.bincount(at, minlength=len(self.uses))
         return at
 
-    def _encode_new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_new(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         sizes, flat = [], []
-        for start in range(0, len(chunks), 4096):
-            texts = [k.decode("utf-8", "replace") for k in chunks[start:start + 4096]]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
-        return np.concatenate(sizes), np.concatenate(flat)
+        joinable = self._joinable(chunks)
+        order = np.concatenate([np.flatnonzero(joinable), np.flatnonzero(~joinable)])
+        joined = int(joinable.sum())
+        chunks = chunks.take(pa.array(order))
+        for first, last, encode in ((0, joined, self._encode_joined), (joined, len(chunks), self._encode_single)):
+            for at in range(first, last, 8192):
+                n, ids = encode(chunks.slice(at, min(8192, last - at)))
+                sizes.append(n)
+                flat.append(ids)
+        found, ids = np.concatenate(sizes), np.concatenate(flat)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return found[back], ids[gather_ranges((np.cumsum(found) - found)[back], found[back])]
+
+    def _joinable(self, chunks: pa.Array) -> np.ndarray:
+        """Chunks that the library would cut from each other in one text, and whose tokens' bytes are
+        their own bytes: with spaces, those that start with a space or line end and end with an ASCII
+        letter, digit or mark; without, those in ASCII and letters from the Latin-1 block, which lower case
+        and composition leave as long as they are, put next to each other with a space between."""
+        data, bounds = text_bytes(chunks.view(pa.string()))
+        first, last = data[bounds[:-1]], data[bounds[1:] - 1]
+        if self.keep_spaces:
+            return ((first == 0x20) | (first == 0x0A)) & (last > 0x20) & (last < 0x7F)
+        wide = np.concatenate([[0], np.cumsum((data >= 0xC0) & (data != 0xC3))])
+        quoted = np.asarray(pc.is_in(chunks, value_set=pa.array(self.quoted, pa.binary())))
+        return (wide[bounds[1:]] == wide[bounds[:-1]]) & ~quoted
+
+    def _encode_single(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(
+            chunks.view(pa.string()).to_pylist(), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+
+    def _encode_joined(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Some chunks to a text; where one ends is found by the bytes of the tokens. If a chunk's end is
+        not a token's end, all are encoded one by one."""
+        glue = "" if self.keep_spaces else " "
+        texts = chunks.view(pa.string()).to_pylist()
+        found = self.tokenizer.encode_batch_fast(
+            [glue.join(texts[i:i + JOINED]) for i in range(0, len(texts), JOINED)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        reached = np.cumsum(self.bytes[ids])
+        ends = np.cumsum(np.diff(text_bytes(chunks.view(pa.string()))[1]))
+        last = np.searchsorted(reached, ends)
+        if last[-1] != len(ids) - 1 or (reached[last] != ends).any():
+            return self._encode_single(chunks)
+        return np.diff(last, prepend=-1), ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in one array, and the row bounds in it; null counts as empty."""
         data, bounds = text_bytes(texts)
         runs, rows = (spaced_chunks if self.keep_spaces else bare_chunks)(data, bounds, self.special)
-        encoded = runs.dictionary_encode()
-        entry = self._lookup(encoded.dictionary)[np.asarray(encoded.indices)]
+        entry = self._lookup(runs)
         sizes = self.lengths[entry]
         ids = self.pool[gather_ranges(self.starts[entry], sizes)]
         return ids, np.concatenate([[0], np.cumsum(sizes)])[rows]
