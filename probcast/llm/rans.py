@@ -41,7 +41,7 @@ BLOCK = struct.Struct("<IIII")
 @dataclass(frozen=True)
 class CodecOptions:
     bits: int = 18
-    lanes: int = 64
+    lanes: int = 256
     block_tokens: int = 1 << 16
     segment_tokens: int = 1 << 20
 
