@@ -3,9 +3,10 @@
 A page is cut into flat blocks at block-level tags. A block has its word count and link density, those
 of the blocks before and after it, whether it is a heading, whether it lies in an element that holds
 an article, and how surely it lies in page furniture (menu, advert, notice, form, comments and the
-like): 1 by an element's tag or because it is hidden, 0.5 by a name or an own form, which long text
-without links overrules and which ends at an article or main element. A decision tree grown on the labelled table ``EXAMPLES`` decides
-which blocks are main text. Scripts, styles, comments, the head and all markup are dropped, character
+like): 1 by an element's tag, because it is hidden, or by a plain name such as comments, advert, notice,
+sidebar or footer; 0.5 by an ambiguous name or an own form, which long text without links overrules.
+Names end at an article or main element, unless the page has another article outside such a name. A
+decision tree grown on the labelled table ``EXAMPLES`` decides which blocks are main text. Scripts, styles, comments, the head and all markup are dropped, character
 references are decoded, white space inside a block becomes one space, and blocks are joined by blank
 lines in page order.
 
@@ -49,6 +50,10 @@ FURNITURE_NAMES = set(
     "comment comments commentlist reply replies respond discussion disqus breadcrumb breadcrumbs pagination pager "
     "form login search toolbar widget copyright legal disclaimer hidden tags taglist tracking contentinfo "
     "complementary".split())
+# Names that text of a page may also bear: long text without links overrules them.
+AMBIGUOUS_NAMES = set("side share sharing social related recommended recommendations widget legal disclaimer copyright "
+                      "form login search toolbar tags taglist tracking hidden signup header masthead".split())
+LAYOUT_NAMES = {"layout"}
 # Names that say what a wrapper has or is filed under, and names of what holds text.
 ABOUT_NAMES = set("has with without no not tag category cat".split())
 TEXT_NAMES = set("text editor article post entry story body".split())
@@ -164,32 +169,39 @@ def grow_tree(rows: Sequence[tuple], depth: int = 6, least: int = 1) -> Node:
     return Node(feature, cut, grow_tree(below, depth - 1, least), grow_tree(above, depth - 1, least))
 
 
-def _furniture_name(name: str) -> bool:
-    """Whether a class or another name is one of furniture, and not of what its element only has or holds."""
+def _name_mark(name: str) -> float:
+    """How surely a class or another name says furniture: 1, 0.5 where it is ambiguous, or 0.
+
+    What an element only has, lacks or is filed under does not make it furniture; a name of a whole
+    layout is ambiguous.
+    """
     parts = [p.lower() for p in NAME_PARTS.findall(name)]
-    if len(parts) > 1 and parts[0] in ABOUT_NAMES:
-        return False
-    return bool(found := FURNITURE_NAMES & set(parts)) and not (found == {"widget"} and TEXT_NAMES & set(parts))
+    found = [i for i, p in enumerate(parts) if p in FURNITURE_NAMES]
+    if not found or ABOUT_NAMES & set(parts[:found[0]]):
+        return 0.0
+    names = {parts[i] for i in found}
+    if names == {"widget"} and TEXT_NAMES & set(parts):
+        return 0.0
+    return 0.5 if names <= AMBIGUOUS_NAMES or LAYOUT_NAMES & set(parts) else 1.0
 
 
 @lru_cache(maxsize=4096)
-def _marked_furniture(tag: str, attributes: str) -> float:
-    """How surely an element's own tag or attributes mark it as furniture: 1, 0.5 by name or form, or 0."""
+def _marked_furniture(tag: str, attributes: str) -> tuple[float, bool]:
+    """How surely an element's own tag or attributes mark it as furniture, and whether by name only."""
     if tag in PAGE_TAGS:
-        return 0.0
+        return 0.0, True
     if tag in FURNITURE_TAGS and tag != "form":
-        return 1.0
-    mark = 0.5 if tag == "form" else 0.0
+        return 1.0, False
+    mark = 0.0
     for name, value in ATTRIBUTES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return 1.0
+            return 1.0, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return 1.0
+            return 1.0, False
         if name in ("class", "id", "role", "aria-label", "itemprop", "data-role"):
-            if any(map(_furniture_name, value.split())):
-                mark = 0.5
-    return mark
+            mark = max([mark, *map(_name_mark, value.split())])
+    return mark, True
 
 
 @dataclass
@@ -201,35 +213,70 @@ class Block:
     in_article: bool
     in_furniture: float
     form: int = 0  # number of the form that alone marks the block
+    wrapped: bool = False  # in an article that lies in an element named as furniture
+
+
+@dataclass(frozen=True)
+class State:
+    """What holds inside an open element, from its parent's state and its own tag and names."""
+
+    article: bool = False
+    heading: bool = False
+    sure: bool = False  # furniture by a tag or hidden
+    named: float = 0.0  # by names since the innermost article began
+    form: int = 0
+    wrapped: bool = False
+
+    def inside(self, tag: str, mark: float, by_name: bool, form: int) -> "State":
+        begins = tag in CONTENT_TAGS
+        named = 0.0 if begins else self.named
+        sure = self.sure or (mark == 1.0 and not by_name)
+        return State(
+            self.article or begins, self.heading or tag in HEADINGS, sure,
+            max(named, mark if by_name else 0.0), form or (0 if begins else self.form),
+            self.wrapped or (begins and self.named == 1.0))
+
+    @property
+    def furniture(self) -> float:
+        if self.sure:
+            return 1.0
+        return self.named or (0.5 if self.form else 0.0)
 
 
 def page_blocks(page: str) -> list[Block]:
-    """Flat text blocks of a page in order."""
+    """Flat text blocks of a page in order. Every open element keeps the state inside it, and open tags
+    are counted, so a tag costs the same however deep it lies."""
     blocks: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, float]] = []  # tag, article, furniture
-    article = heading = link = False
-    furniture, form, forms = 0.0, 0, 0
+    state, outside = State(), State()
+    stack: list[tuple[str, State]] = []
+    open_tags: Counter = Counter()
+    link = False
+    forms = 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            blocks.append(Block(text, len(text.split()), len(html.unescape(" ".join(linked)).split()),
-                                heading, article, furniture, form))
+            blocks.append(Block(
+                text, len(text.split()), len(html.unescape(" ".join(linked)).split()), state.heading, state.article,
+                state.furniture, state.form if not state.sure and not state.named else 0, state.wrapped))
         parts.clear()
         linked.clear()
 
-    head = title = False  # the head ends at its end tag or at the first text or tag that it cannot hold
-    unclosed: set[str] = set()
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        return tag
 
-    def outer() -> tuple[bool, float, int, bool]:
-        inner = max((i for i, (_, a, _) in enumerate(stack) if a), default=0)
-        named = max((f for t, _, f in stack[inner:] if t != "form"), default=0.0)
-        sure = max((f for _, _, f in stack if f == 1.0), default=named)
-        inside = forms if not sure and any(t == "form" for t, _, _ in stack[inner:]) else 0
-        return any(a for _, a, _ in stack), 0.5 if inside else sure, inside, any(t in HEADINGS for t, _, _ in stack)
+    def leave(tag: str) -> State:
+        """Close the innermost element of a tag and all inside it."""
+        while pop() != tag:
+            pass
+        return stack[-1][1] if stack else outside
 
+    head = title = False  # the head ends at its end tag or at the first text or tag that it cannot hold
+    unclosed: set[str] = set()
     at = 0
     while match := MARKUP.search(page, at):
         piece, at = page[at:match.start()], match.end()
@@ -265,38 +312,41 @@ def page_blocks(page: str) -> list[Block]:
             parts.append("")
         elif tag == "br":
             parts.append(" ")
-        elif tag in INLINE and not (not closing and attributes and _marked_furniture(tag, attributes.strip())):
-            if closing and any(t == tag for t, _, _ in stack):
+        elif tag in INLINE and not (not closing and attributes and _marked_furniture(tag, attributes.strip())[0]):
+            if closing and open_tags[tag]:
                 close()
-                while stack.pop()[0] != tag:
-                    pass
-                article, furniture, form, heading = outer()
+                state = leave(tag)
         else:
             close()
             link = False
             if closing:
-                if any(t == tag for t, _, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-                    article, furniture, form, heading = outer()
+                if open_tags[tag]:
+                    state = leave(tag)
             elif tag not in VOID and not attributes.rstrip().endswith("/"):
                 if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or tag in HEADINGS:
                     if stack and stack[-1][0] == tag:
-                        stack.pop()  # an unclosed one ends here
-                own = _marked_furniture(tag, attributes.strip()) if (
-                    tag != "header" or any(a for _, a, _ in stack)) else 1.0
+                        pop()  # an unclosed one ends here
+                        state = stack[-1][1] if stack else outside
+                mark, by_name = _marked_furniture(tag, attributes.strip())
+                if tag == "header" and not state.article:
+                    mark, by_name = 1.0, False
                 forms += tag == "form"
-                stack.append((tag, tag in CONTENT_TAGS, own))
-                article, furniture, form, heading = outer()
+                state = state.inside(tag, mark, by_name, forms if tag == "form" else 0)
+                stack.append((tag, state))
+                open_tags[tag] += 1
     if at < len(page) and not (head and title):
         parts.append(page[at:])
     close()
     words = Counter()
     for b in blocks:
         words[b.form] += max(b.words - b.linked, 0)
+    # An element named as furniture may hold the page's article; beside another article it does not.
+    own_article = any(b.in_article and not b.wrapped and not b.in_furniture for b in blocks)
     for b in blocks:
         if b.form and words[b.form] >= FORM_WORDS:
             b.in_furniture = 0.0
+        if b.wrapped and own_article:
+            b.in_furniture = 1.0
     return blocks
 
 
