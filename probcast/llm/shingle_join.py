@@ -245,13 +245,13 @@ def id_bitmap(wanted: DataFrame, bits: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame, options: JoinOptions) -> DataFrame:
-    """``id``, ``elements`` (sorted shingle hashes as bytes) of the wanted ids.
+    """``id``, ``elements`` (sorted shingle hashes as bytes) of the wanted ids, and of few others.
 
-    Texts are not shuffled: a bitmap of fixed size drops nearly all unwanted rows where they are read,
-    and an exact semi-join of the few sets made drops the rest.
+    Texts are not shuffled: a bitmap of fixed size drops nearly all unwanted rows where they are read;
+    the caller's join on the id drops the rest.
     """
-    words, ids = options.words, wanted.select("id").distinct()
-    bitmap = id_bitmap(ids, options.bitmap_log2)
+    words = options.words
+    bitmap = id_bitmap(wanted, options.bitmap_log2)
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).filter("id IS NOT NULL").withColumn(
         "_h", _id_hash("id", options.bitmap_log2))
 
@@ -267,7 +267,7 @@ def sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame, options: Jo
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "elements"])
 
     schema = source.select("id").schema.add("elements", "binary")
-    return source.mapInArrow(run, schema).join(ids, "id", "left_semi")
+    return source.mapInArrow(run, schema)
 
 
 def _by_size(a: str, b: str, percent: int) -> Column:
@@ -324,7 +324,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, options: Jo
     percent = options.percent
     placed = stored(pair_groups(pairs, options))
     need = placed.select("g", F.col("a").alias("id")).union(placed.select("g", F.col("b").alias("id"))).distinct()
-    sets = stored(sets_of(docs, key, text, need, options))
+    sets = sets_of(docs, key, text, need, options)
     id_type = pairs.schema["a"].dataType
     rows = need.join(sets, "id").select(
         "g", F.lit(0).alias("side"), F.col("id").alias("a"), F.lit(None).cast(id_type).alias("b"), "elements").unionByName(
