@@ -143,8 +143,8 @@ def op5_block_max_search(spark: SparkSession, folder: str) -> DataFrame:
 def op5_turn_search(spark: SparkSession, folder: str) -> DataFrame:
     """Ten best turns of all conversations for every turn of the conversations divisible by 20."""
     turns = read_table(spark, folder, "conversations")
-    turns = turns.withColumn("key", F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 12, "0"),
-                                                F.lpad(F.col("turn").cast("string"), 6, "0")))
+    turns = turns.withColumn("key", F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 20, "0"),
+                                                F.lpad(F.col("turn").cast("string"), 20, "0")))  # no number is longer
     found = bm25_search.top_k(turns, F.col("conv_id") % 20 == 0, "key")
 
     def part(name: str, i: int):

@@ -12,7 +12,7 @@ Coding is vectorised over all lanes of all blocks of a segment. States are 64-bi
 ``[2**31, 2**63)`` and move one 32-bit word at a time.
 
 Defined cases: a null text is empty and has its end id alone; null keys come first; rows with equal
-keys are separate documents in any order; an empty table gives an empty file set; damage in a block
+keys are separate documents in order of a hash of their texts; an empty table gives an empty file set; damage in a block
 raises ``ValueError`` when it is read.
 """
 
@@ -177,8 +177,8 @@ class Codec:
 def _token_segments(docs: DataFrame, path: str, end: int, key: str, text: str, keep_spaces: bool,
                     segment_tokens: int) -> DataFrame:
     """Tokenised documents in key order, gathered into segments: part, segment, keys, lengths, ids."""
-    ordered = docs.select(F.col(key).alias("id"), F.col(text).alias("_text"))
-    ordered = ordered.repartitionByRange("id").sortWithinPartitions("id")
+    ordered = docs.select(F.col(key).alias("id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    ordered = ordered.repartitionByRange("id", "_hash").sortWithinPartitions("id", "_hash")
     key_type = ordered.schema["id"].dataType.simpleString()
 
     def run(batches):

@@ -3,6 +3,7 @@
 import html
 import math
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -335,3 +336,43 @@ def test_records_and_layout(spark):
     laid = fixity.lay_out(df, F.lit(0).cast("long"), ["page_id"], fixity.warc_record(F.col("url"), F.col("html"))).collect()
     assert sorted(r["offset"] for r in laid) == [0, len(bytes(raw[0]["r"])), len(bytes(raw[0]["r"])) + next(
         r["length"] for r in laid if r["offset"] == len(bytes(raw[0]["r"])))]
+
+
+FURNITURE_MARKS = ['class="comments"', 'class="comment-body"', 'id="respond"', 'class="advert"', 'class="ad-container"', 'class="cookie-notice"',
+                   'id="noticeBar"', 'class="sidebar"', 'class="left-sidebar"', 'id="footer"', 'class="site_footer"', 'class="main-menu"']
+
+
+@pytest.mark.parametrize("mark", FURNITURE_MARKS)
+@pytest.mark.parametrize("place", ["after", "before", "inside"])
+@pytest.mark.parametrize("article", [True, False])
+def test_long_furniture_by_a_plain_name_stays_out(mark, place, article):
+    tree = html_text.grow_tree(html_text.EXAMPLES)
+    some = ["Plain words that fill " + "one more line of a paragraph " * n for n in (20, 12)]
+    other = f"<div {mark}><h3>More</h3><p>{'words that somebody else wrote at length ' * 30}</p></div>"
+    first, last = (f"<p>{t}</p>" for t in some)
+    wrap = "<article>{}</article>" if article else "<div>{}</div>"
+    if place == "inside":
+        page = wrap.format(first + other + last)
+    else:
+        text = wrap.format(first + last)
+        page = text + other if place == "after" else other + text
+    assert html_text.main_text(f"<body>{page}</body>", tree) == "\n\n".join(t.strip() for t in some)
+
+
+def test_a_plain_name_around_the_article_ends_there():
+    tree = html_text.grow_tree(html_text.EXAMPLES)
+    assert html_text.main_text(f'<div class="sidebar main">{ARTICLE}</div>', tree) == "Head line\n\nSome plain words of text."
+    teaser = "<div class=sidebar><article><h3>Other</h3><p>Words of another text.</p></article></div>"
+    for page in (ARTICLE + teaser, teaser + ARTICLE):
+        assert html_text.main_text(page, tree) == "Head line\n\nSome plain words of text."
+    long = "words of a long text without any links " * 20
+    assert html_text.main_text(f'<div class="sidebar-layout"><p>{long}</p></div>', tree) == long.strip()
+
+
+def test_deep_pages_take_linear_time():
+    tree = html_text.grow_tree(html_text.EXAMPLES)
+    for deep in ("<div>" * 100_000, "<form><section class=x><li>" * 30_000, "<b class=comment>" * 50_000):
+        page = deep + "<p>" + "words at the bottom of it all " * 40
+        began = time.process_time()
+        html_text.main_text(page + "</div>" * 50_000, tree)
+        assert time.process_time() - began < 8
