@@ -17,7 +17,7 @@ HEADLINE = [
     "resolve_dataset_r2", "resolve_market_r3", "resolve_market_combinations_r5_r6",
     "resolve_conflict_r7", "resolve_pages_r8", "prepare_forecasts_f5",
     "match_and_impute_j4_r12", "prepare_scores_s2_s3", "peer_score_s6_t19", "skill_score_s7_j9",
-    "score_models_s8_a2_j10", "question_effects_s4", "baseline_board_s9_s10_s21",
+    "score_models_s8_a2_j10", "question_effects_s4", "large_panel_effects_s4", "baseline_board_s9_s10_s21",
     "tournament_board_s5_s21", "bootstrap_boards_s11", "percentile_intervals_s12",
     "stratified_sample_p5", "create_question_set_p9", "ensembles_a8_a9",
 ]

@@ -50,11 +50,14 @@ def constants(spark, sf):
         "forecast")
 
 
-@register("random_forecasts_b1")
+@register("random_forecasts_b1", f"""
+    SELECT source, id, forecast_due_date, resolution_date,
+           {n("CAST(concat('0x', substr(md5(concat_ws('#', '3', CAST(forecast_due_date AS VARCHAR), source, id, CAST(resolution_date AS VARCHAR))), 1, 8)) AS UBIGINT) / 4294967296", 'forecast')}
+    FROM {_GRID}""")
 def random_forecasts(spark, sf):
     rows = B.constant_forecasts(B.forecast_grid(due_set(spark, sf)), seed=3)
     return rows.filter(F.col("model") == C.RANDOM_UNIFORM).select(
-        "source", joined().alias("id"), "forecast_due_date", "resolution_date", "forecast")
+        "source", joined().alias("id"), "forecast_due_date", "resolution_date", num("forecast"))
 
 
 @register("bounded_forecasts_b6", f"""

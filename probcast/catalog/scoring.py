@@ -13,7 +13,7 @@ from probcast.operators import (
     bootstrap, filters, fixed_effects, inference, reports, resolve, scoring, trend,
 )
 from probcast.plans import leaderboard as L
-from probcast.session import materialise
+from probcast.session import fresh_folder, materialise
 from probcast.sources import testtables as T
 
 REPLICATES = C.BOOTSTRAP_REPLICATES
@@ -88,28 +88,30 @@ _SUBMISSION = "organization, model_organization, model, forecast_due_date"
                               THEN CAST(imputed AS INT) END) AS s
         FROM {I.PROCESSED} GROUP BY ALL),
     kept AS (SELECT {_SUBMISSION} FROM shares WHERE (organization = 'Benchmark'
-             AND model_organization = 'Benchmark') OR NOT (coalesce(a > 88, FALSE)
-             OR coalesce(m > 88, FALSE) OR coalesce(s > 88, FALSE)))
+             AND model_organization = 'Benchmark') OR NOT (coalesce(a > {C.IMPUTED_CUTOFF_PCT}, FALSE)
+             OR coalesce(m > {C.IMPUTED_CUTOFF_PCT}, FALSE) OR coalesce(s > {C.IMPUTED_CUTOFF_PCT}, FALSE)))
     SELECT p.model, p.forecast_due_date, CAST(count(*) AS BIGINT) AS n
     FROM {I.PROCESSED} p JOIN kept k ON k.organization = p.organization
      AND k.model_organization = p.model_organization AND k.model = p.model
      AND k.forecast_due_date = p.forecast_due_date GROUP BY 1, 2""")
 def over_imputed(spark, sf):
-    kept = filters.drop_over_imputed(I.processed(spark, sf), scoring.SUBMISSION, ORG, 88)
+    kept = filters.drop_over_imputed(I.processed(spark, sf), scoring.SUBMISSION, ORG)
     return kept.groupBy("model", "forecast_due_date").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The given due dates have questions of one kind only, so each threshold is asked for on its own.
 @register("due_date_filters_f12_f13", f"""
-    SELECT forecast_due_date, CAST(count(*) FILTER (question_type = 'market' AND resolved) AS BIGINT)
-               AS n_market_resolved,
-           CAST(count(*) FILTER (question_type = 'dataset' AND resolved) AS BIGINT) AS n_dataset
-    FROM {I.PROCESSED} WHERE model = 'Naive Forecaster'
-      AND forecast_due_date <= {d(I.AS_OF)} - 50
-    GROUP BY 1 HAVING count(*) FILTER (question_type = 'dataset' AND resolved) >= 225""")
+    WITH counted AS (
+        SELECT forecast_due_date, CAST(count(*) FILTER (question_type = 'market' AND resolved) AS BIGINT) AS n_market_resolved,
+               CAST(count(*) FILTER (question_type = 'dataset' AND resolved) AS BIGINT) AS n_dataset
+        FROM {I.PROCESSED} WHERE model = 'Naive Forecaster' AND forecast_due_date <= {d(I.AS_OF)} - 50 GROUP BY 1)
+    SELECT 'dataset' AS threshold, * FROM counted WHERE n_dataset >= {C.MIN_DATASET_QUESTIONS}
+    UNION ALL SELECT 'market', * FROM counted WHERE n_market_resolved >= {C.MIN_MARKET_QUESTIONS}""")
 def due_dates(spark, sf):
-    naive = I.processed(spark, sf).filter(F.col("model") == C.NAIVE_FORECASTER)
-    return filters.due_dates_with_enough(
-        filters.old_enough(naive, I.AS_OF, 50), 0, C.MIN_DATASET_QUESTIONS)
+    naive = filters.old_enough(I.processed(spark, sf).filter(F.col("model") == C.NAIVE_FORECASTER), I.AS_OF, 50)
+    enough = lambda name, market, dataset: filters.due_dates_with_enough(
+        naive, market, dataset).select(F.lit(name).alias("threshold"), "*")
+    return enough("dataset", 0, C.MIN_DATASET_QUESTIONS).unionByName(enough("market", C.MIN_MARKET_QUESTIONS, 0))
 
 
 @register("peer_score_s6_t19", f"""
@@ -324,13 +326,20 @@ def crowd_effects(spark, sf):
 
 
 @register("board_filters_f15_f16", f"""
-    SELECT model, baseline_model, tournament_model, CAST(count(*) AS BIGINT) AS n
-    FROM {SCORED} WHERE baseline_model AND model_rank <> 8 GROUP BY 1, 2, 3""")
+    SELECT 'baseline' AS board, model, baseline_model, tournament_model, CAST(count(*) AS BIGINT) AS n
+    FROM {SCORED} WHERE baseline_model AND model_rank <> 8 GROUP BY 2, 3, 4
+    UNION ALL
+    SELECT 'tournament', model, baseline_model, tournament_model, CAST(count(*) AS BIGINT)
+    FROM {SCORED} WHERE tournament_model AND model_rank <> 8 GROUP BY 2, 3, 4""")
 def board_filters(spark, sf):
     opted = scored(spark, sf).withColumn(
         "leaderboard_eligible", F.when(F.col("model_no") == "m8", False))
-    return filters.baseline_board_rows(filters.only_eligible(opted)).groupBy(
-        "model", "baseline_model", "tournament_model").agg(F.count(F.lit(1)).alias("n"))
+    eligible = filters.only_eligible(opted)
+    boards = [(name, keep(eligible)) for name, keep in (
+        ("baseline", filters.baseline_board_rows), ("tournament", filters.tournament_board_rows))]
+    counted = [rows.groupBy(F.lit(name).alias("board"), "model", "baseline_model", "tournament_model").agg(
+        F.count(F.lit(1)).alias("n")) for name, rows in boards]
+    return counted[0].unionByName(counted[1])
 
 
 # --- bootstrap (random: no SQL) ------------------------------------------------------------------
@@ -343,6 +352,31 @@ def _simulated(spark, sf, kind="tournament"):
     return bootstrap.simulated_boards(scores, "Benchmark_Benchmark_Always 0.5")
 
 
+def large_panel(spark, sf):
+    """An unbalanced panel with a model per supplier and a question per part, a row per line."""
+    source = F.when(F.col("l_partkey") % 2 == 0, "fred").otherwise("yfinance")
+    return T.raw(spark, sf, "lineitem").select(
+        F.concat(F.lit("q"), "l_partkey").alias("question_pk"), F.concat(F.lit("m"), "l_suppkey").alias("model_pk"),
+        ((F.col("l_quantity") * F.col("l_linenumber")) % 97 / 97).alias("brier_score"),
+        F.concat(F.lit("model "), "l_suppkey").alias("model"), F.lit(ORG).alias("organization"),
+        F.lit("Lab").alias("model_organization"), F.lit(False).alias("external_submission"),
+        F.lit(10).alias("model_age_at_due_date"), F.lit(date(2024, 1, 11)).alias("forecast_due_date"), source.alias("source"))
+
+
+@register("large_panel_effects_s4")
+def large_panel_effects(spark, sf):
+    """Question effects of a panel with a thousand models at scale 0.1."""
+    return fixed_effects.question_effects(large_panel(spark, sf), ORG)
+
+
+@register("large_panel_replicates_s11")
+def large_panel_replicates(spark, sf):
+    """Replicate scores of the same panel, summed up per model."""
+    scores = bootstrap.replicate_scores(large_panel(spark, sf), ORG, False, REPLICATES, seed=5)
+    return scores.groupBy("question_type", "model_pk").agg(
+        F.count("*").alias("n_replicates"), F.avg("score").alias("mean_score"), F.stddev("score").alias("spread"))
+
+
 @register("bootstrap_boards_s11")
 def bootstrap_boards(spark, sf):
     return _simulated(spark, sf)
@@ -677,8 +711,11 @@ def effect_rows(spark, sf):
     rows = scored(spark, sf).filter(F.col("model") == C.IMPUTED_FORECASTER).select(
         "forecast_due_date", "source", joined().alias("id"), "horizon",
         num(F.col("brier_score"), "question_fixed_effect"))
-    return writers.question_effect_rows(
-        rows.filter(filters.is_dataset()), rows.filter(filters.is_market()), "tournament")
+    path = fresh_folder(spark, "question-effects")
+    writers.write_question_effects(writers.question_effect_rows(
+        rows.filter(filters.is_dataset()), rows.filter(filters.is_market()), "tournament"), path)
+    return spark.read.schema("forecast_due_date DATE, source STRING, id STRING, horizon INT, "
+                             "question_fixed_effect DOUBLE, leaderboard_type STRING").json(path)
 
 
 @register("combinations_dropped_f1_f3", f"""

@@ -129,6 +129,26 @@ def processed_files(spark, sf):
         "imputed", num("forecast"))
 
 
+@register("processed_documents_io13", f"""
+    SELECT model, forecast_due_date, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CAST(imputed AS INT)) AS BIGINT) AS n_imputed,
+           {n('sum(forecast)', 'sum_forecast', 6)}, CAST(sum(resolved_to) AS DOUBLE) AS sum_resolved
+    FROM {SCORED} GROUP BY 1, 2""")
+def processed_documents(spark, sf):
+    """The published documents, one per submission and due date, read back as JSON."""
+    path = folder(spark, "processed_documents")
+    rows = scored(spark, sf)
+    writers.write_processed_documents(rows, F.concat_ws(
+        ".", F.col("forecast_due_date").cast("string"), "organization", F.replace("model", F.lit(" "), F.lit("-"))), path)
+    documents = spark.read.schema(
+        "model STRING, forecast_due_date DATE, forecasts ARRAY<STRUCT<id: STRING, source: STRING, "
+        "forecast: DOUBLE, resolved_to: DOUBLE, imputed: BOOLEAN>>").option("multiLine", "true").option(
+        "recursiveFileLookup", "true").json(path)
+    return documents.select("model", "forecast_due_date", F.explode("forecasts").alias("f")).groupBy(
+        "model", "forecast_due_date").agg(
+        F.count("*").alias("n_rows"), F.count_if("f.imputed").alias("n_imputed"),
+        num(F.sum("f.forecast"), "sum_forecast", 6), F.sum("f.resolved_to").alias("sum_resolved"))
+
+
 @register("resolution_set_documents_io12", f"""
     SELECT forecast_due_date, CAST(count(*) AS BIGINT) AS n_rows,
            CAST(sum(resolved_to) AS DOUBLE) AS total
@@ -147,11 +167,16 @@ def resolution_set(spark, sf):
 
 
 @register("metadata_round_trip_io8", f"""
-    SELECT source, id, category, valid_question FROM {QUESTIONS}""")
+    SELECT source, id, CASE WHEN source = 'infer' THEN 'Other' ELSE category END AS category, valid_question
+    FROM {QUESTIONS}""")
 def metadata_file(spark, sf):
-    path = folder(spark, "metadata")
-    metadata(spark, sf).write.mode("overwrite").json(path)
-    return readers.read_metadata(spark, path)
+    """Written whole, then one source again: the others keep their partitions. Read back as JSON lines."""
+    path, lines = folder(spark, "metadata"), folder(spark, "metadata_lines")
+    rows = metadata(spark, sf)
+    writers.write_metadata(rows, path)
+    writers.write_metadata(rows.filter("source = 'infer'").withColumn("category", F.lit("Other")), path)
+    spark.read.parquet(path).write.json(lines)
+    return readers.read_metadata(spark, lines)
 
 
 @register("hash_mapping_io8_io24", """

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from probcast import constants as C
 from probcast.functions import dates as D
 from probcast.functions.hashing import object_id
-from probcast.functions.text import fill_template, yes_item
+from probcast.functions.text import fill_template, object_label, yes_item
 from probcast.operators.page_rules import PageRules
 from probcast.operators.series import conflict_daily, splice_and_refill, trailing_sums
 from probcast.operators.upsert import upsert
@@ -166,7 +166,7 @@ def weather_questions(observations: DataFrame, catalog: DataFrame, stored: DataF
         F.max_by(F.struct("period", "value"), "period").alias("_last"),
         F.max_by("value", F.when(present, F.col("period"))).alias("_present"),
         *[F.max_by(c, "period").alias(c) for c in ("provider", "dataset", "name")])
-    source = catalog.withColumn("id", F.replace("series", F.lit("/"), F.lit("_"))).join(latest, "id").join(
+    source = catalog.withColumn("id", object_label(F.col("series"))).join(latest, "id").join(
         lively.filter("_lively"), "id")
     value = F.col("_last.value")
     fresh = (F.col("_last.period") > F.lit(yesterday)) & (value != "NA")

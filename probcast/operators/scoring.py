@@ -221,8 +221,8 @@ def with_release_date(df: DataFrame, model_dim: DataFrame, age: bool = True) ->
     """Release date (external: first due date; LLM: by run key) and age on the due date in days."""
     dates = model_dim.select("model_run_key", F.col("release_date").alias("_listed")).filter(
         "model_run_key is not null").dropDuplicates(["model_run_key"])
-    out = skew_join(df, dates, ["model_run_key"], ["model", "forecast_due_date", *(
-        c for c in ("source", "ids", "question_pk") if c in df.columns)], "left").withColumn(
+    spread = [c for c in ("model", "forecast_due_date", "source", "ids", "question_pk") if c in df.columns]
+    out = skew_join(df, dates, ["model_run_key"], spread, "left").withColumn(
         "model_release_date",
         F.when(F.col("external_submission"), F.col("first_forecast_due_date")).when(
             F.col("benchmark_llm"), F.col("_listed"))).drop("_listed")

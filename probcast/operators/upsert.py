@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from probcast.operators.skew import skew_join
+
 
 def stack(*frames: DataFrame) -> DataFrame:
     """Union by name; absent columns become null."""
@@ -151,12 +153,13 @@ def as_of_entry(df: DataFrame, entries: DataFrame, key: Sequence[str], day: str,
                 start: str = "start_date") -> DataFrame:
     """For each row the configuration entry with the greatest start date not after its day.
 
-    Entries of a key (a few versions) are held as one sorted array, so this is an equi-join.
+    Entries of a key (a few versions) are held as one sorted array, so this is an equi-join; a key
+    that holds many rows is salted by its measured share.
     """
     fields = [c for c in entries.columns if c not in key]
     listed = entries.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
         start, *[c for c in fields if c != start]))).alias("_entries"))
     chosen = F.try_element_at(
         F.filter("_entries", lambda e: e[start] <= F.col(day)), F.lit(-1))
-    return df.join(listed, list(key), "left").withColumn("_e", chosen).select(
+    return skew_join(df, listed, list(key), [day], "left").withColumn("_e", chosen).select(
         *df.columns, *[F.col(f"_e.{c}").alias(c) for c in fields])

@@ -216,14 +216,15 @@ def write_parity_dates(parity: DataFrame, board: str, path: str) -> None:
     parity_document(parity, board).write.mode("overwrite").text(path)
 
 
-def hash_mapping_documents(mapping: DataFrame, remaps: DataFrame) -> DataFrame:
+def hash_mapping_documents(mapping: DataFrame, remaps: DataFrame, per_document: int = 10_000) -> DataFrame:
     """Id -> attributes as JSON objects without the replaced ids, sharded by id hash.
 
-    The mapping grows with the bank, so no single document holds all of it; the reader accepts
-    any number of documents.
+    The mapping grows with the bank, so the number of documents follows it and each holds about
+    ``per_document`` ids; the reader accepts any number of documents.
     """
     kept = new_rows(mapping, remaps.select(F.col("old_id").alias("id")), ["id"])
-    return kept.groupBy(F.substring(F.md5("id"), 1, 2).alias("shard")).agg(F.to_json(
+    shards = max(1, -(-kept.count() // per_document))
+    return kept.groupBy(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).agg(F.to_json(
         F.map_from_entries(F.collect_list(F.struct("id", "attrs")))).alias("value"))
 
 

@@ -1,3 +1,4 @@
+import datetime as dt
 import hashlib
 import json
 import math
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from probcast import constants as C, schemas
 from probcast.functions import dates as D, hashing, normal, parsing, text as X
-from probcast.operators import sampling as P, scoring
+from probcast.operators import questions as Q, sampling as P, scoring
 from tests.conftest import day
 
 
@@ -146,3 +147,22 @@ def test_conform_quarantines(spark):
     accepted, quarantined = schemas.conform(df, schemas.SERIES)
     assert [(r.id, r.value, r.value_str, r.more) for r in accepted.collect()] == [("a", 1.5, None, 7)]
     assert quarantined.count() == 2
+
+
+def test_run_files_and_anonymous_teams(spark):
+    df = spark.createDataFrame([(dt.date(2025, 1, 5), "Org", "prov", "lab", "run", "zero-shot", "Anonymous 7")],
+                               "d DATE, o STRING, p STRING, l STRING, r STRING, v STRING, t STRING")
+    names = [X.run_file_name(*map(F.col, "doplrv"), test=test) for test in (False, True)]
+    row = df.select(*names, X.anonymous_team_number(F.col("t"))).first()
+    assert tuple(row) == ("2025-01-05.Org.prov.lab.run-zero-shot.json", "TEST.2025-01-05.Org.prov.lab.run-zero-shot.json", 7)
+
+
+def test_price_series_and_nullified_questions(spark):
+    day = lambda k: dt.date(2024, 1, k)
+    daily = spark.createDataFrame([("a", day(1), 0.4), ("a", day(4), 0.6), ("b", day(1), 0.5)], "id STRING, date DATE, value DOUBLE")
+    questions = spark.createDataFrame(
+        [("a", True, "2024-01-03T10:00:00+00:00", 1.0, False), ("b", False, "N/A", None, True)],
+        "id STRING, resolved BOOLEAN, market_info_resolution_datetime STRING, resolved_price DOUBLE, nullify_question BOOLEAN")
+    got = {(r.id, r.date.day): r.value for r in Q.polymarket_series(daily, questions, questions.limit(0)).collect()}
+    assert got[("a", 1)] == got[("a", 2)] == 0.4 and got[("a", 3)] == 1.0 and ("a", 4) not in got and got[("b", 1)] == 0.5
+    assert {r.id: r.resolved for r in Q.resolve_nullified(questions).collect()} == {"a": True, "b": True}

@@ -10,7 +10,10 @@ from tools.check_queries import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["daily_close_t5", "fill_values_t2", "value_as_of_j8", "resolve_market_combinations_r5_r6",
-          "prepare_forecasts_f5", "bin_quotas_p4", "ensembles_a8_a9", "baseline_board_s9_s10_s21"]
+          "prepare_forecasts_f5", "bin_quotas_p4", "ensembles_a8_a9", "baseline_board_s9_s10_s21",
+          "resolve_job_r10_r11_r12", "streamed_daily_close_st1", "mark_dropouts_t12", "page_questions_g2",
+          "weather_questions_g4", "macro_questions_g5", "stock_questions_g6_u8", "infer_questions_g8",
+          "straight_series_forecaster_b3", "keyed_upsert_u3", "stratified_sample_p5"]
 
 
 def test_registry_names():
