@@ -135,7 +135,11 @@ def observations(spark, sf):
 _OBS = f"""(SELECT id, date AS period, CASE WHEN day(date) % 4 = 0 THEN 'NA'
     ELSE printf('%.2f', value) END AS value FROM {T.sql('series')})"""
 _NA_FIELDS = ", ".join(f"'N/A' AS {c}" for c in Q.MARKET_FIELDS)
-_NUMBER = F.substring("id", 2, 20).cast("int")
+
+
+def _number():
+    """Number of the part in a series id."""
+    return F.substring("id", 2, 20).cast("int")
 
 
 def stored_questions(ids, horizons="365"):
@@ -181,11 +185,11 @@ _OLD = f"""'old question ' || id AS question, 'old background' AS background, 'o
 def weather(spark, sf):
     """Series W/n of part n; rows of known, new and vanished series with every column."""
     rows = observations(spark, sf)
-    key = F.concat(F.lit("W_"), _NUMBER)
-    catalog = rows.filter(_NUMBER % 10 != 7).select(
-        F.concat(F.lit("W/"), _NUMBER).alias("series"), F.concat(F.lit("Warmer at "), key, F.lit("?")).alias("question"),
+    key = F.concat(F.lit("W_"), _number())
+    catalog = rows.filter(_number() % 10 != 7).select(
+        F.concat(F.lit("W/"), _number()).alias("series"), F.concat(F.lit("Warmer at "), key, F.lit("?")).alias("question"),
         F.concat(F.lit("Mean at "), key).alias("explanation")).distinct()
-    stored = stored_questions(rows.filter((_NUMBER % 3 == 0) | (_NUMBER % 10 == 7)).select(key.alias("id")).distinct())
+    stored = stored_questions(rows.filter((_number() % 3 == 0) | (_number() % 10 == 7)).select(key.alias("id")).distinct())
     named = rows.withColumn("id", key).withColumn("name", F.concat(F.lit("Station "), "id"))
     return shown_questions(Q.weather_questions(named, catalog, stored, date(2024, 3, 21)))
 
@@ -216,15 +220,15 @@ def weather_series(spark, sf):
     FROM s WHERE number % 10 <> 0""")
 def macro(spark, sf):
     rows = T.table(spark, sf, "series").select("id", "date", "value")
-    ids, monthly = rows.select("id").distinct(), _NUMBER % 2 == 0
+    ids, monthly = rows.select("id").distinct(), _number() % 2 == 0
     info = ids.select(
-        "id", F.when(_NUMBER % 6 != 0, F.concat(F.lit("part "), F.col("id"))).alias("name"), F.lit("Title").alias("title"),
+        "id", F.when(_number() % 6 != 0, F.concat(F.lit("part "), F.col("id"))).alias("name"), F.lit("Title").alias("title"),
         F.lit("Release").alias("release"), F.lit(None).cast("string").alias("release_notes"),
         F.concat(F.lit("Notes of "), "id").alias("notes"), F.lit("Units").alias("units"),
         F.when(monthly, "SA").alias("seasonal_adjustment"), F.when(monthly, "Monthly").otherwise("Daily").alias("frequency"),
         F.when(monthly, "M").otherwise("D").alias("frequency_short"))
-    out = ids.filter(_NUMBER % 10 == 0).select(F.lit("fred").alias("source"), "id")
-    return shown_questions(Q.macro_questions(info, rows, stored_questions(ids.filter(_NUMBER % 4 == 0)), out))
+    out = ids.filter(_number() % 10 == 0).select(F.lit("fred").alias("source"), "id")
+    return shown_questions(Q.macro_questions(info, rows, stored_questions(ids.filter(_number() % 4 == 0)), out))
 
 
 @register("nested_observations_g5_g8", f"""

@@ -1,5 +1,7 @@
 import os
 import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -37,3 +39,11 @@ def test_query_equals_sql(spark, name):
     df = query.run(spark, FOLDER)
     assert sorted(df.columns) == sorted(names)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
+
+
+def test_registry_loads_without_a_session():
+    """Queries and SQL can be listed before any Spark session exists."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
