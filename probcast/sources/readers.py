@@ -38,6 +38,11 @@ def text_or_list(text: Column, kind: str = "array<string>") -> Column:
     return F.when(bare.startswith("["), listed)
 
 
+def document_name(path: Column) -> Column:
+    """Path of a document; that of a part of a large one is its document's."""
+    return F.regexp_replace(path, r"\.json/part-\d+\.json$", ".json")
+
+
 # --- question bank ---------------------------------------------------------------------------
 
 _QUESTION_FILE = (
@@ -181,9 +186,13 @@ def check_relative(name: str) -> str:
 
 def read_question_set(spark: SparkSession, folder: str, name: str, check: bool = True
                       ) -> DataFrame:
-    """Question set file(s), one row per question; a file without questions is an error."""
-    files = spark.read.schema(_QUESTION_SET_FILE).option("multiLine", "true").json(
-        f"{folder}/{check_relative(name)}")
+    """Question set file(s), one row per question; a file without questions is an error.
+
+    A document is parsed from its text: the JSON reader goes back to the file for each list that is to be
+    kept as text (``resolution_dates``), which reads a block of the file per question.
+    """
+    files = spark.read.text(f"{folder}/{check_relative(name)}", wholetext=True).select(
+        F.from_json("value", _QUESTION_SET_FILE).alias("_d")).select("_d.*")
     if check:
         require_no_rows(files.filter(F.col("questions").isNull()).select("question_set"),
                         "no questions in question set")
@@ -213,9 +222,9 @@ def latest_question_set(spark: SparkSession, folder: str, kind: str = "llm") ->
         due = json.loads(text).get("forecast_due_date") if text.startswith("{") else None
         if due:
             return f"{due}-{kind}.json"
-    names = spark.read.format("binaryFile").option(
-        "pathGlobFilter", f"*-{kind}.json").load(folder).select(
-        F.regexp_extract("path", rf"/({DATE_IN_NAME[1:-1]}-{kind}\.json)$", 1).alias("name"))
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option(
+        "recursiveFileLookup", "true").load(folder).select(
+        F.regexp_extract(document_name(F.col("path")), rf"/({DATE_IN_NAME[1:-1]}-{kind}\.json)$", 1).alias("name"))
     newest = names.filter("name <> ''").agg(F.max("name").alias("n")).first().n
     if newest is None:
         raise ValueError(f"no question set in {folder}")
@@ -239,9 +248,8 @@ def list_forecast_files(spark: SparkSession, folder: str, only: date | None = No
     """(file, forecast_due_date) of submissions; test files are left out, a bad folder is an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option(
         "recursiveFileLookup", "true").load(folder).select(
-        F.col("path").alias("file"),
-        F.try_to_date(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)).alias(
-            "forecast_due_date"))
+        document_name(F.col("path")).alias("file")).distinct().select(
+        "file", F.try_to_date(F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1)).alias("forecast_due_date"))
     files = files.filter(~F.regexp_extract("file", r"([^/]+)$", 1).startswith("TEST."))
     if check:
         require_no_rows(files.filter("forecast_due_date is null"), "folder is not a date")
@@ -257,7 +265,7 @@ def read_forecasts(spark: SparkSession, folder: str, processed: bool = False) ->
     files = (
         spark.read.schema(_FORECAST_FILE).option("multiLine", "true")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder)
-        .filter(~F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).startswith("TEST."))
+        .filter(~F.regexp_extract(document_name(F.col("_metadata.file_path")), r"([^/]+)$", 1).startswith("TEST."))
     )
     return forecast_rows(files, processed)
 
