@@ -196,9 +196,11 @@ def light_boundary(sizes: list[tuple[int, int]], options: JoinOptions, list_cost
 
 
 def bucket_members(classes: DataFrame, light: DataFrame, boundary: int, options: JoinOptions) -> DataFrame:
-    """``bucket``, ``id``, ``n``: buckets with two members or more.
+    """``bucket``, ``id``, ``n`` and ``m`` (the bucket's size) in buckets with two members or more, with the
+    member before in size order (``x``, ``xn``) and the first one (``y``, ``yn``).
 
-    Light sets enter by their subsets; heavy ones, and light ones with heavy partners, by prefix.
+    Light sets enter by their subsets; heavy ones, and light ones with heavy partners, by prefix. Members
+    travel once: counts and neighbours come from one order of each bucket.
     """
     percent = options.percent
     crossing = F.floor(100 * F.col("n") / percent) > boundary
@@ -225,8 +227,11 @@ def bucket_members(classes: DataFrame, light: DataFrame, boundary: int, options:
     members = heavy
     if boundary > 0:
         members = heavy.unionByName(light.mapInArrow(run, heavy.schema))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-    return members.join(shared, "bucket")
+    whole = Window.partitionBy("bucket")
+    order = whole.orderBy("n", "id")
+    return members.select("bucket", "id", "n", F.count("*").over(whole).alias("m"), F.lag("id").over(order).alias("x"),
+                          F.lag("n").over(order).alias("xn"), F.first("id").over(order).alias("y"),
+                          F.first("n").over(order).alias("yn")).filter("m > 1")
 
 
 def _id_hash(column: str, bits: int) -> Column:
@@ -360,12 +365,8 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Each member with its predecessor in size order and with the first member of its bucket."""
-    order = Window.partitionBy("bucket").orderBy("n", "id")
-    first = members.groupBy("bucket").agg(F.min(F.struct("n", "id")).alias("f"))
-    before = members.select("id", "n", F.lag("id").over(order).alias("x"), F.lag("n").over(order).alias("m"))
-    pivot = members.join(first, "bucket").select("id", "n", F.col("f.id").alias("x"), F.col("f.n").alias("m"))
-    return (before.union(pivot).filter("x IS NOT NULL AND x <> id").filter(_by_size("n", "m", percent))
-            .select(*_ordered("id", "x")).distinct())
+    both = members.select("id", "n", "x", "xn").union(members.select("id", "n", "y", "yn"))
+    return both.filter("x IS NOT NULL AND x <> id").filter(_by_size("n", "xn", percent)).select(*_ordered("id", "x")).distinct()
 
 
 def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, tested: DataFrame,
@@ -374,31 +375,36 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, test
 
     In each bucket only members outside its largest component ("outsiders") meet the others: in
     buckets of at most ``small_bucket`` members by a join, in larger ones block by block, where a task
-    holds at most two blocks of sketches.
+    holds at most two blocks of sketches. A pair that shares several larger buckets is made in the least
+    of them only.
     """
     percent, block = options.percent, options.block
-    labelled = members.join(labels.toDF("id", "label"), "id", "left").withColumn(
+    labelled = members.select("bucket", "id", "n", "m").join(labels.toDF("id", "label"), "id", "left").withColumn(
         "label", F.coalesce("label", "id"))
-    by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    main = by_label.groupBy("bucket").agg(
-        F.max(F.struct("c", "label")).alias("x"), F.count("*").alias("k"), F.sum("c").alias("m")).filter("k > 1").select(
-        "bucket", F.col("x.label").alias("main"), "m", (F.col("m") - F.col("x.c")).alias("out"))
-    rows = labelled.select("bucket", "id", "n", "label").join(main, "bucket")
-    few = rows.filter(F.col("m") <= options.small_bucket)
-    direct = (few.filter("label <> main").select("bucket", "id", "n", "label")
-              .join(few.select("bucket", F.col("id").alias("x"), F.col("n").alias("k"), F.col("label").alias("l")), "bucket")
-              .filter("label <> l").filter(_by_size("n", "k", percent)).select(*_ordered("id", "x")).distinct())
+    largest = F.max(F.struct("c", "label")).over(Window.partitionBy("bucket"))
+    rows = stored(labelled.withColumn("c", F.count("*").over(Window.partitionBy("bucket", "label"))).withColumn("x", largest)
+                  .filter(F.col("x.c") < F.col("m")).select(
+                      "bucket", "id", "n", "label", "m", F.col("x.label").alias("main"), (F.col("m") - F.col("x.c")).alias("out")))
+    few = rows.filter(F.col("m") <= options.small_bucket).groupBy("bucket", "main").agg(
+        F.collect_list(F.struct("id", "n", "label")).alias("all"))
+    direct = (few.select("main", "all", F.explode("all").alias("u")).filter("u.label <> main")
+              .select("u", F.explode("all").alias("v")).filter("u.label <> v.label")
+              .select(F.col("u.id").alias("id"), F.col("u.n").alias("n"), F.col("v.id").alias("x"), F.col("v.n").alias("k"))
+              .filter(_by_size("n", "k", percent)).select(*_ordered("id", "x")).distinct())
     direct = _sketch_filter(direct.join(tested, ["a", "b"], "left_anti"), classes, percent)
     rows = rows.filter(F.col("m") > options.small_bucket)
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     parts = lambda size: F.greatest(F.lit(1), F.ceil(F.col(size) / block)).cast("int")
-    left = (rows.filter("label <> main").withColumn("i", (spread % parts("out")).cast("int"))
+    rows = rows.withColumn("outside", F.col("label") != F.col("main"))
+    left = (rows.filter("outside").withColumn("i", (spread % parts("out")).cast("int"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), parts("m") - 1))).withColumn("side", F.lit(0)))
     right = (rows.withColumn("j", (spread % parts("m")).cast("int"))
              .withColumn("i", F.explode(F.sequence(F.lit(0), parts("out") - 1))).withColumn("side", F.lit(1)))
-    columns = ["bucket", "i", "j", "side", "id", "n", "label"]
-    cells = left.select(*columns).unionByName(right.select(*columns)).join(classes.select("id", "sketch"), "id")
-    cells = cells.select(*columns, "sketch").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    columns = ["bucket", "i", "j", "side", "id", "n", "label", "outside"]
+    shared = rows.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+    cells = left.select(*columns).unionByName(right.select(*columns)).join(
+        classes.select("id", "sketch").join(shared, "id"), "id")
+    cells = cells.select(*columns, "sketch", "buckets").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
 
     def run(batches):
         carry = None
@@ -422,34 +428,67 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, test
     return direct.union(blocked).distinct()
 
 
+def _by_length(sketches: np.ndarray) -> list[tuple[np.ndarray, dict[int, np.ndarray]]]:
+    """Places of the sketches of each length, with their matrix by folded length."""
+    length = np.array([len(x) for x in sketches])
+    return [(at := np.flatnonzero(length == size), {size: np.stack([np.frombuffer(sketches[k], np.uint8) for k in at])})
+            for size in np.unique(length).tolist()]
+
+
+def _near_sketches(own: np.ndarray, there: list[tuple[np.ndarray, dict[int, np.ndarray]]], ok: np.ndarray,
+                   most: np.ndarray) -> list[int]:
+    """Places that are ``ok`` and whose sketches differ from ``own`` in ``most`` bits at most.
+
+    Each pair is compared at the length of its own shorter sketch: folded to the shortest of a block,
+    sketches of large sets would lose the bits that tell them apart.
+    """
+    found: list[int] = []
+    for at, folded in there:
+        chosen = np.flatnonzero(ok[at])
+        if not len(chosen):
+            continue
+        full = next(iter(folded))
+        size = min(full, len(own))
+        if size not in folded:
+            folded[size] = np.stack([fold_sketch(x, size) for x in folded[full]])
+        apart = np.bitwise_count(folded[size][chosen] ^ fold_sketch(own, size)).sum(axis=1, dtype=np.int64)
+        found += at[chosen[apart <= most[at[chosen]]]].tolist()
+    return found
+
+
 def _compare_cells(frame: pd.DataFrame, keys: np.ndarray, percent: int, schema: pa.Schema) -> pa.RecordBatch:
-    """Pairs (outsider, member) of each cell whose components differ and whose sketches allow a link."""
+    """Pairs (outsider, member) of each cell whose components differ and whose sketches allow a link.
+
+    Left out are pairs that share a bucket below the cell's, and the second turn of two outsiders.
+    """
     out_a: list = []
     out_b: list = []
     edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
     side, ids, ns = frame["side"].to_numpy(), frame["id"].to_numpy(), frame["n"].to_numpy()
     labels, sketches = frame["label"].to_numpy(), frame["sketch"].to_numpy()
+    outside, buckets = frame["outside"].to_numpy(), frame["buckets"].to_numpy()
     for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
         middle = start + int(np.searchsorted(side[start:stop], 1))
         if middle == start or middle == stop:
             continue
         large = (middle - start) * (stop - middle) > 64
         if large:
-            size = min(map(len, sketches[start:stop]))
-            there = np.stack([fold_sketch(np.frombuffer(x, np.uint8), size) for x in sketches[middle:stop]])
+            there = _by_length(sketches[middle:stop])
+        below = [x[x < keys[start, 0]].tolist() for x in buckets[start:stop]]
         for x in range(start, middle):
             n, m = int(ns[x]), ns[middle:stop]
             least = -(-percent * (n + m) // (100 + percent))
-            at = np.flatnonzero((labels[middle:stop] != labels[x]) & (least <= np.minimum(n, m)))
+            ok = (labels[middle:stop] != labels[x]) & (least <= np.minimum(n, m))
             if large:
-                own = fold_sketch(np.frombuffer(sketches[x], np.uint8), size)
-                apart = np.bitwise_count(there[at] ^ own).sum(axis=1, dtype=np.int64)
-                at = at[apart <= n + m[at] - 2 * least[at]]
+                at = _near_sketches(np.frombuffer(sketches[x], np.uint8), there, ok, n + m - 2 * least)
             else:
-                at = [k for k in at.tolist()
+                at = [k for k in np.flatnonzero(ok).tolist()
                       if _sketches_allow(sketches[x], sketches[middle + k], n, int(m[k]), percent)]
+            lower = set(below[x - start])
             for k in at:
                 y = ids[middle + k]
+                if outside[middle + k] and not ids[x] < y or not lower.isdisjoint(below[middle + k - start]):
+                    continue
                 out_a.append(min(ids[x], y))
                 out_b.append(max(ids[x], y))
     return pa.RecordBatch.from_pydict({"a": out_a, "b": out_b}, schema=schema)
